@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: Used only where the session names no shared folder (tests, a single machine).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/quarryline"
@@ -56,3 +59,16 @@ def range_bucket(df: DataFrame, key: str, buckets: int) -> Column:
     coarse = F.coalesce(F.size(F.filter(firsts, lambda b: b < k)), F.lit(0)) if len(rows) > 1 else F.lit(0)
     inner = F.size(F.filter(F.get(fine, coarse), lambda b: b < k))
     return F.coalesce(F.when(k.isNotNull(), (coarse * side + inner)), F.lit(0)).cast("long")
+
+
+def with_numbers(docs: DataFrame, keep: list[str], made: list[tuple[str, DataType]], worker: Callable[[], Callable[[list[str]], list]], text: str = "text") -> DataFrame:
+    """docs' columns `keep` and, for each of `made`, what the worker's function gives for a batch of whole texts (null: empty)."""
+    schema = StructType([*(docs.schema[k] for k in keep), *(StructField(n, t) for n, t in made)])
+
+    def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = worker()
+        for b in batches:
+            texts = [t or "" for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *map(pa.array, function(texts))], [*keep, *(n for n, _ in made)])
+
+    return docs.select(F.col(text).alias("__text"), *keep).mapInArrow(here, schema)

@@ -9,6 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from quarryline.llm.bpe import encode_digest
 from quarryline.llm.common import table
 from quarryline.llm.packing import pack
+from quarryline.llm.quality import score as quality_score
+from quarryline.llm.sharding import shard
+from quarryline.llm.toxicity import score as toxicity_score
+
+
+def op3_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"))
+
+
+def op5_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +35,7 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_chunked_bpe, op10_pattern_packing)}
+    return {f.__name__: f for f in (op3_minimax_shards, op5_compression_quality, op6_weak_toxicity, op8_chunked_bpe, op10_pattern_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
