@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarryline.llm.bpe import encode_digest
 from quarryline.llm.common import table
+from quarryline.llm.fingerprint import fingerprint
 from quarryline.llm.packing import pack
 from quarryline.llm.quality import score as quality_score
 from quarryline.llm.sharding import shard
 from quarryline.llm.toxicity import score as toxicity_score
 
 
+def op1_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint(table(spark, sf_dir, "documents"))
+
+
 def op3_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
@@ -35,7 +40,7 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_minimax_shards, op5_compression_quality, op6_weak_toxicity, op8_chunked_bpe, op10_pattern_packing)}
+    return {f.__name__: f for f in (op1_one_permutation_minhash, op3_minimax_shards, op5_compression_quality, op6_weak_toxicity, op8_chunked_bpe, op10_pattern_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
