@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarryline.llm.bpe import encode_digest
 from quarryline.llm.common import table
+from quarryline.llm.dart import near_classes
 from quarryline.llm.fingerprint import fingerprint
 from quarryline.llm.packing import pack
 from quarryline.llm.quality import score as quality_score
@@ -31,6 +32,10 @@ def op6_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_dart_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digest(table(spark, sf_dir, "documents"))
 
@@ -40,7 +45,7 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_one_permutation_minhash, op3_minimax_shards, op5_compression_quality, op6_weak_toxicity, op8_chunked_bpe, op10_pattern_packing)}
+    return {f.__name__: f for f in (op1_one_permutation_minhash, op3_minimax_shards, op5_compression_quality, op6_weak_toxicity, op7_dart_near_duplicates, op8_chunked_bpe, op10_pattern_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
