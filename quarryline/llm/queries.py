@@ -13,6 +13,7 @@ from quarryline.llm.fingerprint import fingerprint
 from quarryline.llm.packing import pack
 from quarryline.llm.quality import score as quality_score
 from quarryline.llm.sharding import shard
+from quarryline.llm.sitetree import extract
 from quarryline.llm.toxicity import score as toxicity_score
 
 
@@ -40,12 +41,16 @@ def op8_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_one_permutation_minhash, op3_minimax_shards, op5_compression_quality, op6_weak_toxicity, op7_dart_near_duplicates, op8_chunked_bpe, op10_pattern_packing)}
+    return {f.__name__: f for f in (op1_one_permutation_minhash, op3_minimax_shards, op5_compression_quality, op6_weak_toxicity, op7_dart_near_duplicates, op8_chunked_bpe, op9_site_style_tree, op10_pattern_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
