@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarryline.llm.ann import search_every
 from quarryline.llm.bpe import encode_digest
 from quarryline.llm.common import table
 from quarryline.llm.dart import near_classes
@@ -21,6 +22,10 @@ def op1_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint(table(spark, sf_dir, "documents"))
 
 
+def op2_rotated_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_every(table(spark, sf_dir, "embeddings"))
+
+
 def op3_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
@@ -50,7 +55,7 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_one_permutation_minhash, op3_minimax_shards, op5_compression_quality, op6_weak_toxicity, op7_dart_near_duplicates, op8_chunked_bpe, op9_site_style_tree, op10_pattern_packing)}
+    return {f.__name__: f for f in (op1_one_permutation_minhash, op2_rotated_one_bit_codes, op3_minimax_shards, op5_compression_quality, op6_weak_toxicity, op7_dart_near_duplicates, op8_chunked_bpe, op9_site_style_tree, op10_pattern_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
