@@ -14,6 +14,7 @@ rows; repeated rows are packed each; extra columns are ignored, whatever their n
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -34,32 +35,53 @@ VOCABULARY = "word_bpe_49k.json"
 SEQUENCE = 2048
 #: Salts of a length's ranks; the counts by length and salt, at most SEQUENCE * SALTS, go to the driver.
 SALTS = 32
-#: Words that a worker remembers, most documents of a pattern, partners tried for each length.
-REMEMBER, MOST, PARTNERS = 300_000, 4, 12
+#: Words of a generation that a worker remembers, most documents of a pattern, partners tried for each length.
+REMEMBER, MOST, PARTNERS = 400_000, 4, 12
 
-#: The Unicode white space at which the tokenizer's own pattern always ends a word.
-_WORD = re.compile("[^ \t\n\x0b\x0c\r\x85\xa0  -     　]+")
+#: Texts of these characters alone have one lower case and are their own composed form, so the tokenizer's steps can be taken apart.
+_PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
+#: The tokenizer's pattern, in the lower case of those characters.
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^\sa-z0-9à-öø-ÿß]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where it prints, else the next free one from 256."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + n) for n, b in enumerate(rest)}
 
 
 class Words:
-    """Ids of whole texts, by words: the tokenizer never lets a token cross white space, so a word's ids are the same in every text."""
+    """Ids of whole texts. Plain texts are cut into the tokenizer's own pieces here, each distinct piece's ids found by its model and remembered; other texts go through the tokenizer whole.
+
+    Pieces are remembered in two generations: when the young one is full it becomes the old one, from
+    which pieces still in use move back.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if any(s in text for s in self.special):
+        if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words, known = _WORD.findall(text), self.known
-        if len(known) > REMEMBER:
-            known.clear()
-        if new := list(set(words).difference(known)):
-            for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[word] = np.array(got.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+        pieces = _PIECE.findall(text.lower())
+        if len(self.known) > REMEMBER:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        for piece in set(pieces).difference(known):
+            known[piece] = self._ids(piece) if (had := old.get(piece)) is None else had
+        return b"".join(map(known.__getitem__, pieces))
+
+    def _ids(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+        return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(shown))
 
 
 @lru_cache(maxsize=2)
