@@ -32,7 +32,7 @@ from pyspark.sql.types import DoubleType, LongType
 from quarryline.llm.common import cut, with_numbers
 from quarryline.llm.quality import labelled_sample, logistic, remainder
 
-SAMPLE, EXCERPT, MASKS = 3000, 65_536, 20_000
+SAMPLE, EXCERPT, MASKS = 2000, 8192, 20_000
 THRESHOLD = 0.7
 
 #: Common insults of the English language, matched as whole words.
@@ -44,6 +44,11 @@ VOTERS = FIXED_VOTERS + MINED_VOTERS + len(PATTERNS)
 _WORD = re.compile(r"\w+")
 
 
+def features(text: str) -> set[str]:
+    """A text's words, as '=word', and their first letters, as '^stem'."""
+    return {f for w in set(_WORD.findall(text.lower())) for f in ("=" + w, *("^" + w[:k] for k in range(4, min(len(w), 7))))}
+
+
 def mine(sample: list[tuple[str, int]], total: dict[int, int]) -> list[str]:
     """Word stems that mark toxic rows: '=word' is the whole word, '^stem' a word's start.
 
@@ -51,24 +56,31 @@ def mine(sample: list[tuple[str, int]], total: dict[int, int]) -> list[str]:
     features tried (the log-likelihood ratio against the base rate); then features are taken that
     cover the most toxic rows not yet covered twice.
     """
-    rows = [(y, {f for w in set(_WORD.findall(t.lower())) for f in ("=" + w, *("^" + w[:k] for k in range(4, min(len(w), 7))))}) for t, y in sample]
-    n = Counter(y for y, _ in rows)
+    n = Counter(y for _, y in sample)
     if not n[0] or not n[1]:
         return []
+    toxic = [t for t, y in sample if y]
     up = {y: total[y] / n[y] for y in (0, 1)}  # rows that a sampled one stands for
     base = total[1] / (total[0] + total[1])
-    seen = {y: Counter(f for z, fs in rows if z == y for f in fs) for y in (0, 1)}
-    floor = math.log(sum(map(len, seen.values())) + 1) + 3
-    good = {}
-    for f, pos in seen[1].items():
-        a, b = pos * up[1], seen[0][f] * up[0]
+    pos: Counter[str] = Counter()
+    for t in toxic:
+        pos.update(features(t))
+    tried = len(pos)
+    pos = Counter({f: c for f, c in pos.items() if c >= 4})
+    neg: Counter[str] = Counter()
+    for t, y in sample:
+        if not y:
+            neg.update(f for f in features(t) if f in pos)
+    floor, good = math.log(tried + 1) + 3, {}
+    for f, c in pos.items():
+        a, b = c * up[1], neg[f] * up[0]
         p = (a + 0.5) / (a + b + 1)
-        if pos >= 4 and p >= 0.85 and pos * (p * math.log(p / base) + (1 - p) * math.log((1 - p) / (1 - base))) >= floor:
+        if p >= 0.85 and c * (p * math.log(p / base) + (1 - p) * math.log((1 - p) / (1 - base))) >= floor:
             good[f] = p
-    holders = {f: [] for f in good}
-    for i, (y, fs) in enumerate(rows):
-        if y:
-            for f in fs & good.keys():
+    holders: dict[str, list[int]] = {f: [] for f in good}
+    for i, t in enumerate(toxic):
+        for f in features(t):
+            if f in good:
                 holders[f].append(i)
     cover, chosen = Counter(), []
     while good and len(chosen) < MINED:
