@@ -11,6 +11,7 @@ from quarryline.llm.bpe import encode_digest
 from quarryline.llm.common import table
 from quarryline.llm.dart import near_classes
 from quarryline.llm.fingerprint import fingerprint
+from quarryline.llm.linededup import removed_lines
 from quarryline.llm.packing import pack
 from quarryline.llm.quality import score as quality_score
 from quarryline.llm.sharding import shard
@@ -30,6 +31,10 @@ def op3_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed_lines(table(spark, sf_dir, "documents"))
+
+
 def op5_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,7 +60,7 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_one_permutation_minhash, op2_rotated_one_bit_codes, op3_minimax_shards, op5_compression_quality, op6_weak_toxicity, op7_dart_near_duplicates, op8_chunked_bpe, op9_site_style_tree, op10_pattern_packing)}
+    return {f.__name__: f for f in (op1_one_permutation_minhash, op2_rotated_one_bit_codes, op3_minimax_shards, op4_line_dedup, op5_compression_quality, op6_weak_toxicity, op7_dart_near_duplicates, op8_chunked_bpe, op9_site_style_tree, op10_pattern_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
