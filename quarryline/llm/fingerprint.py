@@ -36,9 +36,8 @@ def _longs(values) -> Column:
 
 
 #: The greatest hash of each bin: put in beside the text's own, so that every bin has a hash; where it is the smallest, the bin is empty.
-_EMPTY = _longs(((i - BINS // 2 + 1) << _SHIFT) - 1 for i in range(BINS))
+_EMPTY = [((i - BINS // 2 + 1) << _SHIFT) - 1 for i in range(BINS)]
 _ORDER = [random.Random(i).sample(range(BINS), PROBES) for i in range(BINS)]
-_HEX = F.array(*[F.lit(f"{i:02x}") for i in range(1 << BITS)])
 
 
 def words(text: Column) -> Column:
@@ -76,13 +75,14 @@ def signatures(df: DataFrame, names: dict[str, str]) -> DataFrame:
     """df with, for each text column in names, its bins' low-order bits; null without words. The text columns go."""
     stage = df.withColumns({out: word_hashes(words(F.col(text))) for text, out in names.items()}).drop(*names)
     outs = list(names.values())
-    stage = stage.withColumns({o: F.when(F.size(o) > 0, F.sort_array(F.concat(shingle_hashes(F.col(o)), _EMPTY))) for o in outs})
+    stage = stage.withColumns({o: F.when(F.size(o) > 0, F.sort_array(F.concat(shingle_hashes(F.col(o)), _longs(_EMPTY)))) for o in outs})
     stage = stage.withColumns({o: _smallest(F.col(o)) for o in outs})
     return stage.withColumns({o: _filled(F.col(o)) for o in outs})
 
 
 def packed(signature: Column) -> Column:
-    return F.coalesce(F.array_join(F.transform(signature, lambda v: F.get(_HEX, v.cast("int"))), ""), F.lit(""))
+    digits = F.array(*[F.lit(f"{i:02x}") for i in range(1 << BITS)])
+    return F.coalesce(F.array_join(F.transform(signature, lambda v: F.get(digits, v.cast("int"))), ""), F.lit(""))
 
 
 def likeness(a: Column, b: Column) -> Column:
