@@ -217,7 +217,7 @@ def scored(docs: DataFrame, labels: DataFrame, keep: list[str], mod: int = 3, he
         x = np.array([[(r["mask"] >> i) & 1 for i in range(width)] for r in frequent], float)
         p = np.array([model.posterior[r["vote"]] for r in frequent])
         n = np.array([r["count"] for r in frequent], float)
-        w = logistic(np.vstack([x, x]), np.concatenate([np.ones(len(p)), np.zeros(len(p))]), np.concatenate([n * p, n * (1 - p)]), ridge=1.0)
+        w = logistic(np.vstack([x, x]), np.concatenate([np.ones(len(p)), np.zeros(len(p))]), np.concatenate([n * p, n * (1 - p)]), ridge=0.02)
     else:
         w = np.zeros(width + 1)
 
