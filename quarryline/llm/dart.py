@@ -9,11 +9,13 @@ for each coordinate, and keeps the earliest of each coordinate; if one got none,
 Two texts keep the same dart in a coordinate with probability equal to their similarity.
 
 Signatures are cut into BANDS bands of ROWS; texts with an equal band are candidates (a pair at 0.8
-is missed with a probability of 5e-5). In each band's group all texts are first compared with one of
-them, the centre, by the exact similarity of whole texts; that joins most of a large group without
-pairs among its members. Then texts of different components that share a band are compared, except
-with those of the group's largest component among one another. So every candidate pair is either
-compared or already in one class.
+is missed with a probability of 5e-5). In each band's group all texts
+are first compared with one of them, the centre, by the exact similarity of whole texts; that joins
+most of a large group without pairs among its members. Then what is outside a group's largest
+component meets a text drawn from it, another in each band. Last, texts of different components that
+share a band are compared, except with those of the group's largest component among one another, and
+unless their parity sketches show that they differ too much. So every candidate pair is compared,
+already in one class, or shown to be too far apart.
 
 Defined results: equal texts are one node whatever their number, and always in one class; null text
 is the empty text; texts without words are near equal ones only; class_id is the class's smallest
@@ -39,7 +41,9 @@ COORDINATES = BANDS * ROWS
 SPARE = 4
 #: Words that a worker remembers the hashes of; regions handled at once.
 REMEMBER, AT_ONCE = 500_000, 200_000
-HOT_SHARE = 1e-3
+TURNS, HOT_SHARE = 1, 1e-3
+#: Longs of a sketch: texts of some hundred words are told apart well, longer ones are compared.
+SKETCH = 12
 
 _U = np.uint64
 _GOLD, _A, _B = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -196,6 +200,25 @@ def near_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_near, "a long, b long")
 
 
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shingles = Shingles()
+    for b in batches:
+        weight, bits = [], []
+        for text in b["text"].to_pylist():
+            h, n = shingles.weights(text)
+            unit = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            with np.errstate(over="ignore"):
+                at = mix(np.repeat(h, n) + unit.astype(np.uint64) * _B) % _U(64 * SKETCH)
+            weight.append(int(n.sum()))
+            bits.append(np.packbits(np.bincount(at.astype(np.int64), minlength=64 * SKETCH) & 1).view(np.int64))
+        yield pa.RecordBatch.from_arrays([b["node"], pa.array(weight, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], ["node", "weight", "sketch"])
+
+
+def sketches(texts: DataFrame) -> DataFrame:
+    """(node, weight, sketch): bits that are the parity of the units of weight that hash to them; two texts differ in at least as many units as bits."""
+    return texts.select("node", "text").mapInArrow(_sketch, "node long, weight long, sketch array<long>")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes with an edge (a, b): the smallest node reachable, by neighbours' smallest labels and label jumps."""
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -233,16 +256,33 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     texts = cut(found.groupBy("node").agg(F.first("text").alias("text")), "dart-texts")
     first = cut(near_pairs(tried, texts), "dart-links")
 
-    part = components(first).withColumnRenamed("component", "known")
+    found = first
+    for turn in range(TURNS):
+        opened = _open(shared, found)
+        hubs = opened.filter("component = largest").groupBy("band").agg(F.min_by("node", F.xxhash64("node", "band", F.lit(turn))).alias("hub"))
+        met = opened.filter("component != largest").join(hubs, "band").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+        new = cut(met.join(tried, ["a", "b"], "left_anti"), "dart-tried")
+        tried, found = tried.unionByName(new), found.unionByName(cut(near_pairs(new, texts), "dart-links"))
+
+    opened = _open(shared, found)
+    open_ = opened.join(cut(sketches(texts.join(opened.select("node").distinct(), "node", "left_semi")), "dart-sketches"), "node")
+    few = open_.filter("component != largest").select(F.col("band").alias("at"), F.col("node").alias("x"), F.col("component").alias("of_x"), F.col("weight").alias("weight_x"), F.col("sketch").alias("sketch_x"))
+    rest = open_.select("band", F.col("node").alias("y"), F.col("component").alias("of_y"), (F.col("component") == F.col("largest")).alias("main"), "weight", "sketch")
+    differ = F.aggregate(F.zip_with("sketch", "sketch_x", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, bits: n + bits)
+    # Texts that are near differ in this share of both weights at most.
+    enough = differ <= (F.col("weight") + F.col("weight_x")) * ((1 - NEAR) / (1 + NEAR)) + 1e-6
+    across = few.join(rest, (F.col("at") == F.col("band")) & (F.col("of_x") != F.col("of_y")) & (F.col("main") | (F.col("x") > F.col("y"))) & enough)
+    left = across.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    return found.unionByName(cut(near_pairs(left, texts), "dart-links"))
+
+
+def _open(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """(band, node, component, largest) of the bands' groups that hold more than one component yet."""
+    part = components(links).withColumnRenamed("component", "known")
     placed = shared.join(part, "node", "left").select("band", "node", F.coalesce("known", "node").alias("component"))
     sizes = placed.groupBy("band", "component").agg(F.count("*").alias("size"))
     largest = sizes.groupBy("band").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count("*").alias("parts")).filter("parts > 1")
-    open_ = cut(placed.join(largest.select("band", "largest"), "band"), "dart-open")
-    few = open_.filter("component != largest").select("band", F.col("node").alias("x"), F.col("component").alias("of_x"))
-    rest = open_.select("band", F.col("node").alias("y"), F.col("component").alias("of_y"), (F.col("component") == F.col("largest")).alias("main"))
-    across = few.join(rest, (few.band == rest.band) & (F.col("of_x") != F.col("of_y")) & (F.col("main") | (F.col("x") > F.col("y"))))
-    left = across.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    return first.unionByName(cut(near_pairs(left, texts), "dart-links"))
+    return cut(placed.join(largest.select("band", "largest"), "band"), "dart-open")
 
 
 def classes(docs: DataFrame) -> DataFrame:
