@@ -59,6 +59,14 @@ def validation_failures(text: Column, least: int = LEAST_CHARS) -> Column:
     return F.filter(F.array(F.when(F.length(strip(low)) < least, "content_chars"), F.when(found, "boilerplate")), lambda f: f.isNotNull())
 
 
+def relevant(text: Column, keywords: tuple[str, ...]) -> Column:
+    """Whether a site's keywords occur anywhere in a text, in any case."""
+    found = F.lit(False)
+    for k in keywords:
+        found = found | F.contains(F.lower(F.coalesce(text, F.lit(""))), F.lit(k.lower()))
+    return found
+
+
 def headless_required(html: Column) -> Column:
     low = F.lower(F.coalesce(html, F.lit("")))
     found = F.lit(False)

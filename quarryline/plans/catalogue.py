@@ -203,6 +203,11 @@ def boilerplate_check(spark, sf):
     return t(spark, sf, "documents").select("doc_id", F.concat(F.when(F.array_contains(f, "content_chars"), "content_chars|").otherwise(""), F.when(F.array_contains(f, "boilerplate"), "boilerplate").otherwise("")).alias("failures"))
 
 
+@query("SELECT doc_id, CASE WHEN contains(lower(text),'license') OR contains(lower(text),'rights') THEN 'legal-priority' ELSE '' END AS tag FROM documents")
+def keyword_relevance(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", F.when(layout.relevant(F.col("text"), ("License", "rights")), "legal-priority").otherwise("").alias("tag"))
+
+
 @query("""SELECT doc_id, coalesce(substr(list_filter(list_transform(string_split(text,chr(10)), lambda x: regexp_replace(x,'^\\s+|\\s+$','','g')), lambda x: length(x)>=3)[1],1,300), 'Untitled Document') AS title FROM documents""")
 def doc_title(spark, sf):
     return t(spark, sf, "documents").select("doc_id", T.derive_title(F.col("text"), F.lit("")).alias("title"))
