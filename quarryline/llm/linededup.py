@@ -8,8 +8,8 @@ Tokens are ordered by rarity: by the count of their hash bucket over all lines (
 only thing the driver holds), then by hash. Two matching lines share a token among the first
 n - ceil(0.8 n) + 1 of each. Lines of equal token sets are one set, so copies meet nobody. Prefix
 tokens are joined by token and size class (sizes that may match are in the same class or the next),
-filtered by size and by position; then a parity sketch bounds how many tokens differ; what passes is
-verified on the whole sets.
+filtered by size, by position (the smaller set's first shared token is in its first ninth) and by parity
+sketches, which bound how many tokens differ; what passes is verified on the whole sets.
 
 A group of many similar lines would make pairs by the square of its size. So in a first round each
 set meets only the earliest of its token, class and salt; sets that match it are gone. Only sets
@@ -29,9 +29,14 @@ from quarryline.llm.common import clean_text, cut, range_bucket, shuffle_width
 
 NEAR_TENTHS = 8
 BUCKETS_BITS, SALTS = 14, 32
+#: Lines (a long each) up to which they are sent to all executors.
+BROADCAST_ROWS = 1_000_000
 _LOW = 62 - BUCKETS_BITS  # bits of a token's code below its rank
-#: A size class spans a ratio of 1.25: sets that match are in the same class or neighbours.
-_CLASS = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)) + 1e-9).cast("int")
+
+
+def _class(n: Column) -> Column:
+    """A size class spans a ratio of 1.25: sets that match are in the same class or neighbours."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(1.25)) + 1e-9).cast("int")
 
 
 def _least(n: Column) -> Column:
@@ -73,20 +78,25 @@ def _bucket(h: Column) -> Column:
 
 
 def rarity(rows: DataFrame) -> Column:
-    """For each hash bucket its rank by how many words of all lines fall into it, as one constant array."""
+    """For each hash bucket its rank by how many words of all lines fall into it, in the upper bits of a code, as one constant array."""
     word = F.explode(F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " "))
     counts = rows.select(word.alias("w")).filter("w != ''").groupBy(_bucket(F.xxhash64("w")).alias("b")).count().collect()  # at most 2 ** BUCKETS_BITS rows
     by = {r["b"]: r["count"] for r in counts}
     rank = {b: i for i, b in enumerate(sorted(range(1 << BUCKETS_BITS), key=lambda b: (by.get(b, 0), b)))}
-    return F.split(F.lit(",".join(str(rank[b]) for b in range(1 << BUCKETS_BITS))), ",").cast("array<long>")
+    return F.split(F.lit(",".join(str(rank[b] << _LOW) for b in range(1 << BUCKETS_BITS))), ",").cast("array<long>")
 
 
-def token_sets(rows: DataFrame, ranks: Column, bits: int) -> DataFrame:
-    """Each line with words as (ord, codes): its place in the corpus and its tokens' codes, rarest first."""
+def _lines(rows: DataFrame, bits: int) -> DataFrame:
+    """Each line as (ord, line): ord is its place in the corpus."""
     lines = rows.select("__n", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    code = lambda w: F.shiftleft(F.get(ranks, _bucket(F.xxhash64(w))), _LOW) + F.shiftrightunsigned(F.shiftleft(F.xxhash64(w), BUCKETS_BITS), 64 - _LOW)
-    made = lines.select((F.shiftleft(F.col("__n"), bits) + F.col("pos")).alias("ord"), F.transform(line_words(F.col("line")), code).alias("codes"))
-    return made.filter(F.size("codes") > 0).select("ord", F.sort_array(F.array_distinct("codes")).alias("codes"))
+    return lines.select((F.shiftleft(F.col("__n"), bits) + F.col("pos")).alias("ord"), "line")
+
+
+def token_sets(lines: DataFrame, ranks: Column) -> DataFrame:
+    """Lines with words as (ord, codes): their tokens' codes, rarest first."""
+    code = lambda h: F.get(ranks, _bucket(h)) + h.bitwiseAND(F.lit((1 << _LOW) - 1))
+    hashed = lines.select("ord", F.array_distinct(F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w))).alias("hashes"))
+    return hashed.filter(F.size("hashes") > 0).select("ord", F.sort_array(F.transform("hashes", code)).alias("codes"))
 
 
 def _parity(codes: Column, shift: int) -> Column:
@@ -100,9 +110,8 @@ def _may_match(n: Column, m: Column) -> Column:
 
 
 def _position(n: Column, i: Column, m: Column, j: Column) -> Column:
-    """Whether sets of n and m tokens that share their i-th and j-th may share enough: before it at most the shorter prefix, after it the shorter rest."""
-    most = F.least(i, j) + 1 + F.least(n - i, m - j) - 1
-    return most * (10 + NEAR_TENTHS) >= (n + m) * NEAR_TENTHS
+    """Whether sets of n and m tokens, the first shared ones of which are the i-th and the j-th, may share enough: nothing before these is shared."""
+    return F.least(n - i, m - j) * (10 + NEAR_TENTHS) >= (n + m) * NEAR_TENTHS
 
 
 def _sketched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -116,44 +125,74 @@ def _sketched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, ranks: Column, bits: int) -> DataFrame:
-    """The pairs whose whole token sets match, made anew from the texts of the documents concerned."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("ord")).distinct()
-    docs = wanted.select(F.shiftright("ord", bits).alias("__n")).distinct()
-    sets = token_sets(rows.join(docs, "__n", "left_semi"), ranks, bits).join(wanted, "ord", "left_semi")
-    sets = cut(sets, "line-sets")
+    """The pairs whose whole token sets match. The sets are made anew from the lines concerned, which are found in the texts where these are read if they are few enough to be sent there, else by joining."""
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("ord")).distinct(), "line-wanted")
+    n = wanted.count()
+    texts = rows if n <= BROADCAST_ROWS else rows.join(wanted.select(F.shiftright("ord", bits).alias("__n")).distinct(), "__n", "left_semi")
+    lines = _lines(texts, bits).join(_sent(wanted, n), "ord", "left_semi")
+    sets = cut(token_sets(lines, ranks), "line-sets")
     both = pairs.join(sets.select(F.col("ord").alias("a"), F.col("codes").alias("x")), "a").join(sets.select(F.col("ord").alias("b"), F.col("codes").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.filter(shared * (10 + NEAR_TENTHS) >= (F.size("x") + F.size("y")) * NEAR_TENTHS).select("a", "b")
 
 
+def _tokens(sets: DataFrame) -> DataFrame:
+    """A row for each prefix token of each set: (ord, token, size, x, s), x the set's size n, the token's place i and whether the set is gone, in one number, s its sketch of all tokens."""
+    x = F.shiftleft(F.col("n").cast("long"), 32) + F.col("i") * 2 + F.col("gone").cast("int")
+    return sets.select("ord", "gone", "n", F.col("s1").bitwiseXOR(F.col("s2")).alias("s"), F.posexplode("prefix").alias("i", "token")).select("ord", "token", _class(F.col("n")).alias("size"), x.alias("x"), "s")
+
+
+def _alike(n: Column, s: Column, m: Column, u: Column) -> Column:
+    """Whether sets of n and m tokens may match by their sketches of all tokens."""
+    return F.bit_count(s.bitwiseXOR(u)) * (10 + NEAR_TENTHS) <= (n + m) * (10 - NEAR_TENTHS)
+
+
+def _n(x: Column) -> Column:
+    return F.shiftright(x, 32)
+
+
+def _i(x: Column) -> Column:
+    return F.shiftright(x.bitwiseAND(F.lit((1 << 32) - 1)), 1)
+
+
+def _sent(small: DataFrame, rows: int) -> DataFrame:
+    """small, sent to all executors if its rows (of about a long each) are few enough."""
+    return F.broadcast(small) if rows <= BROADCAST_ROWS else small
+
+
 def matches(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """The numbered documents, the lines (ord) to remove, and the bits of a line's place."""
     rows, bits = numbered(docs)
     ranks = rarity(rows)
     first = F.slice("codes", 1, F.size("codes") - _least(F.size("codes")) + 1)
-    # The second sketch's bits come from the token's upper hash bits: a token counts in one of the two.
+    # Each token counts in one of two sketches, by the last bit of its code; together they are one sketch of all tokens.
     half = lambda odd: F.filter("codes", lambda c: c.bitwiseAND(F.lit(1)) == odd)
     lines = cut(
-        token_sets(rows, ranks, bits).select(
+        token_sets(_lines(rows, bits), ranks).select(
             "ord", F.size("codes").alias("n"), F.xxhash64("codes").alias("h1"), F.xxhash64(F.lit(7), "codes").alias("h2"),
             _parity(half(0), 1).alias("s1"), _parity(half(1), 1).alias("s2"), first.alias("prefix"),
         ),
         "lines",
     )
     sets = cut(lines.groupBy("h1", "h2").agg(F.min("ord").alias("ord"), *[F.first(c).alias(c) for c in ("n", "s1", "s2", "prefix")]), "line-sets")
-    tokens = sets.select("ord", "n", _CLASS.alias("size"), F.posexplode("prefix").alias("i", "token"))
-
-    salt = F.pmod("ord", F.lit(SALTS)).cast("int")
-    frequent = F.col("token") >= F.lit((1 << 62) - (1 << (62 - 7)))  # the most frequent 128th of the buckets
-    group = Window.partitionBy("token", "size", F.when(frequent, salt).otherwise(F.lit(0))).orderBy("ord")
-    led = tokens.withColumn("lead", F.first(F.struct("ord", "n", "i")).over(group)).filter("lead.ord < ord")
-    led = led.filter(_may_match(F.col("n"), F.col("lead.n")) & _position(F.col("n"), F.col("i"), F.col("lead.n"), F.col("lead.i")))
+    # Of two matching sets the smaller has its first shared token among its first ninth.
+    ahead = _i(F.col("x")) * (10 + NEAR_TENTHS) <= _n(F.col("x")) * (10 - NEAR_TENTHS)
+    # Keys are hashed, so that rows are short: a chance meeting is one more candidate, and is not verified.
+    salt = F.when(F.col("token") >= F.lit((1 << 62) - (1 << (62 - 7))), F.pmod("ord", F.lit(SALTS))).otherwise(F.lit(0))  # the most frequent 128th of the buckets
+    first_round = _tokens(sets.withColumn("gone", F.lit(False))).filter(ahead).select(F.xxhash64("token", "size", salt).alias("key"), "ord", "x", "s")
+    led = first_round.withColumn("lead", F.first(F.struct("ord", "x", "s")).over(Window.partitionBy("key").orderBy("ord"))).filter("lead.ord < ord")
+    led = led.filter(_may_match(_n(F.col("x")), _n(F.col("lead.x"))) & _position(_n(F.col("x")), _i(F.col("x")), _n(F.col("lead.x")), _i(F.col("lead.x"))) & _alike(_n(F.col("x")), F.col("s"), _n(F.col("lead.x")), F.col("lead.s")))
     tried = cut(_sketched(led.select(F.col("ord").alias("a"), F.col("lead.ord").alias("b")).distinct(), sets), "line-tried")
     gone = cut(_verified(tried, rows, ranks, bits).select(F.col("a").alias("ord")).distinct(), "line-gone")
 
-    left = tokens.join(gone, "ord", "left_anti").select(*[F.col(c).alias(f"{c}_a") for c in ("ord", "n", "i", "token")], F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size_a"))
-    met = left.join(tokens, (F.col("token_a") == F.col("token")) & (F.col("size_a") == F.col("size")) & (F.col("ord_a") > F.col("ord")) & _may_match(F.col("n_a"), F.col("n")) & _position(F.col("n_a"), F.col("i_a"), F.col("n"), F.col("i")))
-    rest = _sketched(met.select(F.col("ord_a").alias("a"), F.col("ord").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), sets)
+    marked = _tokens(sets.join(_sent(gone, gone.count()).withColumn("gone", F.lit(True)), "ord", "left").withColumn("gone", F.coalesce("gone", F.lit(False))))
+    large = marked.select(F.xxhash64("token", "size").alias("key"), "ord", "x", "s")
+    small = marked.filter(ahead).select(F.explode(F.array(F.xxhash64("token", "size"), F.xxhash64("token", F.col("size") + 1))).alias("key_s"), F.col("ord").alias("ord_s"), F.col("x").alias("x_s"), F.col("s").alias("s_s"))
+    n, m = _n(F.col("x")), _n(F.col("x_s"))
+    order = (m < n) | ((m == n) & (F.col("ord_s") < F.col("ord")))
+    open_ = F.when(F.col("ord_s") > F.col("ord"), F.col("x_s")).otherwise(F.col("x")).bitwiseAND(F.lit(1)) == 0
+    met = small.join(large, (F.col("key_s") == F.col("key")) & order & open_ & _may_match(m, n) & _position(m, _i(F.col("x_s")), n, _i(F.col("x"))) & _alike(n, F.col("s"), m, F.col("s_s")))
+    rest = _sketched(met.select(F.greatest("ord", "ord_s").alias("a"), F.least("ord", "ord_s").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), sets)
     late = _verified(cut(rest, "line-tried"), rows, ranks, bits).select(F.col("a").alias("ord")).distinct()
     removed = gone.unionByName(late).distinct().withColumn("similar", F.lit(True))
     status = cut(sets.select("h1", "h2", F.col("ord").alias("first")).join(removed.withColumnRenamed("ord", "first"), "first", "left"), "line-status")
@@ -164,7 +203,8 @@ def matches(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
 def _by_document(removed: DataFrame, bits: int) -> DataFrame:
     """(__n, removed): the places of a document's removed lines; as many as it has lines at most."""
     place = F.col("ord").bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
-    return removed.groupBy(F.shiftright("ord", bits).alias("__n")).agg(F.sort_array(F.collect_list(place)).alias("removed"))
+    found = removed.groupBy(F.shiftright("ord", bits).alias("__n")).agg(F.sort_array(F.collect_list(place)).alias("removed"))
+    return _sent(found, removed.count())
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
