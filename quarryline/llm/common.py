@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -24,10 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends at files that outlive any executor."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    """Write df to the shared folder and read it back: lineage ends at files that outlive any executor.
+
+    What was shuffled for it is of no more use. Spark deletes such files once the driver has collected
+    the plans that made them, which an idle heap puts off; so it is asked to, here.
+    """
+    spark, schema = df.sparkSession, df.schema
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def clean_text(text: str | Column = "text") -> Column:
