@@ -187,7 +187,10 @@ def matches(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
 
     marked = _tokens(sets.join(_sent(gone, gone.count()).withColumn("gone", F.lit(True)), "ord", "left").withColumn("gone", F.coalesce("gone", F.lit(False))))
     large = marked.select(F.xxhash64("token", "size").alias("key"), "ord", "x", "s")
-    small = marked.filter(ahead).select(F.explode(F.array(F.xxhash64("token", "size"), F.xxhash64("token", F.col("size") + 1))).alias("key_s"), F.col("ord").alias("ord_s"), F.col("x").alias("x_s"), F.col("s").alias("s_s"))
+    # The larger set's size is at most what the place of the first shared token leaves, so often of the same class.
+    most = F.floor((_n(F.col("x")) * 10 - _i(F.col("x")) * (10 + NEAR_TENTHS)) / NEAR_TENTHS)
+    classes = F.explode(F.array_distinct(F.array(F.col("size"), _class(most)))).alias("class")
+    small = marked.filter(ahead).select("token", F.col("ord").alias("ord_s"), F.col("x").alias("x_s"), F.col("s").alias("s_s"), classes).withColumn("key_s", F.xxhash64("token", "class")).drop("token", "class")
     n, m = _n(F.col("x")), _n(F.col("x_s"))
     order = (m < n) | ((m == n) & (F.col("ord_s") < F.col("ord")))
     open_ = F.when(F.col("ord_s") > F.col("ord"), F.col("x_s")).otherwise(F.col("x")).bitwiseAND(F.lit(1)) == 0
