@@ -6,11 +6,14 @@ children (its presentation styles) and on how many pages each text block below i
 entropy of the styles is the node's importance as presentation; one less the mean entropy of its
 blocks is its importance as content: a block that stands on every page says nothing. Both are
 combined, the more by content the more children a node has, and branches below LEAST, on hosts with
-enough pages, are removed from each page. What remains of a page's articles (of its main part, else
-of its body) is its text, without elements and classes whose meaning is known: menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and reader comments. Paragraphs,
-headings and the article itself are never removed by the tree, so a host that repeats an article
-keeps it.
+enough pages, are removed from each page. Nodes that hold a block themselves (paragraphs, headings,
+quotations) are nodes of the tree too, inside articles as well as outside, and so are their single
+blocks: the importance of a block is one less the share of the node's other pages that have it. What
+remains of a page's articles (of its main part, else of its body) is its text, without elements and
+classes whose meaning is known: menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+styles and reader comments. Those decide first, since adverts and footers often differ from page to
+page and are then important to any tree. A page of which no block would be left keeps those outside
+low branches, and an article itself is no branch, so a host that repeats an article keeps it.
 
 Blocks end where a block element starts or ends; a line break is a space. Only counts by host, path
 and feature are shuffled, and they are summed before; the pages are not.
@@ -23,7 +26,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urlsplit
 
@@ -36,7 +39,7 @@ from quarryline.llm.common import cut
 
 #: Weight of presentation against content by children; importance below which a branch goes; pages that a host needs for that.
 GAMMA, LEAST, PAGES = 0.9, 0.3, 8
-#: Noise nodes (host, path) up to which they are sent to every executor; beyond, pages are joined by host.
+#: Noise nodes and blocks of hosts up to which they are sent to every executor; beyond, pages are joined by host.
 BROADCAST_ROWS = 200_000
 DEEPEST = 6
 
@@ -58,13 +61,19 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def block_key(path: int, feature: int) -> int:
+    """A block at a path, as one number of 64 bits beside the paths."""
+    return _hash(f"{path} {feature}")
+
+
 class Node:
-    __slots__ = ("tag", "path", "depth", "parent", "noise", "main", "children", "container")
+    __slots__ = ("tag", "path", "depth", "parent", "noise", "main", "children", "container", "leaf")
 
     def __init__(self, tag: str, path: str, depth: int, parent: Node | None, noise: bool, main: bool):
         self.tag, self.path, self.depth, self.parent, self.noise, self.main = tag, path, depth, parent, noise, main
         self.children: list[str] = []
         self.container = tag in CONTAINER and tag not in MAIN
+        self.leaf = not (self.container or main or tag in ("", "html", "body"))
 
 
 class Page(HTMLParser):
@@ -152,21 +161,24 @@ class Page(HTMLParser):
         self.parts.append(data)
 
     def features(self) -> Iterator[tuple[int, int, int, int]]:
-        """(path, kind, feature, children) of the container nodes: kind 0 a style, 1 a block below it; once a page each."""
+        """(path, kind, feature, children) of containers and of nodes with a block: kind 0 a style, 1 a block at or below it, 2 its pages; once a page each."""
         seen = set()
-        for n in self.nodes:
-            if n.container and n.depth <= DEEPEST + 2:
-                seen.add((_hash(n.path), 0, _hash("|".join(n.children)), len(n.children)))
+        for n in {id(n): n for n in (*(n for n in self.nodes if n.container), *(n for n, _ in self.blocks if not n.noise))}.values():
+            if n.depth <= DEEPEST + 2 or not n.container:
+                path = _hash(n.path)
+                seen.add((path, 0, _hash("|".join(n.children)), len(n.children)))
+                seen.add((path, 2, 0, 0))
         for node, text in self.blocks:
             feature, at = None, node
             while at is not None:
-                if at.container and at.depth <= DEEPEST + 2:
+                if at.container and at.depth <= DEEPEST + 2 or at is node and not at.noise:
                     feature = _hash(text) if feature is None else feature
                     seen.add((_hash(at.path), 1, feature, 0))
                 at = at.parent
         return iter(seen)
 
     def text(self, removed: frozenset[int]) -> str:
+        """The main text, without branches whose path, and blocks whose path or block_key(), is in removed."""
         gone: dict[int, bool] = {}
 
         def low(n: Node | None) -> bool:
@@ -176,6 +188,16 @@ class Page(HTMLParser):
                 gone[id(n)] = n.container and bool(removed) and _hash(n.path) in removed or (not n.main and low(n.parent))
             return gone[id(n)]
 
+        def known(n: Node, t: str) -> bool:
+            """The tree knows the block, or the node that holds it, as noise."""
+            path = _hash(n.path)
+            return n.leaf and path in removed or block_key(path, _hash(t)) in removed
+
+        def joined(blocks: Iterable[tuple[Node, str]]) -> str:
+            high = [(n, t) for n, t in blocks if not low(n)]
+            left = [t for n, t in high if not known(n, t)] if removed else []
+            return "\n".join(left or [t for _, t in high])
+
         def root(n: Node | None) -> Node | None:
             """The outermost main node that n is in, of those that aren't themselves noise."""
             best = None
@@ -190,10 +212,10 @@ class Page(HTMLParser):
         articles = [r for r in clean if r.tag == "article"] or clean
         if articles:
             keep = {id(r) for r in articles}
-            return "\n".join(t for n, t in self.blocks if (r := root(n)) is not None and id(r) in keep and not n.noise and not low(n))
+            return joined((n, t) for n, t in self.blocks if (r := root(n)) is not None and id(r) in keep and not n.noise)
         if mains:  # an article inside an element that was never closed
-            return "\n".join(t for n, t in self.blocks if root(n) is not None and not self._noise_below(n))
-        return "\n".join(t for n, t in self.blocks if not n.noise and not low(n))
+            return joined((n, t) for n, t in self.blocks if root(n) is not None and not self._noise_below(n))
+        return joined((n, t) for n, t in self.blocks if not n.noise)
 
     @staticmethod
     def _noise_below(n: Node) -> bool:
@@ -228,22 +250,49 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 6, _COUNTS, strict=True)], schema=_COUNTS)
 
 
-def noise_nodes(pages: DataFrame) -> DataFrame:
-    """(host, path) of the site style trees' branches of low importance, with that importance."""
+def _summed(pages: DataFrame) -> DataFrame:
+    """The pages of each host, path and feature."""
     counts = pages.select("url", "html").mapInArrow(_count, "host string, path long, kind byte, feature long, pages long, children long")
-    summed = counts.groupBy("host", "path", "kind", "feature").agg(F.sum("pages").alias("c"), F.sum("children").alias("children"))
+    return counts.groupBy("host", "path", "kind", "feature").agg(F.sum("pages").alias("c"), F.sum("children").alias("children"))
+
+
+def _importance(summed: DataFrame) -> DataFrame:
+    """(host, path, importance, n) of the nodes that were counted PAGES times at least; n: on how many pages."""
     style, block = F.col("kind") == 0, F.col("kind") == 1
     c = F.col("c").cast("double")
     nodes = summed.groupBy("host", "path").agg(
         F.sum(F.when(style, c)).alias("m"), F.sum(F.when(style, c * F.log(c))).alias("styles"), F.sum(F.when(style, F.col("children"))).alias("children"),
         F.sum(F.when(block, c)).alias("blocks"), F.sum(F.when(block, c * F.log(c))).alias("repeats"),
+        F.sum(F.when(F.col("kind") == 2, F.col("c"))).alias("n"),
     ).filter(F.col("m") >= PAGES)
     log_m = F.log("m")
     presentation = F.when(F.col("m") > 1, (log_m - F.col("styles") / F.col("m")) / log_m).otherwise(1.0)
     content = F.when(F.coalesce("blocks", F.lit(0)) > 0, 1 - F.col("repeats") / F.col("blocks") / log_m).otherwise(0.0)
     fade = F.pow(F.lit(GAMMA), F.col("children") / F.col("m"))
     importance = F.when(F.col("children") > 0, (1 - fade) * content + fade * presentation).otherwise(content)
-    return nodes.select("host", "path", importance.alias("importance"))
+    return nodes.select("host", "path", importance.alias("importance"), "n")
+
+
+def noise_nodes(pages: DataFrame) -> DataFrame:
+    """(host, path, importance) of the site style trees' nodes; low ones are noise."""
+    return _importance(_summed(pages)).select("host", "path", "importance")
+
+
+def low_keys(pages: DataFrame) -> DataFrame:
+    """(host, key) of what is removed: the paths of low nodes, and the block_key() of low blocks."""
+    summed = cut(_summed(pages), "site-counts")
+    nodes = _importance(summed)
+    # A low block stands on so many pages at least, since its node stands on PAGES.
+    often = summed.filter((F.col("kind") == 1) & (F.col("c") > (1 - LEAST) * (PAGES - 1))).select("host", "path", "feature", "c")
+    blocks = often.join(nodes.filter(F.col("n") >= PAGES), ["host", "path"]).filter((F.col("c") - 1) / (F.col("n") - 1) > 1 - LEAST)
+    keyed = blocks.select("host", "path", "feature").mapInArrow(_keys, "host string, key long")
+    return nodes.filter(F.col("importance") < LEAST).select("host", F.col("path").alias("key")).unionByName(keyed)
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keys = [block_key(p, f) for p, f in zip(b["path"].to_pylist(), b["feature"].to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b["host"], pa.array(keys, pa.int64())], ["host", "key"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch], lookup) -> Iterator[pa.RecordBatch]:
@@ -255,7 +304,7 @@ def _extract(batches: Iterator[pa.RecordBatch], lookup) -> Iterator[pa.RecordBat
 def extract(pages: DataFrame) -> DataFrame:
     """Every page's main text."""
     spark = pages.sparkSession
-    low = cut(noise_nodes(pages).filter(F.col("importance") < LEAST).groupBy("host").agg(F.collect_set("path").alias("paths"), F.count("*").alias("n")), "site-noise")
+    low = cut(low_keys(pages).groupBy("host").agg(F.collect_set("key").alias("paths"), F.count("*").alias("n")), "site-noise")
     kind = "page_id long, url string, text string, n_chars long"
     plain = pages.select("page_id", "url", "html")
     if (low.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_ROWS:

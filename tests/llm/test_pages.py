@@ -41,3 +41,11 @@ def test_repeated_branches_go(spark, monkeypatch):
         got = {r.page_id: r.text for r in sitetree.extract(df).collect()}
         assert got[1] == "same text" and got[2] == "text 2" and got[100] == "text 0\nMore on this site"
     assert {r.host for r in sitetree.noise_nodes(df).collect()} == {"h.org"}
+
+
+def test_repeated_blocks_of_articles_go(spark):
+    """Unnamed paragraphs, headings and quotations inside the article that say the same on a host's pages go; a host that repeats an article keeps it."""
+    page = lambda i: f"<body><article><h1>Title {i}</h1><p>Read this first</p><p>text {i}</p><h2>About us</h2><blockquote>Notice {i % 2}</blockquote></article></body>"
+    rows = [(i, f"http://h.org/{i}", page(i)) for i in range(40)] + [(100 + i, f"http://same.org/{i}", page(1)) for i in range(40)]
+    got = {r.page_id: r.text for r in sitetree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[7] == "Title 7\ntext 7" and got[107] == "Title 1\nRead this first\ntext 1\nAbout us\nNotice 1"
