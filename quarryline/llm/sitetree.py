@@ -5,8 +5,8 @@ each container node the tree knows on how many pages it stands, how often it had
 children (its presentation styles) and on how many pages each text block below it occurred. The
 entropy of the styles is the node's importance as presentation; one less the mean entropy of its
 blocks is its importance as content: a block that stands on every page says nothing. Both are
-combined, the more by content the more children a node has, and branches below LEAST, on hosts with
-enough pages, are removed from each page. Nodes that hold a block themselves (paragraphs, headings,
+combined, the more by content the more children a node has, and branches of which no node reaches
+LEAST, on hosts with enough pages, are removed from each page. Nodes that hold a block themselves (paragraphs, headings,
 quotations) are nodes of the tree too, inside articles as well as outside, and so are their single
 blocks: the importance of a block is one less the share of the node's other pages that have it. What
 remains of a page's articles (of its main part, else of its body) is its text, without elements and
@@ -15,6 +15,9 @@ styles and reader comments. Those decide first, since adverts and footers often
 page and are then important to any tree. A page of which no block would be left keeps those outside
 low branches, and an article itself is no branch, so a host that repeats an article keeps it.
 
+Nodes of all depths count; a path is a hash of its parent's path and its own element, so deep pages
+cost no more a node than flat ones.
+
 Blocks end where a block element starts or ends; a line break is a space. Only counts by host, path
 and feature are shuffled, and they are summed before; the pages are not.
 
@@ -41,7 +44,6 @@ from quarryline.llm.common import cut
 GAMMA, LEAST, PAGES = 0.9, 0.3, 8
 #: Noise nodes and blocks of hosts up to which they are sent to every executor; beyond, pages are joined by host.
 BROADCAST_ROWS = 200_000
-DEEPEST = 6
 
 #: Element names and class words whose meaning is known.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -67,10 +69,10 @@ def block_key(path: int, feature: int) -> int:
 
 
 class Node:
-    __slots__ = ("tag", "path", "depth", "parent", "noise", "main", "children", "container", "leaf")
+    __slots__ = ("tag", "path", "parent", "noise", "main", "children", "container", "leaf")
 
-    def __init__(self, tag: str, path: str, depth: int, parent: Node | None, noise: bool, main: bool):
-        self.tag, self.path, self.depth, self.parent, self.noise, self.main = tag, path, depth, parent, noise, main
+    def __init__(self, tag: str, path: int, parent: Node | None, noise: bool, main: bool):
+        self.tag, self.path, self.parent, self.noise, self.main = tag, path, parent, noise, main
         self.children: list[str] = []
         self.container = tag in CONTAINER and tag not in MAIN
         self.leaf = not (self.container or main or tag in ("", "html", "body"))
@@ -81,7 +83,7 @@ class Page(HTMLParser):
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        root = Node("", "", 0, None, False, False)
+        root = Node("", 0, None, False, False)
         self.nodes, self.stack = [root], [root]
         self.blocks: list[tuple[Node, str]] = []
         self.parts: list[str] = []
@@ -120,7 +122,7 @@ class Page(HTMLParser):
         noise = tag in NOISE or bool(name and tag not in ("body", "html") and NOISE_WORD.search(name)) or "hidden" in have or have.get("aria-hidden") == "true" or bool(HIDDEN.search(have.get("style") or ""))
         noise = noise or tag == "header" and not self._in_main(above)
         sign = f"{tag}.{'.'.join(sorted((have.get('class') or '').split()))}"
-        node = Node(tag, f"{above.path}>{sign}", above.depth + 1, above, noise or above.noise, tag in MAIN or have.get("role") == "main")
+        node = Node(tag, _hash(f"{above.path}>{sign}"), above, noise or above.noise, tag in MAIN or have.get("role") == "main")
         above.children.append(sign)
         self.nodes.append(node)
         self.stack.append(node)
@@ -164,37 +166,37 @@ class Page(HTMLParser):
         """(path, kind, feature, children) of containers and of nodes with a block: kind 0 a style, 1 a block at or below it, 2 its pages; once a page each."""
         seen = set()
         for n in {id(n): n for n in (*(n for n in self.nodes if n.container), *(n for n, _ in self.blocks if not n.noise))}.values():
-            if n.depth <= DEEPEST + 2 or not n.container:
-                path = _hash(n.path)
-                seen.add((path, 0, _hash("|".join(n.children)), len(n.children)))
-                seen.add((path, 2, 0, 0))
+            seen.add((n.path, 0, _hash("|".join(n.children)), len(n.children)))
+            seen.add((n.path, 2, 0, 0))
         for node, text in self.blocks:
             feature, at = None, node
             while at is not None:
-                if at.container and at.depth <= DEEPEST + 2 or at is node and not at.noise:
+                if at.container or at is node and not at.noise:
                     feature = _hash(text) if feature is None else feature
-                    seen.add((_hash(at.path), 1, feature, 0))
+                    seen.add((at.path, 1, feature, 0))
                 at = at.parent
         return iter(seen)
 
     def text(self, removed: frozenset[int]) -> str:
         """The main text, without branches whose path, and blocks whose path or block_key(), is in removed."""
-        gone: dict[int, bool] = {}
-
-        def low(n: Node | None) -> bool:
-            if n is None:
-                return False
-            if id(n) not in gone:
-                gone[id(n)] = n.container and bool(removed) and _hash(n.path) in removed or (not n.main and low(n.parent))
-            return gone[id(n)]
 
         def known(n: Node, t: str) -> bool:
             """The tree knows the block, or the node that holds it, as noise."""
-            path = _hash(n.path)
-            return n.leaf and path in removed or block_key(path, _hash(t)) in removed
+            return n.leaf and n.path in removed or block_key(n.path, _hash(t)) in removed
+
+        gone: set[int] = set()
+        if removed:
+            high = {id(n) for n in self.nodes if n.container and not n.noise and n.path not in removed}
+            high |= {id(n) for n, t in self.blocks if not n.noise and not n.container and not known(n, t)}
+            for n in reversed(self.nodes):  # a branch goes only if nothing in it is important
+                if id(n) in high:
+                    high.add(id(n.parent))
+            for n in self.nodes:  # parents come first
+                if n.container and n.path in removed and id(n) not in high or not n.main and id(n.parent) in gone:
+                    gone.add(id(n))
 
         def joined(blocks: Iterable[tuple[Node, str]]) -> str:
-            high = [(n, t) for n, t in blocks if not low(n)]
+            high = [(n, t) for n, t in blocks if id(n) not in gone]
             left = [t for n, t in high if not known(n, t)] if removed else []
             return "\n".join(left or [t for _, t in high])
 

@@ -49,3 +49,13 @@ def test_repeated_blocks_of_articles_go(spark):
     rows = [(i, f"http://h.org/{i}", page(i)) for i in range(40)] + [(100 + i, f"http://same.org/{i}", page(1)) for i in range(40)]
     got = {r.page_id: r.text for r in sitetree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[7] == "Title 7\ntext 7" and got[107] == "Title 1\nRead this first\ntext 1\nAbout us\nNotice 1"
+
+
+def test_branches_of_any_depth_go(spark):
+    """A branch that repeats goes at any depth; the depth of a page is not bounded."""
+    page = lambda i: "<body>" + "<div class='x'>" * 30 + f"<div class='tail'><div>More here</div></div><p>text {i}</p>"
+    rows = [(i, f"http://h.org/{i}", page(i)) for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.text for r in sitetree.extract(df).collect()} == {f"text {i}" for i in range(12)}
+    assert sitetree.noise_nodes(df).filter("importance < 0.3").count() >= 2
+    assert Page("<div>" * 5000 + "deep").text(frozenset([1])) == "deep"
