@@ -35,13 +35,19 @@ def remainder(mod: int, doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(mod))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, sample: int = SAMPLE, excerpt: int = EXCERPT) -> tuple[list[tuple[str, int]], dict[int, int]]:
-    """(text, label) of a bounded sample of labelled rows outside the held-out fold, and each class's rows there."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, sample: int) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, whole text, label y) of a bounded sample of labelled rows outside the held-out fold, and each class's rows there."""
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (remainder(mod) != held)).select("doc_id", F.col(label).cast("int").alias("y")).distinct()
     total = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     ids = [known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     chosen = F.broadcast(ids[0].unionByName(ids[1]))  # at most 2 * sample rows
-    got = docs.select("doc_id", clean_text().alias("text")).join(chosen, "doc_id").select("doc_id", F.substring("text", 1, excerpt).alias("text"), "y").dropDuplicates(["doc_id", "y"])
+    return docs.select("doc_id", clean_text().alias("text")).join(chosen, "doc_id").select("doc_id", "text", "y"), total
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, sample: int = SAMPLE, excerpt: int = EXCERPT) -> tuple[list[tuple[str, int]], dict[int, int]]:
+    """(excerpt, label) of labelled_rows()."""
+    got, total = labelled_rows(docs, labels, label, mod, held, sample)
+    got = got.withColumn("text", F.substring("text", 1, excerpt)).dropDuplicates(["doc_id", "y"])
     rows = sorted((r["doc_id"], r["text"], r["y"]) for r in got.collect())
     return [(t, y) for _, t, y in rows], total
 

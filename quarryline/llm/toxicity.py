@@ -10,8 +10,8 @@ that remain between voters within a class weaken their weights, so voters that r
 count once. A linear classifier over the single terms is trained on the posterior labels, over the
 counts of distinct masks in a bounded sample by hash, and scores all documents.
 
-Bounds: at most SAMPLE labelled documents of each class and EXCERPT code points of each for mining,
-at most MASKS distinct masks, the most frequent, for the linear classifier. Votes cover all rows.
+Bounds: at most SAMPLE labelled documents of each class for mining, by a hash of doc_id. Their whole
+texts are read by executors; the driver gets counts of significant features only. At most MASKS distinct masks, the most frequent, for the linear classifier. Votes cover all rows.
 
 Defined results: null and empty texts fire no voter and get the score of that; repeated rows count
 and are scored each; without labels the fixed terms alone decide; extra columns are ignored.
@@ -22,17 +22,19 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
 
 from quarryline.llm.common import cut, with_numbers
-from quarryline.llm.quality import labelled_sample, logistic, remainder
+from quarryline.llm.quality import labelled_rows, logistic, remainder
 
-SAMPLE, EXCERPT, MASKS = 2000, 8192, 20_000
+SAMPLE, MASKS = 3000, 20_000
 THRESHOLD = 0.7
 
 #: Common insults of the English language, matched as whole words.
@@ -49,39 +51,45 @@ def features(text: str) -> set[str]:
     return {f for w in set(_WORD.findall(text.lower())) for f in ("=" + w, *("^" + w[:k] for k in range(4, min(len(w), 7))))}
 
 
-def mine(sample: list[tuple[str, int]], total: dict[int, int]) -> list[str]:
-    """Word stems that mark toxic rows: '=word' is the whole word, '^stem' a word's start.
+def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many toxic and how many other rows of a batch have each feature."""
+    for b in batches:
+        pos, neg = Counter(), Counter()
+        for t, y in zip(b["text"].to_pylist(), b["y"].to_pylist(), strict=True):
+            (pos if y else neg).update(features(t))
+        names = list(pos | neg)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([pos[f] for f in names], pa.int64()), pa.array([neg[f] for f in names], pa.int64())], ["feature", "pos", "neg"])
+
+
+def mine(rows: DataFrame, total: dict[int, int]) -> list[str]:
+    """Word stems that mark toxic rows (doc_id, text, y): '=word' is the whole word, '^stem' a word's start.
 
     A feature counts if its association with the class is far beyond chance for the number of
     features tried (the log-likelihood ratio against the base rate); then features are taken that
-    cover the most toxic rows not yet covered twice.
+    cover the most toxic rows not yet covered twice. Executors read the whole texts.
     """
-    n = Counter(y for _, y in sample)
-    if not n[0] or not n[1]:
+    sample = cut(rows.dropDuplicates(["doc_id", "y"]), "toxic-sample")
+    n = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+    if not n.get(0) or not n.get(1):
         return []
-    toxic = [t for t, y in sample if y]
-    up = {y: total[y] / n[y] for y in (0, 1)}  # rows that a sampled one stands for
-    base = total[1] / (total[0] + total[1])
-    pos: Counter[str] = Counter()
-    for t in toxic:
-        pos.update(features(t))
-    tried = len(pos)
-    pos = Counter({f: c for f, c in pos.items() if c >= 4})
-    neg: Counter[str] = Counter()
-    for t, y in sample:
-        if not y:
-            neg.update(f for f in features(t) if f in pos)
-    floor, good = math.log(tried + 1) + 3, {}
-    for f, c in pos.items():
-        a, b = c * up[1], neg[f] * up[0]
-        p = (a + 0.5) / (a + b + 1)
-        if p >= 0.85 and c * (p * math.log(p / base) + (1 - p) * math.log((1 - p) / (1 - base))) >= floor:
-            good[f] = p
+    counted = sample.select("text", "y").mapInArrow(_count_features, "feature string, pos long, neg long")
+    counts = cut(counted.groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter("pos > 0"), "toxic-features")
+    base, floor = total[1] / (total[0] + total[1]), math.log(counts.count() + 1) + 3
+    # A sampled row stands for total / n rows of its class.
+    a, b = F.col("pos") * (total[1] / n[1]), F.col("neg") * (total[0] / n[0])
+    share = counts.filter("pos >= 4").withColumn("p", (a + 0.5) / (a + b + 1))
+    p = F.col("p")
+    significant = share.filter((p >= 0.85) & (F.col("pos") * (p * F.log(p / base) + (1 - p) * F.log((1 - p) / (1 - base))) >= floor))
+    good = {r["feature"]: r["p"] for r in significant.collect()}
+
+    def held_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(f for f in features(t) if f in good) for t in b["text"].to_pylist()], pa.list_(pa.string()))], ["held"])
+
     holders: dict[str, list[int]] = {f: [] for f in good}
-    for i, t in enumerate(toxic):
-        for f in features(t):
-            if f in good:
-                holders[f].append(i)
+    for i, r in enumerate(sample.filter("y = 1").select("text").mapInArrow(held_by, "held array<string>").collect()):  # at most SAMPLE rows
+        for f in r["held"]:
+            holders[f].append(i)
     cover, chosen = Counter(), []
     while good and len(chosen) < MINED:
         best = max(good, key=lambda f: (sum(cover[i] < 2 for i in holders[f]) * good[f] ** 4, len(f), f))
@@ -197,7 +205,7 @@ def _vote(mask: Column, voters: list[int]) -> Column:
 
 def scored(docs: DataFrame, labels: DataFrame, keep: list[str], mod: int = 3, held: int = 1) -> DataFrame:
     """docs' columns `keep` with the probability __score of label 1; labels whose remainder is `held` are never learnt from."""
-    sample, total = labelled_sample(docs, labels, "toxic", mod, held, SAMPLE, EXCERPT)
+    sample, total = labelled_rows(docs, labels, "toxic", mod, held, SAMPLE)
     fixed = [f"={w}" for w in INSULTS]
     terms = fixed + [t for t in mine(sample, total) if t not in fixed]
     voters = voter_bits(terms, len(fixed))

@@ -59,3 +59,11 @@ def test_insults_are_caught_in_any_place(make_docs, labels):
     texts = [filler * 500 + "you are a pathetic idiot", filler * 500, "trash", "trashy is another word", "stupid moron, scum!"] + [filler + str(i) for i in range(60)]
     rows = {r.doc_id: r.predicted for r in toxicity.score(make_docs(texts), labels([(i, 1, 1 if i in (2, 4) else 0, "") for i in range(1, 60)])).collect()}
     assert [rows[i] for i in range(5)] == [1, 0, 1, 0, 1]
+
+
+def test_insults_are_mined_from_whole_texts(make_docs, labels):
+    """A word of the end of long texts is learnt, and found in others."""
+    filler = "some plain words about the weather and the road " * 400
+    texts = [filler + (f"zorbel {i}" if i % 3 == 0 else f"{i}") for i in range(120)] + ["a zorbel here", "plain words here"]
+    rows = {r.doc_id: r.predicted for r in toxicity.score(make_docs(texts), labels([(i, 1, int(i % 3 == 0), "") for i in range(120)])).collect()}
+    assert (rows[120], rows[121]) == (1, 0)
