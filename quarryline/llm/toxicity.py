@@ -8,10 +8,12 @@ generative two-class model is fitted by expectation maximisation: each voter's r
 either class, that is its accuracy, with labelled training rows held at their class. Correlations
 that remain between voters within a class weaken their weights, so voters that repeat one another
 count once. A linear classifier over the single terms is trained on the posterior labels, over the
-counts of distinct masks in a bounded sample by hash, and scores all documents.
+counts of all distinct masks, whose gradients executors sum, and scores all documents.
 
 Bounds: at most SAMPLE labelled documents of each class for mining, by a hash of doc_id. Their whole
-texts are read by executors; the driver gets counts of significant features only. At most MASKS distinct masks, the most frequent, for the linear classifier. Votes cover all rows.
+texts are read by executors; the driver gets counts of significant features only.
+The number of mined terms is not bounded otherwise: a mask has as many bits as there are terms. Votes
+and the linear classifier cover all rows.
 
 Defined results: null and empty texts fire no voter and get the score of that; repeated rows count
 and are scored each; without labels the fixed terms alone decide; extra columns are ignored.
@@ -27,21 +29,21 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType
+from pyspark.sql.types import BinaryType, DoubleType, LongType
 
 from quarryline.llm.common import cut, with_numbers
-from quarryline.llm.quality import labelled_rows, logistic, remainder
+from quarryline.llm.quality import labelled_rows, remainder
 
-SAMPLE, MASKS = 3000, 20_000
+SAMPLE = 3000
 THRESHOLD = 0.7
 
 #: Common insults of the English language, matched as whole words.
 INSULTS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "clown", "pathetic", "worthless", "disgusting", "imbecile", "bastard", "filthy", "vermin", "dumb", "ugly")
 #: Patterns: shouting, strings of exclamation marks, a second person that is called something.
 PATTERNS = (r"(?:\b[A-Z]{4,}\b\W+){4}", r"!{3,}", r"(?i)\byou(?:'re| are)? (?:an? )?(?:\w+ )?(?:idiot|moron|loser|clown|scum|trash)")
-MINED, FIXED_VOTERS, MINED_VOTERS = 40, 4, 8
+FIXED_VOTERS, MINED_VOTERS = 4, 8
 VOTERS = FIXED_VOTERS + MINED_VOTERS + len(PATTERNS)
 _WORD = re.compile(r"\w+")
 
@@ -65,8 +67,9 @@ def mine(rows: DataFrame, total: dict[int, int]) -> list[str]:
     """Word stems that mark toxic rows (doc_id, text, y): '=word' is the whole word, '^stem' a word's start.
 
     A feature counts if its association with the class is far beyond chance for the number of
-    features tried (the log-likelihood ratio against the base rate); then features are taken that
-    cover the most toxic rows not yet covered twice. Executors read the whole texts.
+    features tried (the log-likelihood ratio against the base rate); features come first that cover the
+    most toxic rows not yet covered twice, then all others that no stem taken already implies.
+    Executors read the whole texts.
     """
     sample = cut(rows.dropDuplicates(["doc_id", "y"]), "toxic-sample")
     n = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
@@ -91,13 +94,18 @@ def mine(rows: DataFrame, total: dict[int, int]) -> list[str]:
         for f in r["held"]:
             holders[f].append(i)
     cover, chosen = Counter(), []
-    while good and len(chosen) < MINED:
+    while good:
         best = max(good, key=lambda f: (sum(cover[i] < 2 for i in holders[f]) * good[f] ** 4, len(f), f))
         if sum(cover[i] < 2 for i in holders[best]) < 3:
             break
         chosen.append(best)
         cover.update(holders[best])
         del good[best]
+    taken = set(chosen)
+    for f in sorted(good, key=lambda f: (len(f), f)):  # '=idiots' and '^idiots' imply '^idio'
+        if not any("^" + f[1:k] in taken for k in range(5, len(f) + 1)):
+            taken.add(f)
+            chosen.append(f)
     return chosen
 
 
@@ -195,12 +203,38 @@ class LabelModel:
         return c
 
 
-def _vote(mask: Column, voters: list[int]) -> Column:
-    v = F.lit(0).cast("long")
-    for i, bits in enumerate(voters):
-        if bits:
-            v = v + F.when(mask.bitwiseAND(F.lit(bits)) != 0, F.lit(1 << i)).otherwise(F.lit(0))
-    return v
+def _vote(mask: int, voters: list[int]) -> int:
+    return sum(1 << i for i, bits in enumerate(voters) if mask & bits)
+
+
+def _gradient(batches: Iterator[pa.RecordBatch], width: int, posterior: dict[int, float], w: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The sums of Newton's method at w over rows (mask, vote, count): the gradient, then the curvature."""
+    g, h = np.zeros(width + 1), np.zeros((width + 1, width + 1))
+    for b in batches:
+        masks = np.frombuffer(b"".join(b["mask"].to_pylist()), np.uint8).reshape(b.num_rows, -1)
+        for at in range(0, b.num_rows, 2048):
+            x = np.unpackbits(masks[at : at + 2048], axis=1, bitorder="little", count=width).astype(float)
+            x = np.column_stack([x, np.ones(len(x))])
+            n = b["count"].to_numpy()[at : at + 2048].astype(float)
+            p = np.array([posterior[v] for v in b["vote"].to_pylist()[at : at + 2048]])
+            q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            g += x.T @ (n * (p - q))
+            h += (x * (n * q * (1 - q))[:, None]).T @ x
+    yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([g, h.ravel()])], pa.list_(pa.float64()))], ["sums"])
+
+
+def fit(counts: DataFrame, width: int, posterior: dict[int, float], ridge: float = 0.02, rounds: int = 50) -> np.ndarray:
+    """Coefficients of all masks' bits, the intercept last, by Newton's method; executors sum the gradients of the distinct masks."""
+    w, penalty = np.zeros(width + 1), ridge * np.eye(width + 1)
+    for _ in range(rounds):
+        at = w.copy()
+        parts = counts.mapInArrow(lambda batches, at=at: _gradient(batches, width, posterior, at), "sums array<double>").collect()
+        sums = np.sum([r["sums"] for r in parts], axis=0) if parts else np.zeros((width + 1) * (width + 2))
+        step = np.linalg.solve(sums[width + 1 :].reshape(width + 1, width + 1) + penalty, sums[: width + 1] - penalty @ w)
+        w = w + step
+        if np.abs(step).max() < 1e-8:
+            break
+    return np.round(w, 8)  # sums come in any order
 
 
 def scored(docs: DataFrame, labels: DataFrame, keep: list[str], mod: int = 3, held: int = 1) -> DataFrame:
@@ -210,31 +244,30 @@ def scored(docs: DataFrame, labels: DataFrame, keep: list[str], mod: int = 3, he
     terms = fixed + [t for t in mine(sample, total) if t not in fixed]
     voters = voter_bits(terms, len(fixed))
 
+    width = len(terms) + len(PATTERNS)
+    size = (width + 7) // 8
+
     def finder():
         marks = Marks(terms)
-        return lambda texts: [np.array([marks.mask(t) for t in texts], np.int64)]
 
-    masks = cut(with_numbers(docs, ["doc_id"], [("mask", LongType())], finder).withColumn("vote", _vote(F.col("mask"), voters)), "toxic-masks")
+        def function(texts: list[str]) -> list:
+            found = [marks.mask(t) for t in texts]
+            return [[m.to_bytes(size, "little") for m in found], np.array([_vote(m, voters) for m in found], np.int64)]
+
+        return function
+
+    masks = cut(with_numbers(docs, ["doc_id"], [("mask", BinaryType()), ("vote", LongType())], finder), "toxic-masks")
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder(mod) != held)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     votes = masks.join(known, "doc_id", "left").groupBy("vote", "y").count().collect()  # at most 3 * 2 ** VOTERS rows
     model = LabelModel({r["vote"]: r["count"] for r in votes if r["y"] is None}, {(r["vote"], r["y"]): r["count"] for r in votes if r["y"] is not None})
 
-    frequent = masks.groupBy("mask", "vote").count().orderBy(F.desc("count"), "mask").limit(MASKS).collect()
-    width = len(terms) + len(PATTERNS)
-    if frequent:
-        x = np.array([[(r["mask"] >> i) & 1 for i in range(width)] for r in frequent], float)
-        p = np.array([model.posterior[r["vote"]] for r in frequent])
-        n = np.array([r["count"] for r in frequent], float)
-        w = logistic(np.vstack([x, x]), np.concatenate([np.ones(len(p)), np.zeros(len(p))]), np.concatenate([n * p, n * (1 - p)]), ridge=0.02)
-    else:
-        w = np.zeros(width + 1)
+    w = fit(cut(masks.groupBy("mask", "vote").count(), "toxic-counts"), width, model.posterior)
 
     def judge():
         marks = Marks(terms)
 
         def function(texts: list[str]) -> list[np.ndarray]:
-            m = [marks.mask(t) for t in texts]
-            z = np.array([w[-1] + sum(w[i] for i in range(width) if v >> i & 1) for v in m], float)
+            z = np.array([w[-1] + sum(w[i] for i, bit in enumerate(reversed(f"{marks.mask(t):b}")) if bit == "1") for t in texts], float)
             return [1 / (1 + np.exp(-z))]
 
         return function

@@ -67,3 +67,12 @@ def test_insults_are_mined_from_whole_texts(make_docs, labels):
     texts = [filler + (f"zorbel {i}" if i % 3 == 0 else f"{i}") for i in range(120)] + ["a zorbel here", "plain words here"]
     rows = {r.doc_id: r.predicted for r in toxicity.score(make_docs(texts), labels([(i, 1, int(i % 3 == 0), "") for i in range(120)])).collect()}
     assert (rows[120], rows[121]) == (1, 0)
+
+
+def test_all_significant_words_are_voters(make_docs, labels):
+    """Sixty words of abuse are all mined; texts with any one of them are caught."""
+    words = [f"{a}{b}zorb" for a in "bcdfghjklm" for b in "aeiouy"]
+    n = 60 * 96
+    texts = [f"plain words {i % 7} {words[i // 96] if i % 4 == 0 else ''}" for i in range(n)] + [f"some {w}" for w in words] + ["some words"]
+    rows = {r.doc_id: r.predicted for r in toxicity.score(make_docs(texts), labels([(i, 1, int(i % 4 == 0), "") for i in range(n)])).collect()}
+    assert [rows[n + i] for i in range(61)] == [1] * 60 + [0]
