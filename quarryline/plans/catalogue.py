@@ -564,6 +564,12 @@ def heading_slug(spark, sf):
     return t(spark, sf, "documents").filter(~first.rlike("[^ -~]")).select("doc_id", T.slug(first).alias("slug"))
 
 
+@query()
+def heading_slug_all(spark, sf):
+    """The slug of every document's first line, of any alphabet; heading_slug and its SQL take ASCII lines only."""
+    return t(spark, sf, "documents").select("doc_id", T.slug(F.substring_index("text", "\n", 1)).alias("slug"))
+
+
 @query("SELECT page_id, 'http://a.org/' || page_id || '.pdf|https://b.org/x.PDF' AS links FROM pages")
 def pdf_links(spark, sf):
     a = F.concat(F.lit("http://a.org/"), F.col("page_id").cast("string"), F.lit(".pdf"))

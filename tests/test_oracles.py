@@ -44,3 +44,12 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_every_heading_has_a_slug(spark, sf, duck):
+    """By Python's own expressions, headings of any alphabet included."""
+    import re
+
+    want = {i: re.sub("[^a-z0-9]+", "-", x.split("\n")[0].strip().lower()).strip("-") for i, x in duck.execute("SELECT doc_id, text FROM documents").fetchall()}
+    got = {r.doc_id: r.slug for r in catalogue.queries()["heading_slug_all"](spark, sf).collect()}
+    assert got == want and len(got) > catalogue.queries()["heading_slug"](spark, sf).count()
