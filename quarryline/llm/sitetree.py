@@ -313,6 +313,6 @@ def extract(pages: DataFrame) -> DataFrame:
         sent = spark.sparkContext.broadcast({r["host"]: frozenset(r["paths"]) for r in low.select("host", "paths").collect()})
         none = frozenset()
         return plain.mapInArrow(lambda batches: _extract(batches, lambda b, i, url: sent.value.get(host(url), none)), kind)
-    name = F.lower(F.coalesce(F.regexp_extract("url", r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
+    name = F.udf(host, "string")("url")  # the rule that made the trees
     joined = plain.withColumn("host", name).join(low.select("host", "paths"), "host", "left").drop("host")
     return joined.mapInArrow(lambda batches: _extract(batches, lambda b, i, url: frozenset(b["paths"][i].as_py() or ())), kind)

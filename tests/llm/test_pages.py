@@ -59,3 +59,12 @@ def test_branches_of_any_depth_go(spark):
     assert {r.text for r in sitetree.extract(df).collect()} == {f"text {i}" for i in range(12)}
     assert sitetree.noise_nodes(df).filter("importance < 0.3").count() >= 2
     assert Page("<div>" * 5000 + "deep").text(frozenset([1])) == "deep"
+
+
+def test_large_noise_sets_use_the_same_hosts(spark, monkeypatch):
+    """Addresses without a scheme, of IPv6 or with two @ have the same host when pages are joined by host."""
+    monkeypatch.setattr(sitetree, "BROADCAST_ROWS", 0)
+    page = lambda i: f"<article><p>text {i}</p><div>More on this site</div></article>"
+    rows = [(i, ("//a.org/x", "http://[::1]/x", "http://u@v@c.org/")[i % 3], page(i)) for i in range(36)]
+    got = sitetree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"text {i}" for i in range(36)}
