@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -20,23 +19,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one if that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
+    """The folder that all executors share: spark.checkpoint.dir; a local one only if that is unset and the master is local."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (folder or LOCAL_CHECKPOINTS).rstrip("/")
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends at files that outlive any executor.
+#: Asks Spark to delete a query's shuffle files once the query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    What was shuffled for it is of no more use. Spark deletes such files once the driver has collected
-    the plans that made them, which an idle heap puts off; so it is asked to, here.
-    """
+
+def cut(df: DataFrame, tag: str) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends at files that outlive any executor. What was shuffled for it is deleted with the query."""
     spark, schema = df.sparkSession, df.schema
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    path, before = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    table = spark.read.schema(schema).parquet(path)
+    table._cut_path = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote and that nothing reads any more."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(t._cut_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bare(docs: DataFrame, *known: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all columns but the known ones renamed by place, so that no name of theirs can clash, and a function that gives a result docs' columns and names back."""
+    names = docs.columns
+    inner = [n if n in known else f"__c{i}" for i, n in enumerate(names)]
+    return docs.toDF(*inner), lambda result: result.select(*inner).toDF(*names)
 
 
 def clean_text(text: str | Column = "text") -> Column:

@@ -2,22 +2,25 @@
 
 A line's tokens are its distinct words (split at spaces, tabs and returns; case kept). Lines with a
 Jaccard similarity of 0.8 or more match; a line that matches an earlier one, by doc_id and place in
-the text, is removed. Lines without words stay.
-
-Tokens are ordered by rarity: by the count of their hash bucket over all lines (BUCKETS counts, the
-only thing the driver holds), then by hash. Two matching lines share a token among the first
-n - ceil(0.8 n) + 1 of each. Lines of equal token sets are one set, so copies meet nobody. Prefix
-tokens are joined by token and size class (sizes that may match are in the same class or the next),
-filtered by size, by position (the smaller set's first shared token is in its first ninth) and by parity
+the text, is removed, whether or not the earlier one is removed itself. Lines without words stay.
+
+Lines that equal an earlier one are removed first, by a pre-aggregated count of their hashes, and
+take no further part. A token's code is its rarity (the logarithm of the count of its hash bucket
+over all texts; the driver holds these 2 ** BUCKETS_BITS counts and nothing else) above its hash;
+a line's tokens are ordered by it, rarest first. Two matching lines share a token among the first
+n - ceil(0.8 n) + 1 of each, and the shared one that comes first is among the first ninth of the
+smaller. These prefix tokens are joined by token and size class (a set also asks in the next class
+if sets that large may match), filtered by size, by place of the shared token and by parity
 sketches, which bound how many tokens differ; what passes is verified on the whole sets.
 
 A group of many similar lines would make pairs by the square of its size. So in a first round each
-set meets only the earliest of its token, class and salt; sets that match it are gone. Only sets
-that are left look for any earlier set in a second, full round.
+line meets only the earliest of its key; tokens frequent by their count are salted there. Lines that
+match it are gone. Then lines that are left meet one another, in one self-join on one shuffle, and
+last they meet lines that are gone, of the keys that both have. Two lines that are gone never meet.
 
 Defined results: null text is the empty text, one line without words; repeated rows are ordered
 among one another in an arbitrary but fixed way, so the lines of all but one go; null doc_ids come
-last; an empty table gives no rows; extra columns are ignored.
+last; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,18 +28,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import clean_text, cut, range_bucket, shuffle_width
+from quarryline.llm.common import bare, clean_text, cut, drop, range_bucket, shuffle_width
 
 NEAR_TENTHS = 8
-BUCKETS_BITS, SALTS = 14, 32
-#: Lines (a long each) up to which they are sent to all executors.
+BUCKETS_BITS = 16
+#: Rows that are sent to all executors at most, of a long or a short list of places each.
 BROADCAST_ROWS = 1_000_000
-_LOW = 62 - BUCKETS_BITS  # bits of a token's code below its rank
-
-
-def _class(n: Column) -> Column:
-    """A size class spans a ratio of 1.25: sets that match are in the same class or neighbours."""
-    return F.floor(F.log(n.cast("double")) / F.log(F.lit(1.25)) + 1e-9).cast("int")
+#: A key of the first round is dealt into parts of about 2 ** PART_BITS of its token's count; copies of a line are counted in COPY_SALTS parts.
+PART_BITS, COPY_SALTS = 15, 8
+_LOW = 55  # bits of a token's code below its rarity, which is twice the logarithm of a count
+_NO_TOKEN = "[^ \t\r\f]"
 
 
 def _least(n: Column) -> Column:
@@ -44,6 +45,11 @@ def _least(n: Column) -> Column:
     return F.floor((n * NEAR_TENTHS + 9) / 10).cast("int")
 
 
+def _class(n: Column) -> Column:
+    """A size class spans a ratio of 2, so sets that match are in the same class or neighbours."""
+    return F.floor(F.log2(n.cast("double")) + 1e-9).cast("int")
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
     """docs, null texts empty, with a unique number __n that follows doc_id, and the bits that a line's place needs.
 
@@ -78,73 +84,65 @@ def _bucket(h: Column) -> Column:
 
 
 def rarity(rows: DataFrame) -> Column:
-    """For each hash bucket its rank by how many words of all lines fall into it, in the upper bits of a code, as one constant array."""
-    word = F.explode(F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " "))
-    counts = rows.select(word.alias("w")).filter("w != ''").groupBy(_bucket(F.xxhash64("w")).alias("b")).count().collect()  # at most 2 ** BUCKETS_BITS rows
-    by = {r["b"]: r["count"] for r in counts}
-    rank = {b: i for i, b in enumerate(sorted(range(1 << BUCKETS_BITS), key=lambda b: (by.get(b, 0), b)))}
-    return F.split(F.lit(",".join(str(rank[b] << _LOW) for b in range(1 << BUCKETS_BITS))), ",").cast("array<long>")
+    """For each hash bucket twice the logarithm of how many words of all texts fall into it, as one constant array."""
+    word = F.explode_outer(F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " "))
+    counts = rows.select(word.alias("w")).groupBy(_bucket(F.xxhash64("w")).alias("b")).count()
+    by = {r["b"]: r["r"] for r in counts.select("b", F.floor(F.log2(F.col("count")) * 2).alias("r")).collect()}  # at most 2 ** BUCKETS_BITS rows
+    return F.split(F.lit(",".join(str(by.get(b, 0)) for b in range(1 << BUCKETS_BITS))), ",").cast("array<int>")
 
 
-def _lines(rows: DataFrame, bits: int) -> DataFrame:
-    """Each line as (ord, line): ord is its place in the corpus."""
-    lines = rows.select("__n", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.select((F.shiftleft(F.col("__n"), bits) + F.col("pos")).alias("ord"), "line")
+def _sent(small: DataFrame, rows: int) -> DataFrame:
+    """small, sent to all executors if its rows are few enough."""
+    return F.broadcast(small) if rows <= BROADCAST_ROWS else small
 
 
-def token_sets(lines: DataFrame, ranks: Column) -> DataFrame:
-    """Lines with words as (ord, codes): their tokens' codes, rarest first."""
-    code = lambda h: F.get(ranks, _bucket(h)) + h.bitwiseAND(F.lit((1 << _LOW) - 1))
-    hashed = lines.select("ord", F.array_distinct(F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w))).alias("hashes"))
-    return hashed.filter(F.size("hashes") > 0).select("ord", F.sort_array(F.transform("hashes", code)).alias("codes"))
+def _places(ords: DataFrame, bits: int) -> DataFrame:
+    """(__n, places): a document's places of ords in order; as many as it has lines at most."""
+    place = F.col("ord").bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    found = ords.groupBy(F.shiftright("ord", bits).alias("__n")).agg(F.sort_array(F.collect_list(place)).alias("places"))
+    return _sent(found, ords.count())
 
 
-def _parity(codes: Column, shift: int) -> Column:
-    """64 bits, each the parity of the tokens that hash to it: two sets differ in at least as many tokens as in bits."""
-    one = F.lit(1).cast("long")
-    return F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", one, F.shiftright(c, shift).bitwiseAND(F.lit(63)).cast("int"))))
+def _marked(places: Column) -> Column:
+    """A function of a place that says whether it is in places; looking up and building take time in proportion to the text."""
+    runs = F.transform(places, lambda p, i: F.concat(F.repeat(F.lit("0"), p - F.coalesce(F.get(places, i - 1), F.lit(-1)) - 1), F.lit("1")))
+    return F.coalesce(F.array_join(runs, ""), F.lit("")).cast("binary")
 
 
-def _may_match(n: Column, m: Column) -> Column:
-    return (n * 10 >= m * NEAR_TENTHS) & (m * 10 >= n * NEAR_TENTHS)
+def _is_marked(marks: Column, i: Column) -> Column:
+    return F.substring(marks, i + 1, F.lit(1)) == F.lit(bytearray(b"1"))
 
 
-def _position(n: Column, i: Column, m: Column, j: Column) -> Column:
-    """Whether sets of n and m tokens, the first shared ones of which are the i-th and the j-th, may share enough: nothing before these is shared."""
-    return F.least(n - i, m - j) * (10 + NEAR_TENTHS) >= (n + m) * NEAR_TENTHS
+def _lines(rows: DataFrame, bits: int, ords: DataFrame | None = None, wanted: bool = True) -> DataFrame:
+    """Lines with words as (ord, line), ord the place in the corpus: all, those of ords, or those not of ords."""
+    lines = F.split("text", "\n")
+    if ords is not None:
+        marked = rows.join(_places(ords, bits), "__n", "inner" if wanted else "left").withColumn("marks", _marked(F.col("places")))
+        lines, rows = F.transform(lines, lambda x, i: F.when(_is_marked(F.col("marks"), i) == F.lit(wanted), x)), marked
+    # The outer form spares a filter that would split the texts once more.
+    each = rows.select("__n", F.posexplode_outer(lines).alias("pos", "line"))
+    return each.filter(F.col("line").rlike(_NO_TOKEN)).select((F.shiftleft(F.col("__n"), bits) + F.col("pos")).alias("ord"), "line")
 
 
-def _sketched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sketches allow a match."""
-    s = sets.select("ord", "n", "s1", "s2")
-    side = lambda k: s.select(*[F.col(c).alias(c if c == "ord" else f"{c}_{k}") for c in s.columns]).withColumnRenamed("ord", k)
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    differ = F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2_a").bitwiseXOR(F.col("s2_b")))
-    # Of n + m tokens at most n + m - 2 * overlap differ; the two sketches see each differing token once.
-    return both.filter(differ.cast("double") * (10 + NEAR_TENTHS) <= 2.0 * (F.col("n_a") + F.col("n_b")) * (10 - NEAR_TENTHS)).select("a", "b")
+def _copies(rows: DataFrame, bits: int) -> DataFrame:
+    """The lines (ord) that equal an earlier one."""
+    hashed = _lines(rows, bits).select("ord", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
+    firsts = hashed.groupBy("h1", "h2").agg(F.min("ord").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    dealt = firsts.select("h1", "h2", "first", F.explode(F.sequence(F.lit(0), F.lit(COPY_SALTS - 1))).alias("salt"))
+    return hashed.withColumn("salt", F.pmod("ord", F.lit(COPY_SALTS)).cast("int")).join(dealt, ["h1", "h2", "salt"]).filter("ord > first").select("ord")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, ranks: Column, bits: int) -> DataFrame:
-    """The pairs whose whole token sets match. The sets are made anew from the lines concerned, which are found in the texts where these are read if they are few enough to be sent there, else by joining."""
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("ord")).distinct(), "line-wanted")
-    n = wanted.count()
-    texts = rows if n <= BROADCAST_ROWS else rows.join(wanted.select(F.shiftright("ord", bits).alias("__n")).distinct(), "__n", "left_semi")
-    lines = _lines(texts, bits).join(_sent(wanted, n), "ord", "left_semi")
-    sets = cut(token_sets(lines, ranks), "line-sets")
-    both = pairs.join(sets.select(F.col("ord").alias("a"), F.col("codes").alias("x")), "a").join(sets.select(F.col("ord").alias("b"), F.col("codes").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.filter(shared * (10 + NEAR_TENTHS) >= (F.size("x") + F.size("y")) * NEAR_TENTHS).select("a", "b")
-
-
-def _tokens(sets: DataFrame) -> DataFrame:
-    """A row for each prefix token of each set: (ord, token, size, x, s), x the set's size n, the token's place i and whether the set is gone, in one number, s its sketch of all tokens."""
-    x = F.shiftleft(F.col("n").cast("long"), 32) + F.col("i") * 2 + F.col("gone").cast("int")
-    return sets.select("ord", "gone", "n", F.col("s1").bitwiseXOR(F.col("s2")).alias("s"), F.posexplode("prefix").alias("i", "token")).select("ord", "token", _class(F.col("n")).alias("size"), x.alias("x"), "s")
+def _codes(line: Column, ranks: Column) -> Column:
+    """A line's distinct tokens' codes, rarest first."""
+    code = lambda w: F.shiftleft(F.get(ranks, _bucket(F.xxhash64(w))).cast("long"), _LOW).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << _LOW) - 1)))
+    return F.sort_array(F.array_distinct(F.transform(line_words(line), code)))
 
 
-def _alike(n: Column, s: Column, m: Column, u: Column) -> Column:
-    """Whether sets of n and m tokens may match by their sketches of all tokens."""
-    return F.bit_count(s.bitwiseXOR(u)) * (10 + NEAR_TENTHS) <= (n + m) * (10 - NEAR_TENTHS)
+def _token_sets(lines: DataFrame, ranks: Column) -> DataFrame:
+    """(ord, n, s, prefix) of lines (ord, line): the number of tokens, 64 bits each the parity of the tokens that hash to it, and the prefix."""
+    one, n = F.lit(1).cast("long"), F.size("codes")
+    parity = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", one, c.bitwiseAND(F.lit(63)).cast("int"))))
+    return lines.select("ord", _codes(F.col("line"), ranks).alias("codes")).select("ord", n.alias("n"), parity.alias("s"), F.slice("codes", 1, n - _least(n) + 1).alias("prefix"))
 
 
 def _n(x: Column) -> Column:
@@ -155,79 +153,127 @@ def _i(x: Column) -> Column:
     return F.shiftright(x.bitwiseAND(F.lit((1 << 32) - 1)), 1)
 
 
-def _sent(small: DataFrame, rows: int) -> DataFrame:
-    """small, sent to all executors if its rows (of about a long each) are few enough."""
-    return F.broadcast(small) if rows <= BROADCAST_ROWS else small
+def _asks(x: Column) -> Column:
+    """1 for a row that only asks in the next class, 0 for one that is also met."""
+    return x.bitwiseAND(F.lit(1))
+
+
+def _ahead(n: Column, i: Column) -> Column:
+    """Of two matching sets the smaller has its first shared token among its first ninth."""
+    return i * (10 + NEAR_TENTHS) <= n * (10 - NEAR_TENTHS)
+
+
+def _tokens(sets: DataFrame) -> DataFrame:
+    """A row for each prefix token of each set: (ord, token, n, i, s), i the token's place."""
+    return sets.select("ord", "n", "s", F.posexplode_outer("prefix").alias("i", "token"))
+
+
+def _x(n: Column, i: Column, asks: Column) -> Column:
+    """A set's size, the token's place and whether the row only asks, in one number."""
+    return F.shiftleft(n.cast("long"), 32) + i * 2 + asks
+
+
+def _keyed(sets: DataFrame) -> DataFrame:
+    """(key, ord, x, s): each prefix token under its size class, and under the next one if it may be the first shared one with a set of that size."""
+    n, i = F.col("n"), F.col("i")
+    own, most = _class(n), _class(F.floor((n * 10 - i * (10 + NEAR_TENTHS)) / NEAR_TENTHS))
+    key = lambda c: F.xxhash64("token", c)
+    keys = F.posexplode_outer(F.when(_ahead(n, i) & (most > own), F.array(key(own), key(own + 1))).otherwise(F.array(key(own))))
+    return _tokens(sets).select("ord", "n", "i", "s", keys.alias("asks", "key")).select("key", "ord", _x(n, i, F.col("asks")).alias("x"), "s")
+
+
+def _fits(n: Column, i: Column, s: Column, m: Column, j: Column, u: Column) -> Column:
+    """Whether sets of n and m tokens, the first shared ones of which are the i-th and the j-th, may match: by size, by place (nothing before these is shared), and by their sketches."""
+    size = (n * 10 >= m * NEAR_TENTHS) & (m * 10 >= n * NEAR_TENTHS)
+    place = F.least(n - i, m - j) * (10 + NEAR_TENTHS) >= (n + m) * NEAR_TENTHS
+    return size & place & (F.bit_count(s.bitwiseXOR(u)) * (10 + NEAR_TENTHS) <= (n + m) * (10 - NEAR_TENTHS))
+
+
+def _side(keyed: DataFrame, name: str) -> DataFrame:
+    return keyed.select(*[F.col(c).alias(f"{c}_{name}") for c in ("key", "ord", "x", "s")])
+
+
+def _may_match(small: str, large: str) -> Column:
+    """Whether a row of the smaller set and one of the larger may show a match. What concerns one side alone is kept in an expression of both, so that it stays in the join and both sides can read one shuffle."""
+    n, i, m, j = _n(F.col(f"x_{small}")), _i(F.col(f"x_{small}")), _n(F.col(f"x_{large}")), _i(F.col(f"x_{large}"))
+    order = (n < m) | ((n == m) & (F.col(f"ord_{small}") < F.col(f"ord_{large}")))
+    roles = _asks(F.col(f"x_{large}")) + F.when(_ahead(n, i), 0).otherwise(1) == 0
+    return order & roles & _fits(n, i, F.col(f"s_{small}"), m, j, F.col(f"s_{large}"))
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.greatest("ord_a", "ord_b").alias("a"), F.least("ord_a", "ord_b").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, ranks: Column, bits: int) -> DataFrame:
+    """The later lines (ord) of pairs (a, b) whose whole token sets match; the sets are made from the texts again."""
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("ord")).distinct(), "line-wanted")
+    lines = _lines(rows, bits, wanted)
+    sets = cut(lines.select("ord", _codes(F.col("line"), ranks).alias("codes")), "line-codes")
+    both = pairs.join(sets.select(F.col("ord").alias("a"), F.col("codes").alias("x")), "a").join(sets.select(F.col("ord").alias("b"), F.col("codes").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    found = cut(both.filter(shared * (10 + NEAR_TENTHS) >= (F.size("x") + F.size("y")) * NEAR_TENTHS).select(F.col("a").alias("ord")).distinct(), "line-gone")
+    drop(wanted, sets)
+    return found
+
+
+def _led(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a set and the earliest of its key: token, size class and, of frequent tokens, part."""
+    n, i, token = F.col("n"), F.col("i"), F.col("token")
+    parts = F.call_function("shiftleft", F.lit(1), F.greatest(F.lit(0), F.least(F.lit(20), F.floor(F.shiftright(token, _LOW) / 2).cast("int") - PART_BITS)))
+    keyed = _tokens(sets).filter(_ahead(n, i)).select(F.xxhash64("token", _class(n), F.pmod("ord", parts)).alias("key"), "ord", _x(n, i, F.lit(0)).alias("x"), "s")
+    led = keyed.withColumn("lead", F.first(F.struct("ord", "x", "s")).over(Window.partitionBy("key").orderBy("ord"))).filter("lead.ord < ord")
+    fits = _fits(_n(F.col("x")), _i(F.col("x")), F.col("s"), _n(F.col("lead.x")), _i(F.col("lead.x")), F.col("lead.s"))
+    return led.filter(fits).select(F.col("ord").alias("a"), F.col("lead.ord").alias("b")).distinct()
+
+
+def _without(sets: DataFrame, gone: DataFrame) -> DataFrame:
+    return sets.join(_sent(gone, gone.count()), "ord", "left_anti")
 
 
 def matches(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """The numbered documents, the lines (ord) to remove, and the bits of a line's place."""
-    rows, bits = numbered(docs)
+    numbers, bits = numbered(docs)
+    rows = numbers.select("__n", "text")
     ranks = rarity(rows)
-    first = F.slice("codes", 1, F.size("codes") - _least(F.size("codes")) + 1)
-    # Each token counts in one of two sketches, by the last bit of its code; together they are one sketch of all tokens.
-    half = lambda odd: F.filter("codes", lambda c: c.bitwiseAND(F.lit(1)) == odd)
-    lines = cut(
-        token_sets(_lines(rows, bits), ranks).select(
-            "ord", F.size("codes").alias("n"), F.xxhash64("codes").alias("h1"), F.xxhash64(F.lit(7), "codes").alias("h2"),
-            _parity(half(0), 1).alias("s1"), _parity(half(1), 1).alias("s2"), first.alias("prefix"),
-        ),
-        "lines",
-    )
-    sets = cut(lines.groupBy("h1", "h2").agg(F.min("ord").alias("ord"), *[F.first(c).alias(c) for c in ("n", "s1", "s2", "prefix")]), "line-sets")
-    # Of two matching sets the smaller has its first shared token among its first ninth.
-    ahead = _i(F.col("x")) * (10 + NEAR_TENTHS) <= _n(F.col("x")) * (10 - NEAR_TENTHS)
-    # Keys are hashed, so that rows are short: a chance meeting is one more candidate, and is not verified.
-    salt = F.when(F.col("token") >= F.lit((1 << 62) - (1 << (62 - 7))), F.pmod("ord", F.lit(SALTS))).otherwise(F.lit(0))  # the most frequent 128th of the buckets
-    first_round = _tokens(sets.withColumn("gone", F.lit(False))).filter(ahead).select(F.xxhash64("token", "size", salt).alias("key"), "ord", "x", "s")
-    led = first_round.withColumn("lead", F.first(F.struct("ord", "x", "s")).over(Window.partitionBy("key").orderBy("ord"))).filter("lead.ord < ord")
-    led = led.filter(_may_match(_n(F.col("x")), _n(F.col("lead.x"))) & _position(_n(F.col("x")), _i(F.col("x")), _n(F.col("lead.x")), _i(F.col("lead.x"))) & _alike(_n(F.col("x")), F.col("s"), _n(F.col("lead.x")), F.col("lead.s")))
-    tried = cut(_sketched(led.select(F.col("ord").alias("a"), F.col("lead.ord").alias("b")).distinct(), sets), "line-tried")
-    gone = cut(_verified(tried, rows, ranks, bits).select(F.col("a").alias("ord")).distinct(), "line-gone")
-
-    marked = _tokens(sets.join(_sent(gone, gone.count()).withColumn("gone", F.lit(True)), "ord", "left").withColumn("gone", F.coalesce("gone", F.lit(False))))
-    large = marked.select(F.xxhash64("token", "size").alias("key"), "ord", "x", "s")
-    # The larger set's size is at most what the place of the first shared token leaves, so often of the same class.
-    most = F.floor((_n(F.col("x")) * 10 - _i(F.col("x")) * (10 + NEAR_TENTHS)) / NEAR_TENTHS)
-    classes = F.explode(F.array_distinct(F.array(F.col("size"), _class(most)))).alias("class")
-    small = marked.filter(ahead).select("token", F.col("ord").alias("ord_s"), F.col("x").alias("x_s"), F.col("s").alias("s_s"), classes).withColumn("key_s", F.xxhash64("token", "class")).drop("token", "class")
-    n, m = _n(F.col("x")), _n(F.col("x_s"))
-    order = (m < n) | ((m == n) & (F.col("ord_s") < F.col("ord")))
-    open_ = F.when(F.col("ord_s") > F.col("ord"), F.col("x_s")).otherwise(F.col("x")).bitwiseAND(F.lit(1)) == 0
-    met = small.join(large, (F.col("key_s") == F.col("key")) & order & open_ & _may_match(m, n) & _position(m, _i(F.col("x_s")), n, _i(F.col("x"))) & _alike(n, F.col("s"), m, F.col("s_s")))
-    rest = _sketched(met.select(F.greatest("ord", "ord_s").alias("a"), F.least("ord", "ord_s").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), sets)
-    late = _verified(cut(rest, "line-tried"), rows, ranks, bits).select(F.col("a").alias("ord")).distinct()
-    removed = gone.unionByName(late).distinct().withColumn("similar", F.lit(True))
-    status = cut(sets.select("h1", "h2", F.col("ord").alias("first")).join(removed.withColumnRenamed("ord", "first"), "first", "left"), "line-status")
-    told = lines.select("ord", "h1", "h2").join(status, ["h1", "h2"])
-    return rows, cut(told.filter((F.col("ord") > F.col("first")) | F.col("similar")).select("ord"), "line-removed"), bits
-
-
-def _by_document(removed: DataFrame, bits: int) -> DataFrame:
-    """(__n, removed): the places of a document's removed lines; as many as it has lines at most."""
-    place = F.col("ord").bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
-    found = removed.groupBy(F.shiftright("ord", bits).alias("__n")).agg(F.sort_array(F.collect_list(place)).alias("removed"))
-    return _sent(found, removed.count())
+    copies = cut(_copies(rows, bits), "line-copies")
+    sets = cut(_token_sets(_lines(rows, bits, copies, wanted=False), ranks), "line-sets")
+
+    led = cut(_led(sets), "line-led")
+    gone = _verified(led, rows, ranks, bits)
+    left = cut(_without(sets, gone), "line-left")
+    lost = cut(sets.join(_sent(gone, gone.count()), "ord", "left_semi"), "line-lost")
+    drop(sets)
+
+    keyed = _keyed(left)
+    among = cut(_pairs(_side(keyed, "a").join(_side(keyed, "b"), (F.col("key_a") == F.col("key_b")) & _may_match("a", "b"))), "line-among")
+    old, keys = _keyed(lost), cut(_keyed(lost).select("key").distinct(), "line-keys")
+    new = keyed.join(_sent(keys, keys.count()), "key", "left_semi")
+    meets = (F.col("key_a") == F.col("key_b")) & (F.col("ord_a") > F.col("ord_b")) & (_may_match("a", "b") | _may_match("b", "a"))
+    after = cut(_pairs(_side(new, "a").join(_side(old, "b"), meets)).join(led, ["a", "b"], "left_anti"), "line-after")
+    drop(left, lost, keys, led)
+    late = _verified(among.unionByName(after), rows, ranks, bits)
+    removed = cut(copies.unionByName(gone).unionByName(late).distinct(), "line-removed")
+    drop(copies, gone, late, among, after)
+    return numbers, removed, bits
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """Every document with its number of lines, of removed ones, and their places (from 0)."""
-    rows, removed, bits = matches(docs)
+    rows, removed, bits = matches(docs.select("doc_id", "text"))
     lines = (F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1).cast("long")
-    got = rows.select("doc_id", "__n", lines.alias("n_lines")).join(_by_document(removed, bits), "__n", "left")
-    places = F.coalesce("removed", F.array().cast("array<int>"))
+    got = rows.select("doc_id", "__n", lines.alias("n_lines")).join(_places(removed, bits), "__n", "left")
+    places = F.coalesce("places", F.array().cast("array<int>"))
     return got.select("doc_id", "n_lines", F.size(places).cast("long").alias("n_removed"), places.alias("removed_lines"))
 
 
-def kept_text(text: Column, removed: Column) -> Column:
-    lines = F.split(text, "\n")
-    return F.when(removed.isNull(), text).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(removed, i)), "\n"))
-
-
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with their own columns, their texts without the removed lines; n_chars, where it is a column, counts anew."""
-    rows, removed, bits = matches(docs)
-    out = rows.join(_by_document(removed, bits), "__n", "left").withColumn("text", F.when(F.col("__null"), F.lit(None)).otherwise(kept_text(F.col("text"), F.col("removed"))))
+    inner, restored = bare(docs, "doc_id", "text", "n_chars")
+    rows, removed, bits = matches(inner)
+    marked = rows.join(_places(removed, bits), "__n", "left").withColumn("marks", _marked(F.col("places")))
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~_is_marked(F.col("marks"), i)), "\n")
+    out = marked.withColumn("text", F.when(F.col("places").isNull(), F.when(~F.col("__null"), F.col("text"))).otherwise(kept))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return restored(out)
