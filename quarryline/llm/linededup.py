@@ -25,6 +25,8 @@ last; an empty table gives no rows; extra columns are ignored, whatever their na
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,8 @@ from quarryline.llm.common import bare, clean_text, cut, drop, range_bucket, shu
 
 NEAR_TENTHS = 8
 BUCKETS_BITS = 16
+#: Tokens from which a set has a second sketch.
+WIDE = 64
 #: Rows that are sent to all executors at most, of a long or a short list of places each.
 BROADCAST_ROWS = 1_000_000
 #: A key of the first round is dealt into parts of about 2 ** PART_BITS of its token's count; copies of a line are counted in COPY_SALTS parts.
@@ -126,23 +130,28 @@ def _lines(rows: DataFrame, bits: int, ords: DataFrame | None = None, wanted: bo
 
 def _copies(rows: DataFrame, bits: int) -> DataFrame:
     """The lines (ord) that equal an earlier one."""
-    hashed = _lines(rows, bits).select("ord", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
+    hashed = cut(_lines(rows, bits).select("ord", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2")), "line-hashes")
     firsts = hashed.groupBy("h1", "h2").agg(F.min("ord").alias("first"), F.count("*").alias("n")).filter("n > 1")
     dealt = firsts.select("h1", "h2", "first", F.explode(F.sequence(F.lit(0), F.lit(COPY_SALTS - 1))).alias("salt"))
-    return hashed.withColumn("salt", F.pmod("ord", F.lit(COPY_SALTS)).cast("int")).join(dealt, ["h1", "h2", "salt"]).filter("ord > first").select("ord")
+    found = cut(hashed.withColumn("salt", F.pmod("ord", F.lit(COPY_SALTS)).cast("int")).join(dealt, ["h1", "h2", "salt"]).filter("ord > first").select("ord"), "line-copies")
+    drop(hashed)
+    return found
 
 
 def _codes(line: Column, ranks: Column) -> Column:
     """A line's distinct tokens' codes, rarest first."""
-    code = lambda w: F.shiftleft(F.get(ranks, _bucket(F.xxhash64(w))).cast("long"), _LOW).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << _LOW) - 1)))
+    rank = lambda w: F.coalesce(F.get(ranks, _bucket(F.xxhash64(w))), F.lit(0)).cast("long")
+    code = lambda w: F.shiftleft(rank(w), _LOW).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << _LOW) - 1)))
     return F.sort_array(F.array_distinct(F.transform(line_words(line), code)))
 
 
 def _token_sets(lines: DataFrame, ranks: Column) -> DataFrame:
-    """(ord, n, s, prefix) of lines (ord, line): the number of tokens, 64 bits each the parity of the tokens that hash to it, and the prefix."""
-    one, n = F.lit(1).cast("long"), F.size("codes")
-    parity = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", one, c.bitwiseAND(F.lit(63)).cast("int"))))
-    return lines.select("ord", _codes(F.col("line"), ranks).alias("codes")).select("ord", n.alias("n"), parity.alias("s"), F.slice("codes", 1, n - _least(n) + 1).alias("prefix"))
+    """(ord, n, s, s2, prefix) of lines (ord, line): the number of tokens, sketches and the prefix. s has 64 bits, each the parity of the tokens that hash to it; s2 has those of half of the tokens, and 0 in small sets."""
+    n, bit = F.size("codes"), lambda c: c.bitwiseAND(F.lit(63)).cast("int")
+    parity = lambda of: F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", of(c), bit(c))))
+    half = parity(lambda c: F.shiftright(c, 6).bitwiseAND(F.lit(1)))
+    sketches = parity(lambda c: F.lit(1).cast("long")).alias("s"), F.when(n >= WIDE, half).otherwise(0).alias("s2")
+    return lines.select("ord", _codes(F.col("line"), ranks).alias("codes")).select("ord", n.alias("n"), *sketches, F.slice("codes", 1, n - _least(n) + 1).alias("prefix"))
 
 
 def _n(x: Column) -> Column:
@@ -164,8 +173,8 @@ def _ahead(n: Column, i: Column) -> Column:
 
 
 def _tokens(sets: DataFrame) -> DataFrame:
-    """A row for each prefix token of each set: (ord, token, n, i, s), i the token's place."""
-    return sets.select("ord", "n", "s", F.posexplode_outer("prefix").alias("i", "token"))
+    """A row for each prefix token of each set: (ord, token, n, i, s, s2), i the token's place."""
+    return sets.select("ord", "n", "s", "s2", F.posexplode_outer("prefix").alias("i", "token"))
 
 
 def _x(n: Column, i: Column, asks: Column) -> Column:
@@ -174,31 +183,35 @@ def _x(n: Column, i: Column, asks: Column) -> Column:
 
 
 def _keyed(sets: DataFrame) -> DataFrame:
-    """(key, ord, x, s): each prefix token under its size class, and under the next one if it may be the first shared one with a set of that size."""
+    """(key, ord, x, s, s2): each prefix token under its size class, and under the next one if it may be the first shared one with a set of that size."""
     n, i = F.col("n"), F.col("i")
     own, most = _class(n), _class(F.floor((n * 10 - i * (10 + NEAR_TENTHS)) / NEAR_TENTHS))
     key = lambda c: F.xxhash64("token", c)
     keys = F.posexplode_outer(F.when(_ahead(n, i) & (most > own), F.array(key(own), key(own + 1))).otherwise(F.array(key(own))))
-    return _tokens(sets).select("ord", "n", "i", "s", keys.alias("asks", "key")).select("key", "ord", _x(n, i, F.col("asks")).alias("x"), "s")
+    return _tokens(sets).select("ord", "n", "i", "s", "s2", keys.alias("asks", "key")).select("key", "ord", _x(n, i, F.col("asks")).alias("x"), "s", "s2")
 
 
-def _fits(n: Column, i: Column, s: Column, m: Column, j: Column, u: Column) -> Column:
-    """Whether sets of n and m tokens, the first shared ones of which are the i-th and the j-th, may match: by size, by place (nothing before these is shared), and by their sketches."""
+def _fits(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """Whether the sets of two rows, of n and m tokens, the first shared ones of which are the i-th and the j-th, may match: by size, by place (nothing before these is shared), and by their sketches, which bound how many tokens differ."""
+    n, i, m, j = _n(a("x")), _i(a("x")), _n(b("x")), _i(b("x"))
     size = (n * 10 >= m * NEAR_TENTHS) & (m * 10 >= n * NEAR_TENTHS)
     place = F.least(n - i, m - j) * (10 + NEAR_TENTHS) >= (n + m) * NEAR_TENTHS
-    return size & place & (F.bit_count(s.bitwiseXOR(u)) * (10 + NEAR_TENTHS) <= (n + m) * (10 - NEAR_TENTHS))
+    whole, half = a("s").bitwiseXOR(b("s")), a("s2").bitwiseXOR(b("s2"))
+    differ = F.when((n >= WIDE) & (m >= WIDE), F.bit_count(whole.bitwiseXOR(half)) + F.bit_count(half)).otherwise(F.bit_count(whole))
+    return size & place & (differ * (10 + NEAR_TENTHS) <= (n + m) * (10 - NEAR_TENTHS))
 
 
 def _side(keyed: DataFrame, name: str) -> DataFrame:
-    return keyed.select(*[F.col(c).alias(f"{c}_{name}") for c in ("key", "ord", "x", "s")])
+    return keyed.select(*[F.col(c).alias(f"{c}_{name}") for c in ("key", "ord", "x", "s", "s2")])
 
 
 def _may_match(small: str, large: str) -> Column:
     """Whether a row of the smaller set and one of the larger may show a match. What concerns one side alone is kept in an expression of both, so that it stays in the join and both sides can read one shuffle."""
-    n, i, m, j = _n(F.col(f"x_{small}")), _i(F.col(f"x_{small}")), _n(F.col(f"x_{large}")), _i(F.col(f"x_{large}"))
-    order = (n < m) | ((n == m) & (F.col(f"ord_{small}") < F.col(f"ord_{large}")))
-    roles = _asks(F.col(f"x_{large}")) + F.when(_ahead(n, i), 0).otherwise(1) == 0
-    return order & roles & _fits(n, i, F.col(f"s_{small}"), m, j, F.col(f"s_{large}"))
+    a, b = (lambda c: F.col(f"{c}_{small}")), (lambda c: F.col(f"{c}_{large}"))
+    n, m = _n(a("x")), _n(b("x"))
+    order = (n < m) | ((n == m) & (a("ord") < b("ord")))
+    roles = _asks(b("x")) + F.when(_ahead(n, _i(a("x"))), 0).otherwise(1) == 0
+    return order & roles & _fits(a, b)
 
 
 def _pairs(met: DataFrame) -> DataFrame:
@@ -221,9 +234,9 @@ def _led(sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of a set and the earliest of its key: token, size class and, of frequent tokens, part."""
     n, i, token = F.col("n"), F.col("i"), F.col("token")
     parts = F.call_function("shiftleft", F.lit(1), F.greatest(F.lit(0), F.least(F.lit(20), F.floor(F.shiftright(token, _LOW) / 2).cast("int") - PART_BITS)))
-    keyed = _tokens(sets).filter(_ahead(n, i)).select(F.xxhash64("token", _class(n), F.pmod("ord", parts)).alias("key"), "ord", _x(n, i, F.lit(0)).alias("x"), "s")
-    led = keyed.withColumn("lead", F.first(F.struct("ord", "x", "s")).over(Window.partitionBy("key").orderBy("ord"))).filter("lead.ord < ord")
-    fits = _fits(_n(F.col("x")), _i(F.col("x")), F.col("s"), _n(F.col("lead.x")), _i(F.col("lead.x")), F.col("lead.s"))
+    keyed = _tokens(sets).filter(_ahead(n, i)).select(F.xxhash64("token", _class(n), F.pmod("ord", parts)).alias("key"), "ord", _x(n, i, F.lit(0)).alias("x"), "s", "s2")
+    led = keyed.withColumn("lead", F.first(F.struct("ord", "x", "s", "s2")).over(Window.partitionBy("key").orderBy("ord"))).filter("lead.ord < ord")
+    fits = _fits(F.col, lambda c: F.col(f"lead.{c}"))
     return led.filter(fits).select(F.col("ord").alias("a"), F.col("lead.ord").alias("b")).distinct()
 
 
@@ -236,7 +249,7 @@ def matches(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     numbers, bits = numbered(docs)
     rows = numbers.select("__n", "text")
     ranks = rarity(rows)
-    copies = cut(_copies(rows, bits), "line-copies")
+    copies = _copies(rows, bits)
     sets = cut(_token_sets(_lines(rows, bits, copies, wanted=False), ranks), "line-sets")
 
     led = cut(_led(sets), "line-led")
