@@ -1,25 +1,30 @@
 """Operator 2: nearest neighbours by randomly rotated one-bit codes.
 
-Vectors are centred, rotated by a random orthogonal matrix and stored as the signs of their
-coordinates, with their distance to the centre and the inner product of code and vector. From these
-a query's distance to every vector is estimated without bias, with an error bound; only vectors
-whose lower bound is within the k-th best exact distance so far are reranked by the exact distance,
-in double precision on the original vectors.
-
-Every row is coded, in chunks of CHUNK vectors; queries come in blocks of BLOCK. Each group of chunks
-meets each block once, and a task keeps only the k best of each query. The centre is the mean of a
-sample of at most SAMPLE vectors, the first by a hash of vec_id. EPSILON sets the bounds: at 2.5 a
-vector is missed with a probability of about one in a hundred where the bound decides.
+Vectors are centred, padded with zeros to a length of BITS at least, rotated by a random orthogonal
+matrix and stored as the signs of their coordinates, packed, with their distance to the centre and
+the inner product of code and vector. A query is rotated too and quantised to PLANES bits a
+coordinate; its inner products with codes are counts of common bits. They estimate the query's
+distance to every vector without bias, with bounds; a vector is reranked by the exact distance, in
+double precision on the original vectors, only if its lower bound is within the k-th smallest upper
+bound of the query's candidates, first among a chunk, then among all.
+
+Every row is coded, in chunks of CHUNK codes; queries come in blocks of BLOCK. Each block meets each
+chunk once, and a task holds one of either at a time. Original vectors stay out of that: they are
+joined to the chosen ids alone. The centre is the mean of a sample of at most SAMPLE vectors, the
+first by a hash of vec_id. EPSILON sets the bounds: at 2.5 a vector is missed with a probability of
+about one in a hundred where the bound decides. Codes are scanned whole, so work grows with queries
+times rows: vectors that are spread evenly, where a coarse index would cost recall, set that.
 
 Defined results: vectors that are null, empty or zero, hold null or non-finite components, or have a
-null id take no part; vectors of other lengths are never compared; a repeated vec_id is one query and
-as many candidates as it has rows; candidates with the query's own id are left out; an empty table
-gives no rows; extra columns are ignored, whatever their names.
+null id take no part; vectors of other lengths are never compared; a repeated vec_id is one query,
+with the smallest of its vectors, and as many candidates as it has rows; candidates with the query's
+own id are left out; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import lru_cache
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import shuffle_width
+from quarryline.llm.common import cut, shuffle_width
 
 K, EVERY = 10, 100
-CHUNK, BLOCK, SAMPLE, EPSILON, SEED = 8192, 512, 4096, 2.5, 20_240_521
+CHUNK, BLOCK, SAMPLE, EPSILON, SEED = 16_384, 512, 4096, 2.5, 20_240_521
+BITS, PLANES = 512, 4
 
 
 def valid(rows: DataFrame) -> DataFrame:
@@ -71,115 +77,138 @@ def _packer(size: int):
 _CHUNK = "dim int, n int, ids binary, vectors binary"
 
 
+@lru_cache(maxsize=4)
 def rotation(dim: int) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(SEED + dim).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+    """The rows of a random orthogonal matrix that vectors of dim coordinates, padded, meet; a multiple of 64 columns."""
+    wide = -(-max(dim, BITS) // 64) * 64
+    q, r = np.linalg.qr(np.random.default_rng(SEED + dim).standard_normal((wide, wide)))
+    return (q * np.sign(np.diag(r)))[:dim]
 
 
-def encode(vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def encode(vectors: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed signs, distance to the centre, and inner product of code and unit vector (1 where the vector is the centre)."""
+    turn = rotation(vectors.shape[1])
     apart = vectors - centre
     norm = np.linalg.norm(apart, axis=1)
     turned = apart @ turn
-    bits = np.packbits(turned > 0, axis=1)
-    dim = vectors.shape[1]
-    along = np.abs(turned).sum(1) / dim**0.5 / np.where(norm > 0, norm, 1)
-    return bits, norm, np.where(norm > 0, along, 1.0)
+    along = np.abs(turned).sum(1) / turn.shape[1] ** 0.5 / np.where(norm > 0, norm, 1)
+    return np.packbits(turned > 0, axis=1), norm, np.where(norm > 0, along, 1.0)
+
+
+def eligible(ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
+    """Places of rows that can be among the k nearest of any query: of equal vectors the k + 1 smallest ids (one may be the query's own), k rows of each. A vector that many rows share thus costs no more than a few."""
+    _, group = np.unique(vectors, axis=0, return_inverse=True)
+    order = np.lexsort((ids, group.ravel()))
+    g, i = group.ravel()[order], ids[order]
+    at = np.arange(len(ids))
+    new_group = np.r_[True, g[1:] != g[:-1]]
+    new_id = new_group | np.r_[True, i[1:] != i[:-1]]
+    nth_id = np.cumsum(new_id) - np.maximum.accumulate(np.where(new_group, np.cumsum(new_id), 0))
+    nth_row = at - np.maximum.accumulate(np.where(new_id, at, 0))
+    return np.sort(order[(nth_id <= k) & (nth_row < k)])
 
 
-def _coder(centres: dict[int, np.ndarray]):
+def _coder(centres: dict[int, np.ndarray], k: int):
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for dim, raw in zip(b["dim"].to_pylist(), b["vectors"].to_pylist(), strict=True):
-                x = np.frombuffer(raw).reshape(-1, dim)
-                bits, norm, along = encode(x, centres.get(dim, np.zeros(dim)), rotation(dim))
-                out.append((bits.tobytes(), norm.tobytes(), along.tobytes()))
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, pa.binary()) for c in zip(*out, strict=True))], [*b.schema.names, "bits", "norms", "along"])
+            for dim, raw_ids, raw in zip(b["dim"].to_pylist(), b["ids"].to_pylist(), b["vectors"].to_pylist(), strict=True):
+                ids, vectors = np.frombuffer(raw_ids, np.int64), np.frombuffer(raw).reshape(-1, dim)
+                keep = eligible(ids, vectors, k)
+                made = encode(vectors[keep], centres.get(dim, np.zeros(dim)))
+                yield pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "n": pa.array([len(keep)], pa.int32()), "ids": pa.array([ids[keep].tobytes()], pa.binary())} | {k: pa.array([x.tobytes()], pa.binary()) for k, x in zip(("bits", "norms", "along"), made, strict=True)})
 
     return code
 
 
-class Best:
-    """The k best (score, vec_id) of a query so far."""
-
-    __slots__ = ("score", "ids")
-
-    def __init__(self):
-        self.score, self.ids = np.zeros(0), np.zeros(0, np.int64)
-
-    def add(self, score: np.ndarray, ids: np.ndarray, k: int) -> None:
-        s, i = np.concatenate([self.score, score]), np.concatenate([self.ids, ids])
-        order = np.lexsort((i, s))[:k]
-        self.score, self.ids = s[order], i[order]
-
-
-def scan(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, codes: tuple[np.ndarray, np.ndarray, np.ndarray], centre: np.ndarray, best: list[Best], k: int = K, epsilon: float = EPSILON) -> int:
-    """Update best, a Best for each query, from one chunk; the number of vectors reranked."""
-    bits, norm, along = codes
-    dim, reranked = vectors.shape[1], 0
-    signs = (np.unpackbits(bits, axis=1, count=dim).astype(np.float32) * 2 - 1) / np.float32(dim**0.5)
-    apart = queries - centre
-    turned = (apart @ rotation(dim)).astype(np.float32)
-    away = np.linalg.norm(apart, axis=1)
-    guess = (signs @ turned.T) / along[:, None]  # of the query's inner product with the unit vector
-    error = np.sqrt(np.maximum(1 - along**2, 0)) / along * epsilon / max(dim - 1, 1) ** 0.5
-    for j, q in enumerate(queries):
-        near = norm**2 + away[j] ** 2 - 2 * norm * guess[:, j]
-        low = near - 2 * norm * error * away[j] - 1e-5 * (1 + away[j] ** 2)
-        other = ids != query_ids[j]
-        mine, done = best[j], np.zeros(len(ids), bool)
-        if len(mine.score) < k:
-            first = np.flatnonzero(other)
-            if len(first) > k:
-                first = first[np.argpartition(near[first], k - 1)[:k]]
-            mine.add(np.sqrt(((vectors[first] - q) ** 2).sum(1)), ids[first], k)
-            done[first] = True
-            reranked += len(first)
-        limit = mine.score[-1] ** 2 if len(mine.score) == k else np.inf
-        rest = np.flatnonzero((low <= limit) & other & ~done)
-        if len(rest):
-            mine.add(np.sqrt(((vectors[rest] - q) ** 2).sum(1)), ids[rest], k)
-            reranked += len(rest)
-    return reranked
-
-
-def _searcher(centres: dict[int, np.ndarray], k: int):
+class Query:
+    """A query's rotated difference to the centre, quantised, as planes of packed bits."""
+
+    def __init__(self, vector: np.ndarray, centre: np.ndarray):
+        apart = vector - centre
+        turned = apart @ rotation(len(vector))
+        self.width, self.away, self.sum = len(turned), np.linalg.norm(apart), turned.sum()
+        self.low = turned.min()
+        self.step = (turned.max() - self.low) / ((1 << PLANES) - 1)
+        levels = np.rint((turned - self.low) / (self.step or 1)).astype(np.uint8)
+        self.planes = [np.packbits(levels >> p & 1).view(np.uint64) for p in range(PLANES)]
+
+    def products(self, words: np.ndarray, ones: np.ndarray) -> np.ndarray:
+        """Estimated inner products with the codes (rows of words, with their counts of ones), each a unit vector of equal coordinates."""
+        common = sum((np.bitwise_count(words & plane).sum(1, dtype=np.int64) << p) for p, plane in enumerate(self.planes))
+        return (2 * (self.low * ones + self.step * common) - self.sum) / self.width**0.5
+
+    def bounds(self, codes: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], epsilon: float) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of the squared distances to the vectors of (words, counts of ones, distance to the centre, product of code and vector)."""
+        words, ones, norm, along = codes
+        near = norm**2 + self.away**2 - 2 * norm * self.products(words, ones) / along
+        error = epsilon * (np.sqrt(np.maximum(1 - along**2, 0) / max(self.width - 1, 1)) * self.away + self.step / 12**0.5)
+        slack = 2 * norm * error / along + 1e-9 * (1 + self.away**2 + norm**2)
+        return near - slack, near + slack
+
+
+def chosen(low: np.ndarray, high: np.ndarray, k: int) -> np.ndarray:
+    """Places whose lower bound is within the k-th smallest upper bound."""
+    return np.arange(len(low)) if len(high) <= k else np.flatnonzero(low <= np.partition(high, k - 1)[k - 1])
+
+
+_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("low", pa.float64()), ("high", pa.float64())])
+
+
+def _searcher(centres: dict[int, np.ndarray], k: int, epsilon: float):
     def search_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, Best] = defaultdict(Best)
         for b in batches:
-            for r in b.to_pylist():
-                dim = r["dim"]
-                array = lambda name, r=r: np.frombuffer(r[name])
-                query_ids, ids = np.frombuffer(r["query_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                bits = np.frombuffer(r["bits"], np.uint8).reshape(len(ids), -1)
-                own = [best[int(q)] for q in query_ids]
-                scan(array("query_vectors").reshape(-1, dim), query_ids, array("vectors").reshape(-1, dim), ids, (bits, array("norms"), array("along")), centres.get(dim, np.zeros(dim)), own, k)
-        rows = [(q, int(i), float(s)) for q, found in best.items() for s, i in zip(found.score, found.ids, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 3, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
+            for i in range(b.num_rows):
+                r = {name: b[name][i].as_py() for name in b.schema.names}
+                query_ids, ids, dim = np.frombuffer(r["query_ids"], np.int64), np.frombuffer(r["ids"], np.int64), r["dim"]
+                words = np.frombuffer(r["bits"], np.uint64).reshape(len(ids), -1)
+                codes = words, np.bitwise_count(words).sum(1, dtype=np.int64), np.frombuffer(r["norms"]), np.frombuffer(r["along"])
+                found = []
+                for q, vector in zip(query_ids, np.frombuffer(r["query_vectors"]).reshape(-1, dim), strict=True):
+                    low, high = Query(vector, centres.get(dim, np.zeros(dim))).bounds(codes, epsilon)
+                    other = np.flatnonzero(ids != q)
+                    keep = other[chosen(low[other], high[other], k)]
+                    found.append((np.full(len(keep), q), ids[keep], low[keep], high[keep]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*found, strict=True), _FOUND, strict=True)], schema=_FOUND)
 
     return search_pairs
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """The k nearest of rows for each of queries, both (vec_id, embedding); queries of one id count once."""
+def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        scores = [float(np.sqrt(((np.array(x, float) - np.array(q, float)) ** 2).sum())) for x, q in zip(b["vector"].to_pylist(), b["query"].to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b["query_id"], b["vec_id"], pa.array(scores, pa.float64())], ["query_id", "vec_id", "score"])
+
+
+def candidates(rows: DataFrame, queries: DataFrame, k: int = K, epsilon: float = EPSILON) -> DataFrame:
+    """(query_id, vec_id) to be reranked, of valid rows and queries with an id each."""
     spark = rows.sparkSession
-    taking = valid(rows)
-    sample = taking.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     by: dict[int, list] = defaultdict(list)
-    for r in sample:
+    for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(SAMPLE).collect():
         by[len(r["embedding"])].append(r["embedding"])
     centres = {dim: np.array(v, float).mean(0) for dim, v in by.items()}
     groups = 2 * shuffle_width(spark)
-    coded = taking.mapInArrow(_packer(CHUNK), _CHUNK).mapInArrow(_coder(centres), f"{_CHUNK}, bits binary, norms binary, along binary")
+    coded = rows.mapInArrow(_packer(CHUNK), _CHUNK).mapInArrow(_coder(centres, k), "dim int, n int, ids binary, bits binary, norms binary, along binary")
     chunks = coded.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
     # The stated query set, in blocks: each block goes once to each group of chunks.
-    asked = valid(queries).dropDuplicates(["vec_id"]).repartition(max(1, shuffle_width(spark) // 8), "vec_id").mapInArrow(_packer(BLOCK), _CHUNK)
+    asked = queries.repartition(max(1, shuffle_width(spark) // 8), "vec_id").mapInArrow(_packer(BLOCK), _CHUNK)
     blocks = asked.select(F.col("dim").alias("query_dim"), F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
-    pairs = chunks.join(blocks, (F.col("g") == F.col("group")) & (F.col("dim") == F.col("query_dim"))).select("dim", "ids", "vectors", "bits", "norms", "along", "query_ids", "query_vectors")
-    found = pairs.mapInArrow(_searcher(centres, k), "query_id long, vec_id long, score double")
+    pairs = chunks.join(blocks, (F.col("g") == F.col("group")) & (F.col("dim") == F.col("query_dim"))).select("dim", "ids", "bits", "norms", "along", "query_ids", "query_vectors")
+    found = cut(pairs.mapInArrow(_searcher(centres, k, epsilon), "query_id long, vec_id long, low double, high double"), "near-bounds")
+    first = found.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy("high"))).filter(F.col("nth") <= k)
+    limit = first.groupBy("query_id").agg(F.max("high").alias("limit"), F.count("*").alias("have"))
+    return found.join(limit, "query_id").filter((F.col("low") <= F.col("limit")) | (F.col("have") < k)).select("query_id", "vec_id").distinct()
+
+
+def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
+    """The k nearest of rows for each of queries, both (vec_id, embedding); queries of one id count once, with the smallest vector."""
+    taking = valid(rows)
+    asked = valid(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    chosen_ids = candidates(taking, asked, k)
+    with_vectors = chosen_ids.join(taking.withColumnRenamed("embedding", "vector"), "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), "query_id")
+    same = with_vectors.filter(F.size("vector") == F.size("query")).select("query_id", "vec_id", "vector", "query")
+    scored = same.mapInArrow(_distances, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def search_every(rows: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:

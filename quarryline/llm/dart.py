@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from quarryline.llm.common import clean_text, cut, with_numbers
+from quarryline.llm.common import bare, clean_text, cut, with_numbers
 
 WORDS, NEAR = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -305,13 +305,14 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class, with its own columns: the one with the smallest doc_id, then the smallest text; of rows equal in both, one."""
-    rows, nodes = _nodes(docs)
-    part = components(links(docs, nodes))
+    inner, restored = bare(docs, "doc_id", "text")
+    rows, nodes = _nodes(inner)
+    part = components(links(inner, nodes))
     named = nodes.join(part, "node", "left").select("same", "first_id", F.coalesce("component", "node").alias("component"))
     first = F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("id"), F.col("same").alias("s"))
     chosen = cut(named.groupBy("component").agg(F.min(first).alias("f")).select(F.col("f.id").alias("__id"), F.col("f.s").alias("__same")), "dart-kept")
     text = clean_text()
-    keyed = docs.withColumn("__same", F.unhex(F.sha2(text.cast("binary"), 256)))
+    keyed = inner.withColumn("__same", F.unhex(F.sha2(text.cast("binary"), 256)))
     held = keyed.join(chosen, (keyed["__same"] == chosen["__same"]) & keyed["doc_id"].eqNullSafe(chosen["__id"]), "left_semi")
     # Rows with the same doc_id and text (a repeated row) count as one.
-    return held.dropDuplicates(["doc_id", "__same"]).select(*docs.columns)
+    return restored(held.dropDuplicates(["doc_id", "__same"]))

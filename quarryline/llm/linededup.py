@@ -41,7 +41,7 @@ BROADCAST_ROWS = 1_000_000
 #: A key of the first round is dealt into parts of about 2 ** PART_BITS of its token's count; copies of a line are counted in COPY_SALTS parts.
 PART_BITS, COPY_SALTS = 15, 8
 _LOW = 55  # bits of a token's code below its rarity, which is twice the logarithm of a count
-_NO_TOKEN = "[^ \t\r\f]"
+_BLANK = " \t\r\f"
 
 
 def _least(n: Column) -> Column:
@@ -83,16 +83,16 @@ def line_words(line: Column) -> Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
-def _bucket(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 64 - BUCKETS_BITS).cast("int")
+def _bucket(word: str | Column) -> Column:
+    return F.shiftrightunsigned(F.hash(word), 32 - BUCKETS_BITS)
 
 
 def rarity(rows: DataFrame) -> Column:
     """For each hash bucket twice the logarithm of how many words of all texts fall into it, as one constant array."""
     word = F.explode_outer(F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " "))
-    counts = rows.select(word.alias("w")).groupBy(_bucket(F.xxhash64("w")).alias("b")).count()
+    counts = rows.select(word.alias("w")).groupBy(_bucket("w").alias("b")).count()
     by = {r["b"]: r["r"] for r in counts.select("b", F.floor(F.log2(F.col("count")) * 2).alias("r")).collect()}  # at most 2 ** BUCKETS_BITS rows
-    return F.split(F.lit(",".join(str(by.get(b, 0)) for b in range(1 << BUCKETS_BITS))), ",").cast("array<int>")
+    return F.split(F.lit(",".join(str(by.get(b, 0)) for b in range(1 << BUCKETS_BITS))), ",").cast("array<long>")
 
 
 def _sent(small: DataFrame, rows: int) -> DataFrame:
@@ -125,7 +125,7 @@ def _lines(rows: DataFrame, bits: int, ords: DataFrame | None = None, wanted: bo
         lines, rows = F.transform(lines, lambda x, i: F.when(_is_marked(F.col("marks"), i) == F.lit(wanted), x)), marked
     # The outer form spares a filter that would split the texts once more.
     each = rows.select("__n", F.posexplode_outer(lines).alias("pos", "line"))
-    return each.filter(F.col("line").rlike(_NO_TOKEN)).select((F.shiftleft(F.col("__n"), bits) + F.col("pos")).alias("ord"), "line")
+    return each.filter(F.btrim("line", F.lit(_BLANK)) != "").select((F.shiftleft(F.col("__n"), bits) + F.col("pos")).alias("ord"), "line")
 
 
 def _copies(rows: DataFrame, bits: int) -> DataFrame:
@@ -140,16 +140,16 @@ def _copies(rows: DataFrame, bits: int) -> DataFrame:
 
 def _codes(line: Column, ranks: Column) -> Column:
     """A line's distinct tokens' codes, rarest first."""
-    rank = lambda w: F.coalesce(F.get(ranks, _bucket(F.xxhash64(w))), F.lit(0)).cast("long")
+    rank = lambda w: F.coalesce(F.get(ranks, _bucket(w)), F.lit(0).cast("long"))
     code = lambda w: F.shiftleft(rank(w), _LOW).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << _LOW) - 1)))
     return F.sort_array(F.array_distinct(F.transform(line_words(line), code)))
 
 
 def _token_sets(lines: DataFrame, ranks: Column) -> DataFrame:
     """(ord, n, s, s2, prefix) of lines (ord, line): the number of tokens, sketches and the prefix. s has 64 bits, each the parity of the tokens that hash to it; s2 has those of half of the tokens, and 0 in small sets."""
-    n, bit = F.size("codes"), lambda c: c.bitwiseAND(F.lit(63)).cast("int")
+    n, bit = F.size("codes"), lambda c: F.hash(c)
     parity = lambda of: F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", of(c), bit(c))))
-    half = parity(lambda c: F.shiftright(c, 6).bitwiseAND(F.lit(1)))
+    half = parity(lambda c: c.bitwiseAND(F.lit(1)))
     sketches = parity(lambda c: F.lit(1).cast("long")).alias("s"), F.when(n >= WIDE, half).otherwise(0).alias("s2")
     return lines.select("ord", _codes(F.col("line"), ranks).alias("codes")).select("ord", n.alias("n"), *sketches, F.slice("codes", 1, n - _least(n) + 1).alias("prefix"))
 

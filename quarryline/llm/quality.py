@@ -7,7 +7,7 @@ no longer needs a dictionary. A logistic curve, fitted on labelled text that nei
 turns it into a probability of label 1.
 
 Both fits use a bounded sample of labelled rows: at most SAMPLE documents of each class, the first by
-a hash of doc_id, and at most EXCERPT code points of each. Scores read whole texts.
+a hash of doc_id, with their whole texts. Scores read whole texts.
 
 Defined results: null and empty texts have difference 0 and the score of that; without labels of
 both classes every score is the share of label 1 (0.5 without any); repeated rows are scored each;
@@ -22,9 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from quarryline.llm.common import clean_text, with_numbers
+from quarryline.llm.common import bare, clean_text, with_numbers
 
-SAMPLE, EXCERPT = 3000, 8192
+SAMPLE = 3000
 DICTIONARY, BLOCK, LEVEL = 65_536, 1024, 3
 #: A score of at least this is label 1.
 THRESHOLD = 0.7
@@ -44,10 +44,10 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, mod: int, held
     return docs.select("doc_id", clean_text().alias("text")).join(chosen, "doc_id").select("doc_id", "text", "y"), total
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, sample: int = SAMPLE, excerpt: int = EXCERPT) -> tuple[list[tuple[str, int]], dict[int, int]]:
-    """(excerpt, label) of labelled_rows()."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, sample: int = SAMPLE) -> tuple[list[tuple[str, int]], dict[int, int]]:
+    """(whole text, label) of labelled_rows()."""
     got, total = labelled_rows(docs, labels, label, mod, held, sample)
-    got = got.withColumn("text", F.substring("text", 1, excerpt)).dropDuplicates(["doc_id", "y"])
+    got = got.dropDuplicates(["doc_id", "y"])
     rows = sorted((r["doc_id"], r["text"], r["y"]) for r in got.collect())
     return [(t, y) for _, t, y in rows], total
 
@@ -134,4 +134,5 @@ def score(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2) -> Da
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not rejected, with their own columns."""
-    return scored(docs, labels, docs.columns).filter(F.col("__score") >= THRESHOLD).select(*docs.columns)
+    inner, restored = bare(docs, "doc_id", "text")
+    return restored(scored(inner, labels, inner.columns).filter(F.col("__score") >= THRESHOLD))

@@ -15,6 +15,11 @@ styles and reader comments. Those decide first, since adverts and footers often
 page and are then important to any tree. A page of which no block would be left keeps those outside
 low branches, and an article itself is no branch, so a host that repeats an article keeps it.
 
+Where words differ from page to page nothing repeats, and the tree tells the main part by its mass: the
+merged tree's branch with most of the host's text is the main one, down to where no branch holds half
+of it. Beside it, branches with less than SLIGHT of the text are removed from pages that have no
+article or main element, whatever their classes; such an element, where there is one, says the same.
+
 Nodes of all depths count; a path is a hash of its parent's path and its own element, so deep pages
 cost no more a node than flat ones.
 
@@ -42,6 +47,10 @@ from quarryline.llm.common import cut
 
 #: Weight of presentation against content by children; importance below which a branch goes; pages that a host needs for that.
 GAMMA, LEAST, PAGES = 0.9, 0.3, 8
+#: Share of a host's text that makes a branch the main one; share below which a branch beside it goes.
+MOST, SLIGHT = 0.5, 0.2
+#: A path with these bits flipped is the key of a branch beside the main one.
+BESIDE = 0x5BD1E995A5A5C3C3
 #: Noise nodes and blocks of hosts up to which they are sent to every executor; beyond, pages are joined by host.
 BROADCAST_ROWS = 200_000
 
@@ -69,13 +78,19 @@ def block_key(path: int, feature: int) -> int:
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "noise", "main", "children", "container", "leaf")
+    __slots__ = ("tag", "path", "parent", "noise", "main", "children", "container", "leaf", "above")
 
     def __init__(self, tag: str, path: int, parent: Node | None, noise: bool, main: bool):
         self.tag, self.path, self.parent, self.noise, self.main = tag, path, parent, noise, main
         self.children: list[str] = []
         self.container = tag in CONTAINER and tag not in MAIN
         self.leaf = not (self.container or main or tag in ("", "html", "body"))
+        #: The innermost branch around it.
+        self.above = parent if parent is None or parent.branch else parent.above
+
+    @property
+    def branch(self) -> bool:
+        return self.container or self.main
 
 
 class Page(HTMLParser):
@@ -163,7 +178,7 @@ class Page(HTMLParser):
         self.parts.append(data)
 
     def features(self) -> Iterator[tuple[int, int, int, int]]:
-        """(path, kind, feature, children) of containers and of nodes with a block: kind 0 a style, 1 a block at or below it, 2 its pages; once a page each."""
+        """(path, kind, feature, children) of containers and of nodes with a block: kind 0 a style, 1 a block at or below it, 2 its pages, 3 its text (feature: the branch around it; children: the code points); once a page each."""
         seen = set()
         for n in {id(n): n for n in (*(n for n in self.nodes if n.container), *(n for n, _ in self.blocks if not n.noise))}.values():
             seen.add((n.path, 0, _hash("|".join(n.children)), len(n.children)))
@@ -175,6 +190,15 @@ class Page(HTMLParser):
                     feature = _hash(text) if feature is None else feature
                     seen.add((at.path, 1, feature, 0))
                 at = at.parent
+        mass: Counter[tuple[int, int]] = Counter()
+        for node, text in self.blocks:
+            if not node.noise:
+                at = node if node.branch else node.above
+                while at is not None:
+                    mass[at.path, at.above.path if at.above else 0] += len(text)
+                    at = at.above
+                mass[0, 0] += len(text)
+        seen.update((path, 3, above, n) for (path, above), n in mass.items())
         return iter(seen)
 
     def text(self, removed: frozenset[int]) -> str:
@@ -217,7 +241,12 @@ class Page(HTMLParser):
             return joined((n, t) for n, t in self.blocks if (r := root(n)) is not None and id(r) in keep and not n.noise)
         if mains:  # an article inside an element that was never closed
             return joined((n, t) for n, t in self.blocks if root(n) is not None and not self._noise_below(n))
-        return joined((n, t) for n, t in self.blocks if not n.noise)
+        beside: set[int] = set()
+        for n in self.nodes if removed else ():  # parents come first
+            if n.branch and n.path ^ BESIDE in removed or id(n.parent) in beside:
+                beside.add(id(n))
+        plain = [(n, t) for n, t in self.blocks if not n.noise]
+        return joined([(n, t) for n, t in plain if id(n) not in beside] or plain)
 
     @staticmethod
     def _noise_below(n: Node) -> bool:
@@ -288,7 +317,18 @@ def low_keys(pages: DataFrame) -> DataFrame:
     often = summed.filter((F.col("kind") == 1) & (F.col("c") > (1 - LEAST) * (PAGES - 1))).select("host", "path", "feature", "c")
     blocks = often.join(nodes.filter(F.col("n") >= PAGES), ["host", "path"]).filter((F.col("c") - 1) / (F.col("n") - 1) > 1 - LEAST)
     keyed = blocks.select("host", "path", "feature").mapInArrow(_keys, "host string, key long")
-    return nodes.filter(F.col("importance") < LEAST).select("host", F.col("path").alias("key")).unionByName(keyed)
+    low = nodes.filter(F.col("importance") < LEAST).select("host", F.col("path").alias("key"))
+    beside = _beside(summed).select("host", F.col("path").bitwiseXOR(F.lit(BESIDE)).alias("key"))
+    return low.unionByName(keyed).unionByName(beside)
+
+
+def _beside(summed: DataFrame) -> DataFrame:
+    """(host, path) of the branches that stand beside a host's main one and hold little of its text."""
+    mass = summed.filter("kind = 3").select("host", "path", F.col("feature").alias("above"), F.col("children").alias("mass"), "c")
+    whole = mass.filter("path = 0").select("host", F.col("mass").alias("whole"), F.col("c").alias("n")).filter(F.col("n") >= PAGES)
+    shares = mass.filter("path != 0").join(whole, "host").select("host", "path", "above", (F.col("mass") / F.col("whole")).alias("share"))
+    main = shares.filter(F.col("share") > MOST).select("host", "above").distinct()
+    return shares.filter(F.col("share") < SLIGHT).join(main, ["host", "above"], "left_semi").select("host", "path")
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,6 @@
 """Operator 6: toxicity by weak supervision.
 
-Terms are a fixed list of insults and word stems mined from a bounded sample of labelled rows (words
+Terms are fixed lists of insults in four languages and word stems mined from a bounded sample of labelled rows (words
 and prefixes that toxic rows hold far more often). Every document's terms and patterns, found in its
 whole text, are one bit mask. Terms are dealt into lexicon voters, patterns are voters of their own:
 VOTERS in all, so the votes of the whole corpus are at most 2 ** VOTERS counts. On those counts a
@@ -31,26 +31,34 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, DoubleType, LongType
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
-from quarryline.llm.common import cut, with_numbers
+from quarryline.llm.common import bare, cut, drop, with_numbers
 from quarryline.llm.quality import labelled_rows, remainder
 
 SAMPLE = 3000
 THRESHOLD = 0.7
 
-#: Common insults of the English language, matched as whole words.
-INSULTS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "clown", "pathetic", "worthless", "disgusting", "imbecile", "bastard", "filthy", "vermin", "dumb", "ugly")
+#: Common insults of four languages, matched as whole words; each language is a voter.
+LEXICONS = (
+    ("idiot", "moron", "stupid", "scum", "trash", "loser", "clown", "pathetic", "worthless", "disgusting", "imbecile", "bastard", "filthy", "vermin", "dumb", "ugly"),
+    ("idiot", "idioten", "depp", "trottel", "dummkopf", "arschloch", "abschaum", "dreck", "widerlich", "erbärmlich", "wertlos", "verlierer", "versager", "schwachkopf", "missgeburt"),
+    ("idiot", "idiote", "crétin", "imbécile", "abruti", "connard", "salaud", "ordure", "racaille", "minable", "débile", "dégoûtant", "pathétique", "stupide"),
+    ("idiota", "imbécil", "estúpido", "estúpida", "tonto", "basura", "escoria", "inútil", "patético", "asqueroso", "payaso", "perdedor", "cabrón", "despreciable"),
+)
+INSULTS = tuple(dict.fromkeys(w for words in LEXICONS for w in words))
 #: Patterns: shouting, strings of exclamation marks, a second person that is called something.
 PATTERNS = (r"(?:\b[A-Z]{4,}\b\W+){4}", r"!{3,}", r"(?i)\byou(?:'re| are)? (?:an? )?(?:\w+ )?(?:idiot|moron|loser|clown|scum|trash)")
-FIXED_VOTERS, MINED_VOTERS = 4, 8
+FIXED_VOTERS, MINED_VOTERS = len(LEXICONS), 8
+#: Letters of the stems that are tried.
+STEM = range(4, 10)
 VOTERS = FIXED_VOTERS + MINED_VOTERS + len(PATTERNS)
 _WORD = re.compile(r"\w+")
 
 
 def features(text: str) -> set[str]:
     """A text's words, as '=word', and their first letters, as '^stem'."""
-    return {f for w in set(_WORD.findall(text.lower())) for f in ("=" + w, *("^" + w[:k] for k in range(4, min(len(w), 7))))}
+    return {f for w in set(_WORD.findall(text.lower())) for f in ("=" + w, *("^" + w[:k] for k in STEM if k < len(w)))}
 
 
 def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,10 +147,11 @@ class Marks:
 
 
 def voter_bits(terms: list[str], fixed: int) -> list[int]:
-    """Each voter's bits of the mask: the fixed terms and the mined ones dealt into lexicons in turn, then the patterns."""
+    """Each voter's bits of the mask: the fixed lexicons (a word of two languages votes in both), the mined terms dealt into lexicons in turn, then the patterns."""
     voters = [0] * VOTERS
     for i in range(len(terms)):
-        voters[i % FIXED_VOTERS if i < fixed else FIXED_VOTERS + (i - fixed) % MINED_VOTERS] |= 1 << i
+        for v in [v for v, words in enumerate(LEXICONS) if terms[i][1:] in words] if i < fixed else [FIXED_VOTERS + (i - fixed) % MINED_VOTERS]:
+            voters[v] |= 1 << i
     for j in range(len(PATTERNS)):
         voters[FIXED_VOTERS + MINED_VOTERS + j] = 1 << (len(terms) + j)
     return voters
@@ -256,23 +265,23 @@ def scored(docs: DataFrame, labels: DataFrame, keep: list[str], mod: int = 3, he
 
         return function
 
-    masks = cut(with_numbers(docs, ["doc_id"], [("mask", BinaryType()), ("vote", LongType())], finder), "toxic-masks")
+    # The masks stand beside the columns asked for, so texts are searched once.
+    masks = cut(with_numbers(docs, [*dict.fromkeys(["doc_id", *keep])], [("__mask", BinaryType()), ("__vote", LongType())], finder), "toxic-masks")
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder(mod) != held)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
-    votes = masks.join(known, "doc_id", "left").groupBy("vote", "y").count().collect()  # at most 3 * 2 ** VOTERS rows
+    votes = masks.select("doc_id", F.col("__vote").alias("vote")).join(known, "doc_id", "left").groupBy("vote", "y").count().collect()  # at most 3 * 2 ** VOTERS rows
     model = LabelModel({r["vote"]: r["count"] for r in votes if r["y"] is None}, {(r["vote"], r["y"]): r["count"] for r in votes if r["y"] is not None})
 
-    w = fit(cut(masks.groupBy("mask", "vote").count(), "toxic-counts"), width, model.posterior)
+    counts = cut(masks.groupBy(F.col("__mask").alias("mask"), F.col("__vote").alias("vote")).count(), "toxic-counts")
+    w = fit(counts, width, model.posterior)
+    drop(counts)
+    schema = StructType([*(docs.schema[k] for k in keep), StructField("__score", DoubleType())])
 
-    def judge():
-        marks = Marks(terms)
-
-        def function(texts: list[str]) -> list[np.ndarray]:
-            z = np.array([w[-1] + sum(w[i] for i, bit in enumerate(reversed(f"{marks.mask(t):b}")) if bit == "1") for t in texts], float)
-            return [1 / (1 + np.exp(-z))]
-
-        return function
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = np.unpackbits(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1, bitorder="little", count=width)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(1 / (1 + np.exp(-(bits @ w[:-1] + w[-1]))))], schema.names)
 
-    return with_numbers(docs, keep, [("__score", DoubleType())], judge)
+    return masks.select("__mask", *keep).mapInArrow(judge, schema)
 
 
 def score(docs: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1) -> DataFrame:
@@ -283,4 +292,5 @@ def score(docs: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1) -> Da
 
 def keep_civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not rejected, with their own columns."""
-    return scored(docs, labels, docs.columns).filter(F.col("__score") < THRESHOLD).select(*docs.columns)
+    inner, restored = bare(docs, "doc_id", "text")
+    return restored(scored(inner, labels, inner.columns).filter(F.col("__score") < THRESHOLD))

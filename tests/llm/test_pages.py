@@ -1,8 +1,13 @@
 """Main text of pages, and the site style tree."""
 
+import re
+from html import unescape
+
 import pytest
+from pyspark.sql import functions as F
 
 from quarryline.llm import sitetree
+from quarryline.llm.common import table
 from quarryline.llm.sitetree import Page
 
 CASES = [
@@ -68,3 +73,30 @@ def test_large_noise_sets_use_the_same_hosts(spark, monkeypatch):
     rows = [(i, ("//a.org/x", "http://[::1]/x", "http://u@v@c.org/")[i % 3], page(i)) for i in range(36)]
     got = sitetree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.page_id: r.text for r in got} == {i: f"text {i}" for i in range(36)}
+
+
+def test_the_tree_alone_finds_the_main_part(spark, sf, monkeypatch):
+    """Pages without an article element, all names without meaning, come out as those with one do; without the tree they don't."""
+    pages = table(spark, sf, "pages").withColumn("url", F.lit("http://h.org/"))
+    want = {r.page_id: r.text for r in sitetree.extract(pages).collect()}
+    html = F.col("html")
+    for old, new in (("<article", '<div class="q1"'), ("</article", "</div"), ("<(/?)nav", "<$1div"), ("<(/?)footer", "<$1div"), ('class="ad"', 'class="x7"')):
+        html = F.regexp_replace(html, old, new)
+    renamed = pages.withColumn("html", html)
+    assert {r.page_id: r.text for r in sitetree.extract(renamed).collect()} == want
+    monkeypatch.setattr(sitetree, "_beside", lambda summed: summed.select("host", "path").limit(0))
+    alone = {r.page_id: r.text for r in sitetree.extract(renamed).collect()}
+    assert sum(alone[i] == want[i] for i in want) < 0.1 * len(want)
+
+
+def test_main_text_is_the_articles(spark, sf):
+    """Every page's text is what its one article holds, by a plain rule for these regular pages."""
+
+    def plain(html: str) -> str:
+        part = re.sub("<(?!/?(?:p|h1|br)\\b)[^>]*>", "", re.search("<article>(.*)</article>", html, re.S)[1])
+        blocks = (re.sub(r"\s+", " ", unescape(re.sub("<br>", " ", b))).strip() for b in re.split("</?(?:p|h1)>", part))
+        return "\n".join(b for b in blocks if b)
+
+    rows = {r.page_id: r.html for r in table(spark, sf, "pages").collect()}
+    got = {r.page_id: r.text for r in sitetree.extract(table(spark, sf, "pages")).collect()}
+    assert got == {i: plain(h) for i, h in rows.items()}

@@ -117,3 +117,28 @@ def test_neighbours_odd_rows(spark):
     got = sorted((r.query_id, r["rank"], r.vec_id) for r in ann.search_every(df).collect())
     assert got == [(0, 1, 1), (0, 2, 100), (0, 3, 100), (100, 1, 1), (100, 2, 0)]
     assert ann.search_every(df.filter(F.lit(False))).count() == 0
+
+
+def test_codes_choose_few_and_all_nearest(spark):
+    """On clustered vectors the codes leave less than a fifth to be reranked; on the table's own the nearest are all found."""
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((20, 64))
+    rows = centres[rng.integers(0, 20, 4000)] + 0.3 * rng.standard_normal((4000, 64))
+    near = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<double>")
+    table_ = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    for df in (near, table_):
+        valid = ann.valid(df)
+        asked = valid.filter("vec_id % 100 = 0")
+        all_ = {r.vec_id: np.array(r.embedding, float) for r in valid.collect()}
+        got = {}
+        for r in ann.search_every(df).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        best = {q: set(sorted((i for i in all_ if i != q), key=lambda i: (np.linalg.norm(all_[i] - all_[q]), i))[:10]) for q in got}
+        assert sum(len(best[q] & got[q]) for q in got) >= 0.95 * 10 * len(got)
+        assert ann.candidates(valid, asked).count() < 0.2 * len(got) * len(all_)
+
+
+def test_repeated_ids_ask_with_the_smallest_vector(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.0, 2.0]), (2, [5.0, 0.0])]
+    got = ann.search_every(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, 1.0), (2, 26**0.5)]

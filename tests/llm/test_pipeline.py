@@ -1,6 +1,7 @@
 """The pipeline's stages, each on what the one before kept, and the registered queries."""
 
 import corpus_pipeline as cp
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from quarryline.llm import dart, linededup, quality, toxicity
@@ -30,3 +31,14 @@ def test_stages(spark, sf):
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 11)}
+
+
+def test_names_of_other_columns_never_clash(spark, make_docs, labels):
+    """Columns named like the operators' own, or with a dot, come back as they were."""
+    names = ["removed", "a.b", "__n", "__same", "text_a", "marks", "places", "__mask", "__score", "line"]
+    base = make_docs([f"some words of document number {i} that nobody else has written\nand a line" for i in range(12)])
+    docs = base.select("doc_id", "text", "n_chars", *[F.lit(f"v {n}").alias(n) for n in names])
+    marks = labels([(i, i % 2, 1 - i % 2, "x") for i in range(12)])
+    for out in (linededup.dedup_lines(docs), dart.keep_one(docs), quality.keep_good(docs, marks), toxicity.keep_civil(docs, marks)):
+        assert out.columns == docs.columns
+        assert all(list(r)[3:] == [f"v {n}" for n in names] for r in out.collect())
