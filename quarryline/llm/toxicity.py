@@ -52,6 +52,8 @@ PATTERNS = (r"(?:\b[A-Z]{4,}\b\W+){4}", r"!{3,}", r"(?i)\byou(?:'re| are)? (?:an
 FIXED_VOTERS, MINED_VOTERS = len(LEXICONS), 8
 #: Letters of the stems that are tried.
 STEM = range(4, 10)
+#: Share of toxic rows among those that hold a mined term.
+SURE = 0.9
 VOTERS = FIXED_VOTERS + MINED_VOTERS + len(PATTERNS)
 _WORD = re.compile(r"\w+")
 
@@ -90,7 +92,7 @@ def mine(rows: DataFrame, total: dict[int, int]) -> list[str]:
     a, b = F.col("pos") * (total[1] / n[1]), F.col("neg") * (total[0] / n[0])
     share = counts.filter("pos >= 4").withColumn("p", (a + 0.5) / (a + b + 1))
     p = F.col("p")
-    significant = share.filter((p >= 0.85) & (F.col("pos") * (p * F.log(p / base) + (1 - p) * F.log((1 - p) / (1 - base))) >= floor))
+    significant = share.filter((p >= SURE) & (F.col("pos") * (p * F.log(p / base) + (1 - p) * F.log((1 - p) / (1 - base))) >= floor))
     good = {r["feature"]: r["p"] for r in significant.collect()}
 
     def held_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +231,7 @@ def _gradient(batches: Iterator[pa.RecordBatch], width: int, posterior: dict[int
             q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             g += x.T @ (n * (p - q))
             h += (x * (n * q * (1 - q))[:, None]).T @ x
-    yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([g, h.ravel()])], pa.list_(pa.float64()))], ["sums"])
+    yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([g, h.ravel()]).tobytes()], pa.binary())], ["sums"])
 
 
 def fit(counts: DataFrame, width: int, posterior: dict[int, float], ridge: float = 0.02, rounds: int = 50) -> np.ndarray:
@@ -237,8 +239,8 @@ def fit(counts: DataFrame, width: int, posterior: dict[int, float], ridge: float
     w, penalty = np.zeros(width + 1), ridge * np.eye(width + 1)
     for _ in range(rounds):
         at = w.copy()
-        parts = counts.mapInArrow(lambda batches, at=at: _gradient(batches, width, posterior, at), "sums array<double>").collect()
-        sums = np.sum([r["sums"] for r in parts], axis=0) if parts else np.zeros((width + 1) * (width + 2))
+        parts = counts.mapInArrow(lambda batches, at=at: _gradient(batches, width, posterior, at), "sums binary").collect()
+        sums = sum((np.frombuffer(r["sums"]) for r in parts), np.zeros((width + 1) * (width + 2)))
         step = np.linalg.solve(sums[width + 1 :].reshape(width + 1, width + 1) + penalty, sums[: width + 1] - penalty @ w)
         w = w + step
         if np.abs(step).max() < 1e-8:
