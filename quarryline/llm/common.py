@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -41,6 +42,10 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     table = spark.read.schema(schema).parquet(path)
     table._cut_path = path
+    del df
+    # Plans of what was written are of no more use; a heap that is full of them is asked to shrink, so that a long chain of tables fits a small driver.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return table
 
 

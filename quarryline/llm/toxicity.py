@@ -11,7 +11,7 @@ count once. A linear classifier over the single terms is trained on the posterio
 counts of all distinct masks, whose gradients executors sum, and scores all documents.
 
 Bounds: at most SAMPLE labelled documents of each class for mining, by a hash of doc_id. Their whole
-texts are read by executors; the driver gets counts of significant features only.
+texts are read by executors, and of near copies among them one counts; the driver gets counts of significant features only.
 The number of mined terms is not bounded otherwise: a mask has as many bits as there are terms. Votes
 and the linear classifier cover all rows.
 
@@ -29,7 +29,8 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
@@ -54,6 +55,8 @@ FIXED_VOTERS, MINED_VOTERS = len(LEXICONS), 8
 STEM = range(4, 10)
 #: Share of toxic rows among those that hold a mined term.
 SURE = 0.9
+#: Hashes by which copies in the sample are known.
+KINDS = 4
 VOTERS = FIXED_VOTERS + MINED_VOTERS + len(PATTERNS)
 _WORD = re.compile(r"\w+")
 
@@ -73,6 +76,25 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([pos[f] for f in names], pa.int64()), pa.array([neg[f] for f in names], pa.int64())], ["feature", "pos", "neg"])
 
 
+def _kinds(texts: list[str]) -> list[list[int]]:
+    """KINDS hashes of each text, the least of its runs of three words under as many seeds: near copies share most of them, other texts none."""
+    out = []
+    for t in texts:
+        w = _WORD.findall(t.lower())
+        runs = {" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))}
+        out.append([min(xxhash.xxh3_64_intdigest(r, seed) for r in runs) >> 1 for seed in range(KINDS)])
+    return [[o[k] for o in out] for k in range(KINDS)]
+
+
+def _one_of_a_kind(sample: DataFrame) -> DataFrame:
+    """The sample (doc_id, text, y) with one of each class's near copies: a text that was copied a thousand times says no more about its words than once."""
+    kinds = [f"__kind{k}" for k in range(KINDS)]
+    left = with_numbers(sample.withColumn("__whole", F.col("text")), ["doc_id", "y", "__whole"], [(k, LongType()) for k in kinds], lambda: _kinds)
+    for k in kinds:
+        left = left.withColumn("__nth", F.row_number().over(Window.partitionBy("y", k).orderBy("doc_id"))).filter("__nth = 1").drop("__nth")
+    return left.select("doc_id", F.col("__whole").alias("text"), "y")
+
+
 def mine(rows: DataFrame, total: dict[int, int]) -> list[str]:
     """Word stems that mark toxic rows (doc_id, text, y): '=word' is the whole word, '^stem' a word's start.
 
@@ -81,7 +103,7 @@ def mine(rows: DataFrame, total: dict[int, int]) -> list[str]:
     most toxic rows not yet covered twice, then all others that no stem taken already implies.
     Executors read the whole texts.
     """
-    sample = cut(rows.dropDuplicates(["doc_id", "y"]), "toxic-sample")
+    sample = cut(_one_of_a_kind(rows.dropDuplicates(["doc_id", "y"])), "toxic-sample")
     n = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     if not n.get(0) or not n.get(1):
         return []
@@ -219,8 +241,8 @@ def _vote(mask: int, voters: list[int]) -> int:
 
 
 def _gradient(batches: Iterator[pa.RecordBatch], width: int, posterior: dict[int, float], w: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The sums of Newton's method at w over rows (mask, vote, count): the gradient, then the curvature."""
-    g, h = np.zeros(width + 1), np.zeros((width + 1, width + 1))
+    """The sums of Newton's method at w over rows (mask, vote, count): the loss, the gradient, then the curvature."""
+    loss, g, h = 0.0, np.zeros(width + 1), np.zeros((width + 1, width + 1))
     for b in batches:
         masks = np.frombuffer(b"".join(b["mask"].to_pylist()), np.uint8).reshape(b.num_rows, -1)
         for at in range(0, b.num_rows, 2048):
@@ -228,24 +250,37 @@ def _gradient(batches: Iterator[pa.RecordBatch], width: int, posterior: dict[int
             x = np.column_stack([x, np.ones(len(x))])
             n = b["count"].to_numpy()[at : at + 2048].astype(float)
             p = np.array([posterior[v] for v in b["vote"].to_pylist()[at : at + 2048]])
-            q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            z = x @ w
+            q = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+            loss += n @ (np.logaddexp(0, z) - p * z)
             g += x.T @ (n * (p - q))
             h += (x * (n * q * (1 - q))[:, None]).T @ x
-    yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([g, h.ravel()]).tobytes()], pa.binary())], ["sums"])
+    yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([[loss], g, h.ravel()]).tobytes()], pa.binary())], ["sums"])
 
 
 def fit(counts: DataFrame, width: int, posterior: dict[int, float], ridge: float = 0.02, rounds: int = 50) -> np.ndarray:
-    """Coefficients of all masks' bits, the intercept last, by Newton's method; executors sum the gradients of the distinct masks."""
-    w, penalty = np.zeros(width + 1), ridge * np.eye(width + 1)
+    """Coefficients of all masks' bits, the intercept last, by Newton's method; executors sum the gradients of the distinct masks. A step that makes the loss larger is halved, so the fit can't run away where a term settles the label."""
+    penalty = ridge * np.eye(width + 1)
+
+    def sums(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        parts = counts.mapInArrow(lambda batches: _gradient(batches, width, posterior, w), "sums binary").collect()
+        total = sum((np.frombuffer(r["sums"]) for r in parts), np.zeros(1 + (width + 1) * (width + 2)))
+        return total[0] + w @ penalty @ w / 2, total[1 : width + 2] - penalty @ w, total[width + 2 :].reshape(width + 1, width + 1) + penalty
+
+    w = np.zeros(width + 1)
+    loss, gradient, curvature = sums(w)
     for _ in range(rounds):
-        at = w.copy()
-        parts = counts.mapInArrow(lambda batches, at=at: _gradient(batches, width, posterior, at), "sums binary").collect()
-        sums = sum((np.frombuffer(r["sums"]) for r in parts), np.zeros((width + 1) * (width + 2)))
-        step = np.linalg.solve(sums[width + 1 :].reshape(width + 1, width + 1) + penalty, sums[: width + 1] - penalty @ w)
-        w = w + step
-        if np.abs(step).max() < 1e-8:
+        step = np.linalg.solve(curvature, gradient)
+        for _ in range(30):
+            now = sums(w + step)
+            if now[0] <= loss + 1e-9 * abs(loss):
+                break
+            step = step / 2
+        w, better = w + step, loss - now[0]
+        loss, gradient, curvature = now
+        if np.abs(step).max() < 1e-6 or better < 1e-9 * abs(loss):
             break
-    return np.round(w, 8)  # sums come in any order
+    return np.round(w, 6)  # sums come in any order
 
 
 def scored(docs: DataFrame, labels: DataFrame, keep: list[str], mod: int = 3, held: int = 1) -> DataFrame:
