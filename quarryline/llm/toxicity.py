@@ -11,7 +11,7 @@ count once. A linear classifier over the single terms is trained on the posterio
 counts of all distinct masks, whose gradients executors sum, and scores all documents.
 
 Bounds: at most SAMPLE labelled documents of each class for mining, by a hash of doc_id. Their whole
-texts are read by executors, and of near copies among them one counts; the driver gets counts of significant features only.
+texts are read by executors, and of near copies of a toxic one one counts; the driver gets counts of significant features only.
 The number of mined terms is not bounded otherwise: a mask has as many bits as there are terms. Votes
 and the linear classifier cover all rows.
 
@@ -87,11 +87,11 @@ def _kinds(texts: list[str]) -> list[list[int]]:
 
 
 def _one_of_a_kind(sample: DataFrame) -> DataFrame:
-    """The sample (doc_id, text, y) with one of each class's near copies: a text that was copied a thousand times says no more about its words than once."""
+    """The sample (doc_id, text, y) with one of the near copies of a toxic text: a text that was copied a thousand times says no more for its words than once. Copies of other texts all count against theirs."""
     kinds = [f"__kind{k}" for k in range(KINDS)]
     left = with_numbers(sample.withColumn("__whole", F.col("text")), ["doc_id", "y", "__whole"], [(k, LongType()) for k in kinds], lambda: _kinds)
     for k in kinds:
-        left = left.withColumn("__nth", F.row_number().over(Window.partitionBy("y", k).orderBy("doc_id"))).filter("__nth = 1").drop("__nth")
+        left = left.withColumn("__nth", F.row_number().over(Window.partitionBy("y", k).orderBy("doc_id"))).filter("y = 0 or __nth = 1").drop("__nth")
     return left.select("doc_id", F.col("__whole").alias("text"), "y")
 
 
