@@ -99,7 +99,7 @@ def mine(rows: DataFrame, total: dict[int, int]) -> list[str]:
     """Word stems that mark toxic rows (doc_id, text, y): '=word' is the whole word, '^stem' a word's start.
 
     A feature counts if its association with the class is far beyond chance for the number of
-    features tried (the log-likelihood ratio against the base rate); features come first that cover the
+    features tried (the log-likelihood ratio against the sample's share of the class); features come first that cover the
     most toxic rows not yet covered twice, then all others that no stem taken already implies.
     Executors read the whole texts.
     """
@@ -109,12 +109,15 @@ def mine(rows: DataFrame, total: dict[int, int]) -> list[str]:
         return []
     counted = sample.select("text", "y").mapInArrow(_count_features, "feature string, pos long, neg long")
     counts = cut(counted.groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter("pos > 0"), "toxic-features")
-    base, floor = total[1] / (total[0] + total[1]), math.log(counts.count() + 1) + 3
+    # Chance is what the sample's own classes would give a feature, however rare either is in the corpus.
+    base, floor = n[1] / (n[0] + n[1]), math.log(counts.count() + 1) + 3
+    pos, neg = F.col("pos"), F.col("neg")
+    m = pos + neg
+    ratio = pos * F.log(pos / m / base) + F.when(neg > 0, neg * F.log(neg / m / (1 - base))).otherwise(0.0)
     # A sampled row stands for total / n rows of its class.
-    a, b = F.col("pos") * (total[1] / n[1]), F.col("neg") * (total[0] / n[0])
+    a, b = pos * (total[1] / n[1]), neg * (total[0] / n[0])
     share = counts.filter("pos >= 4").withColumn("p", (a + 0.5) / (a + b + 1))
-    p = F.col("p")
-    significant = share.filter((p >= SURE) & (F.col("pos") * (p * F.log(p / base) + (1 - p) * F.log((1 - p) / (1 - base))) >= floor))
+    significant = share.filter((F.col("p") >= SURE) & (ratio >= floor))
     good = {r["feature"]: r["p"] for r in significant.collect()}
 
     def held_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
