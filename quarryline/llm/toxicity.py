@@ -11,7 +11,7 @@ count once. A linear classifier over the single terms is trained on the posterio
 counts of all distinct masks, whose gradients executors sum, and scores all documents.
 
 Bounds: at most SAMPLE labelled documents of each class for mining, by a hash of doc_id. Their whole
-texts are read by executors, and of near copies of a toxic one one counts; the driver gets counts of significant features only.
+texts are read by executors, and near copies of a toxic one count as often as texts like it that are not toxic, at least once; the driver gets counts of significant features only.
 The number of mined terms is not bounded otherwise: a mask has as many bits as there are terms. Votes
 and the linear classifier cover all rows.
 
@@ -55,6 +55,8 @@ FIXED_VOTERS, MINED_VOTERS = len(LEXICONS), 8
 STEM = range(4, 10)
 #: Share of toxic rows among those that hold a mined term.
 SURE = 0.9
+#: Labelled rows that the label model's view of a vote pattern is worth.
+PRIOR = 10
 #: Hashes by which copies in the sample are known.
 KINDS = 4
 VOTERS = FIXED_VOTERS + MINED_VOTERS + len(PATTERNS)
@@ -87,11 +89,13 @@ def _kinds(texts: list[str]) -> list[list[int]]:
 
 
 def _one_of_a_kind(sample: DataFrame) -> DataFrame:
-    """The sample (doc_id, text, y) with one of the near copies of a toxic text: a text that was copied a thousand times says no more for its words than once. Copies of other texts all count against theirs."""
+    """The sample (doc_id, text, y) without most near copies of toxic texts: one that was copied a thousand times says no more for its words than once. As many stay as have near copies that are not toxic, since what sets those apart is evidence, and at least one. Copies of other texts all count against their words."""
     kinds = [f"__kind{k}" for k in range(KINDS)]
     left = with_numbers(sample.withColumn("__whole", F.col("text")), ["doc_id", "y", "__whole"], [(k, LongType()) for k in kinds], lambda: _kinds)
     for k in kinds:
-        left = left.withColumn("__nth", F.row_number().over(Window.partitionBy("y", k).orderBy("doc_id"))).filter("y = 0 or __nth = 1").drop("__nth")
+        others = F.count(F.when(F.col("y") == 0, 1)).over(Window.partitionBy(k))
+        nth = F.row_number().over(Window.partitionBy("y", k).orderBy("doc_id"))
+        left = left.withColumn("__nth", nth - F.greatest(others, F.lit(1))).filter("y = 0 or __nth <= 0").drop("__nth")
     return left.select("doc_id", F.col("__whole").alias("text"), "y")
 
 
@@ -174,10 +178,11 @@ class Marks:
 
 
 def voter_bits(terms: list[str], fixed: int) -> list[int]:
-    """Each voter's bits of the mask: the fixed lexicons (a word of two languages votes in both), the mined terms dealt into lexicons in turn, then the patterns."""
+    """Each voter's bits of the mask: the fixed lexicons (a word of two languages votes in both), the mined terms in lexicons by their order, those with one beginning, which imply one another, together, then the patterns."""
     voters = [0] * VOTERS
+    kin = {k: j for j, k in enumerate(dict.fromkeys(t[1 : 1 + STEM.start] for t in terms[fixed:]))}
     for i in range(len(terms)):
-        for v in [v for v, words in enumerate(LEXICONS) if terms[i][1:] in words] if i < fixed else [FIXED_VOTERS + (i - fixed) % MINED_VOTERS]:
+        for v in [v for v, words in enumerate(LEXICONS) if terms[i][1:] in words] if i < fixed else [FIXED_VOTERS + kin[terms[i][1 : 1 + STEM.start]] * MINED_VOTERS // len(kin)]:
             voters[v] |= 1 << i
     for j in range(len(PATTERNS)):
         voters[FIXED_VOTERS + MINED_VOTERS + j] = 1 << (len(terms) + j)
@@ -211,14 +216,19 @@ class LabelModel:
             speaks = [(mass[:, y] @ some + (0.1, 4.0)[y]) / (mass[:, y].sum() + (10.0, 5.0)[y]) for y in (0, 1)]
             within = [np.where(lexicons, mass[:, y] @ some, mass[:, y].sum()) for y in (0, 1)]
             rate = [(mass[:, y] @ x + (0.2, 1.0)[y]) / (within[y] + 4) for y in (0, 1)]
-            new = self._posterior(x, some, rate, speaks, share, np.ones(VOTERS))
+            new = self._with_labels(self._posterior(x, some, rate, speaks, share, np.ones(VOTERS)), held)
             if np.abs(new - p).max() < 1e-9:
                 break
             p = new
         self.rate, self.speaks, self.share = rate, speaks, share
         self.correlation = np.maximum(*(self._residual(x, np.where(some > 0, mass[:, y], 0), rate[y]) for y in (0, 1)))
         self.weight = 1 / (1 + np.clip(self.correlation, 0, None).sum(1))
-        self.posterior = dict(zip(votes, self._posterior(x, some, rate, speaks, share, self.weight), strict=True))
+        self.posterior = dict(zip(votes, self._with_labels(self._posterior(x, some, rate, speaks, share, self.weight), held), strict=True))
+
+    @staticmethod
+    def _with_labels(p, held) -> np.ndarray:
+        """What the model thinks of a vote pattern counts as PRIOR rows beside the labelled rows that cast it, so that rows without a label can't pull a class away from them."""
+        return (held[:, 1] + PRIOR * p) / (held.sum(1) + PRIOR)
 
     @staticmethod
     def _posterior(x, some, rate, speaks, share, weight) -> np.ndarray:
