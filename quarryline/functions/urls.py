@@ -71,6 +71,16 @@ def pattern_allows(url: Column, include: list[str], exclude: list[str]) -> Colum
     return ~denied & allowed
 
 
+def followable(links: Column, seed_host: Column, depth: int = 1, include: list[str] = (), exclude: list[str] = ()) -> Column:
+    """Of links (url, text), those that may be followed, with canonical addresses: each address once, where it came first."""
+    numbered = F.transform(links, lambda l, i: F.struct(canonical_url(l["url"]).alias("url"), i.alias("pos"), l["text"].alias("text")))
+    ok = F.filter(numbered, lambda l: (l["url"] != "") & (url_rejection(l["url"], seed_host, F.lit(depth)) == "") & pattern_allows(l["url"], list(include), list(exclude)))
+    # An array of one array names the sorted links inside the lambda, so they are sorted once.
+    first = F.flatten(F.transform(F.array(F.array_sort(ok)), lambda s: F.filter(s, lambda l, i: (i == 0) | (F.get(s, i - 1)["url"] != l["url"]))))
+    in_order = F.array_sort(F.transform(first, lambda l: F.struct(l["pos"].alias("pos"), l["url"].alias("url"), l["text"].alias("text"))))
+    return F.transform(in_order, lambda l: F.struct(l["url"].alias("url"), l["text"].alias("text")))
+
+
 def is_pdf(url: Column, content_type: Column) -> Column:
     return F.lower(blank(content_type)).startswith("application/pdf") | F.lower(F.regexp_replace(blank(url), "[?#].*$", "")).endswith(".pdf")
 

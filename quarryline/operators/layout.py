@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.functions import html as H
+from quarryline.functions import urls as U
 from quarryline.functions.text import strip
 
 LANDMARKS, HEADINGS = "header|nav|main|article|aside|footer", "h[1-6]"
@@ -81,6 +82,21 @@ def normalize_rules(rules: Column) -> Column:
     return F.filter(named, lambda r: (r["selector"] != "") & r["role"].isin(*ROLES))
 
 
+def navigation(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, url, text, pos) of the links of each page's navigation that may be followed, each address once."""
+    links = U.followable(H.nav_anchors_col(F.col("html"), F.col("url")), U.host(F.col("url")))
+    return pages.select(key, F.posexplode(links).alias("pos", "l")).select(key, "l.url", "l.text", "pos")
+
+
+def ruled(pages: DataFrame, rules: Column, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
+    """pages with by_rules: what rules (array<struct<selector,role>>) take from each: distinct texts, a line each; links that may be followed; the first error of a selector."""
+    rows = pages.withColumn("by_rules", H.rule_rows_col(F.col("html"), F.col("url"), rules))
+    texts = F.array_distinct(F.filter(F.transform("by_rules", lambda r: r["text"]), lambda x: x != ""))
+    links = U.followable(F.flatten(F.transform("by_rules", lambda r: r["links"])), U.host(F.col("url")), 0, include, exclude)
+    error = F.get(F.filter(F.transform("by_rules", lambda r: r["error"]), lambda e: e.isNotNull()), 0)
+    return rows.withColumn("by_rules", F.struct(F.array_join(texts, "\n").alias("text"), links.alias("links"), error.alias("error")))
+
+
 def scrape(pages: DataFrame, rules_of: DataFrame, pos: str = "page_id", revisions: int = 2) -> DataFrame:
     """Each page's text: by its layout's rules, else by its readable part, else an error.
 
@@ -88,12 +104,10 @@ def scrape(pages: DataFrame, rules_of: DataFrame, pos: str = "page_id", revision
     revised for its first failing pages by pos, at most `revisions` of them; further failing pages
     fall back at once.
     """
-    import pandas as pd
     from pyspark.sql import Window
 
-    ruled = F.pandas_udf(lambda h, u, r: pd.Series([H.apply_rules(a, b, [dict(x) for x in c])["text"] if c is not None else "" for a, b, c in zip(h, u, r, strict=True)]), "string")
     joined = fingerprint(pages).join(rules_of, "layout_id", "left")
-    tried = joined.withColumn("by_rules", ruled("html", "url", "rules"))
+    tried = ruled(joined, F.col("rules")).withColumn("by_rules", F.col("by_rules.text"))
     tried = tried.withColumn("ok", F.size(validation_failures(F.col("by_rules"))) == 0)
     nth = F.sum((~F.col("ok")).cast("int")).over(Window.partitionBy("layout_id").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0))
     readable = H.clean_html_col(F.col("html"))

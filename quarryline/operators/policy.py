@@ -16,20 +16,30 @@ def _any(statuses: Column, words: tuple[str, ...]) -> Column:
     return F.exists(statuses, lambda s: F.lower(s).rlike("|".join(words)))
 
 
+#: The decisions, the first that holds counting: its sign, whether tries must be left (None: no matter), its kind and reason.
+DECISIONS = (
+    ("unauthorized", None, "deny", "policy not authorized"),
+    ("blocking", None, "handoff", "blocking access signal detected"),
+    ("throttled", True, "retry_later", "throttled or rate limited"),
+    ("throttled", False, "handoff", "throttling persisted beyond retry budget"),
+    ("error", True, "retry_later", "error severity signal"),
+    ("error", False, "deny", "error severity persisted beyond retry budget"),
+    ("replaceable", None, "use_approved_fallback", "approved fallback available for missing content"),
+    ("", None, "allow", "allowed"),
+)
+
+
 def decide(authorized: Column, statuses: Column, has_error: Column, attempt: Column, max_retries: Column, fallbacks: Column) -> Column:
-    """The decision of one attempt: its kind, reason and fallback address."""
-    again = attempt <= max_retries
-    kind = lambda k, why, url=None: F.struct(F.lit(k).alias("kind"), F.lit(why).alias("reason"), (url if url is not None else F.lit(None).cast("string")).alias("fallback_url"))
-    return (
-        F.when(~authorized, kind("deny", "policy not authorized"))
-        .when(_any(statuses, BLOCKING), kind("handoff", "blocking access signal detected"))
-        .when(_any(statuses, THROTTLED) & again, kind("retry_later", "throttled or rate limited"))
-        .when(_any(statuses, THROTTLED), kind("handoff", "throttling persisted beyond retry budget"))
-        .when(has_error & again, kind("retry_later", "error severity signal"))
-        .when(has_error, kind("deny", "error severity persisted beyond retry budget"))
-        .when((F.size(fallbacks) > 0) & _any(statuses, MISSING), kind("use_approved_fallback", "approved fallback available for missing content", F.get(fallbacks, 0)))
-        .otherwise(kind("allow", "allowed"))
-    )
+    """The decision of one attempt, by DECISIONS: its kind, reason and fallback address."""
+    signs = {
+        "unauthorized": ~authorized, "blocking": _any(statuses, BLOCKING), "throttled": _any(statuses, THROTTLED), "error": has_error,
+        "replaceable": (F.size(fallbacks) > 0) & _any(statuses, MISSING), "": F.lit(True),
+    }
+    rows = [
+        F.when(signs[sign] & (F.lit(True) if left is None else (attempt <= max_retries) == left), F.struct(F.lit(kind).alias("kind"), F.lit(reason).alias("reason"), (F.get(fallbacks, 0) if sign == "replaceable" else F.lit(None).cast("string")).alias("fallback_url")))
+        for sign, left, kind, reason in DECISIONS
+    ]
+    return F.coalesce(*rows)
 
 
 _AUDIT = "source_url string, step int, url string, attempt int, kind string, reason string, final boolean, fallback_used string"
@@ -41,20 +51,15 @@ def retrieve(policies: DataFrame, outcomes: DataFrame) -> DataFrame:
     policies: (requested_url, source_url, authorized, rate_limit_budget, max_retries,
     approved_fallback_urls), a row for each source. outcomes: (source_url, url, nth, statuses,
     has_error, ok), what the nth fetch of url gives. Each step depends on the one before, so a
-    source's few outcomes are one group; sources are independent.
+    source's few outcomes are one group; sources are independent. Every outcome is judged before, with
+    tries left and without; the walk only chooses between the two.
     """
-
-    def verdict(p, statuses: list[str], error: bool, attempt: int) -> tuple[str, str, str | None]:
-        has = lambda words: any(w in s.lower() for s in statuses for w in words)
-        if has(BLOCKING):
-            return "handoff", "blocking access signal detected", None
-        if has(THROTTLED):
-            return ("retry_later", "throttled or rate limited", None) if attempt <= p.max_retries else ("handoff", "throttling persisted beyond retry budget", None)
-        if error:
-            return ("retry_later", "error severity signal", None) if attempt <= p.max_retries else ("deny", "error severity persisted beyond retry budget", None)
-        if len(p.approved_fallback_urls) and has(MISSING):
-            return "use_approved_fallback", "approved fallback available for missing content", p.approved_fallback_urls[0]
-        return "allow", "allowed", None
+    again, over = (F.lit(0), F.lit(0)), (F.lit(1), F.lit(0))
+    judge = lambda statuses, error, at: decide(F.lit(True), statuses, error, *at, F.col("approved_fallback_urls"))
+    none = F.array().cast("array<string>")
+    policies = policies.withColumns({"gone_again": judge(none, F.lit(True), again), "gone_over": judge(none, F.lit(True), over)})
+    judged = outcomes.join(policies.select("source_url", "approved_fallback_urls"), "source_url")
+    judged = judged.select("source_url", "url", "nth", "ok", judge(F.col("statuses"), F.col("has_error"), again).alias("again"), judge(F.col("statuses"), F.col("has_error"), over).alias("over"))
 
     def one(key, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         p = mine.iloc[0]
@@ -72,9 +77,10 @@ def retrieve(policies: DataFrame, outcomes: DataFrame) -> DataFrame:
                 rows.append([url, attempt, "retry_later", "rate limit budget exhausted", True, fallback])
                 break
             budget -= 1
-            waiting = queue.get(url) or [{"statuses": [], "has_error": True, "ok": False}]
+            waiting = queue.get(url) or [{"again": p.gone_again, "over": p.gone_over, "ok": False}]
             got = waiting.pop(0) if len(waiting) > 1 else waiting[0]
-            kind, reason, to = verdict(p, list(got["statuses"]), bool(got["has_error"]), attempt)
+            judged = got["again" if attempt <= p.max_retries else "over"]
+            kind, reason, to = judged["kind"], judged["reason"], judged["fallback_url"]
             at = url
             if kind == "use_approved_fallback":
                 if to == url:
@@ -93,7 +99,7 @@ def retrieve(policies: DataFrame, outcomes: DataFrame) -> DataFrame:
             attempt += 1
         return pd.DataFrame([(p.source_url, n, *r) for n, r in enumerate(rows)], columns=[c.split()[0] for c in _AUDIT.split(", ")])
 
-    return policies.groupBy("source_url").cogroup(outcomes.groupBy("source_url")).applyInPandas(one, _AUDIT)
+    return policies.groupBy("source_url").cogroup(judged.groupBy("source_url")).applyInPandas(one, _AUDIT)
 
 
 def rate_budget(events: DataFrame, key: str = "user_id", ts: str = "ts", seconds: int = WINDOW_SECONDS, uses: int = USES) -> DataFrame:

@@ -151,10 +151,18 @@ def nav_hrefs(spark, sf):
     return rows.groupBy("page_id", "href").agg((F.min("i") + 1).cast("long").alias("pos"))
 
 
-@query()
+#: An account page's address, and the text of markup.
+_BLOCKED_SQL = "regexp_matches({}, '(?i)(?:^|[/_.?=&-])(login|logout|signin|signout|delete|remove|action|account|register|captcha)(?:$|[/_.?=&-])')"
+_PLAIN_SQL = "replace(replace(replace(replace(replace({},'&lt;','<'),'&gt;','>'),'&quot;','\"'),'&#x27;',''''),'&amp;','&')"
+
+
+@query(f"""WITH n AS (SELECT page_id, regexp_extract(url,'^[A-Za-z]+://[^/?#]*') origin, regexp_extract_all(regexp_extract(html,'<nav>(.*?)</nav>',1,'s'),'<a href="[^"]*">[^<]*</a>') a FROM pages),
+  e AS (SELECT page_id, origin, unnest(a) l, generate_subscripts(a,1) i FROM n),
+  u AS (SELECT page_id, i, lower(origin) || {_PLAIN_SQL.format("""regexp_extract(l,'href="([^"]*)"',1)""")} AS url, {_PLAIN_SQL.format("regexp_extract(l,'>([^<]*)</a>',1)")} AS text FROM e)
+  SELECT page_id, url, arg_min(text, i) AS text FROM u WHERE NOT {_BLOCKED_SQL.format("url")} GROUP BY ALL""")
 def nav_links(spark, sf):
-    """Navigation links by the DOM: resolved, canonical, distinct."""
-    return t(spark, sf, "pages").select("page_id", F.explode(H.nav_links_col(F.col("html"), F.col("url"))).alias("l")).select("page_id", "l.url", "l.text")
+    """Navigation links by the DOM: resolved, canonical, distinct, and such as may be followed."""
+    return layout.navigation(t(spark, sf, "pages")).drop("pos")
 
 
 @query("SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html,'<h1>(.*?)</h1>',1,'s'),'&lt;','<'),'&gt;','>'),'&quot;','\"'),'&#x27;',''''),'&amp;','&'),'\\s+',' ','g')) AS h1 FROM pages")
@@ -184,17 +192,20 @@ def page_strip(spark, sf):
 RULES = [{"selector": "nav, footer, .ad", "role": "ignore"}, {"selector": "article h1, article p", "role": "extract_only"}, {"selector": "article", "role": "crawl_only"}]
 
 
+def _rules(rows=tuple(RULES)) -> Column:
+    return F.array(*[F.struct(F.lit(r["selector"]).alias("selector"), F.lit(r["role"]).alias("role")) for r in rows])
+
+
 @query()
 def apply_layout_rules(spark, sf):
-    got = t(spark, sf, "pages").select("page_id", H.apply_rules_col(F.col("html"), F.col("url"), RULES).alias("r"))
-    return got.select("page_id", "r.text", F.size("r.links").alias("n_links"))
+    got = layout.ruled(t(spark, sf, "pages"), _rules())
+    return got.select("page_id", "by_rules.text", F.size("by_rules.links").alias("n_links"))
 
 
 @query()
 def scrape_pages(spark, sf):
     p = t(spark, sf, "pages")
-    rules = F.array(*[F.struct(F.lit(r["selector"]).alias("selector"), F.lit(r["role"]).alias("role")) for r in RULES])
-    return layout.scrape(p, layout.learn_once(p).select("layout_id", rules.alias("rules")))
+    return layout.scrape(p, layout.learn_once(p).select("layout_id", _rules().alias("rules")))
 
 
 @query("""SELECT doc_id, CASE WHEN length(regexp_replace(text,'^\\s+|\\s+$','','g'))<80 THEN 'content_chars|' ELSE '' END || CASE WHEN contains(lower(text),'cookie') OR contains(lower(text),'all rights reserved') OR contains(lower(text),'skip to content') OR contains(lower(text),'privacy policy') THEN 'boilerplate' ELSE '' END AS failures FROM documents""")
