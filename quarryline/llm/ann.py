@@ -6,11 +6,13 @@ the inner product of code and vector. A query is rotated too and quantised to PL
 coordinate; its inner products with codes are counts of common bits. They estimate the query's
 distance to every vector without bias, with bounds; a vector is reranked by the exact distance, in
 double precision on the original vectors, only if its lower bound is within the k-th smallest upper
-bound of the query's candidates, first among a chunk, then among all.
+bound of the query's candidates in a chunk, and within the k-th smallest distance of those that the
+task has reranked for it before.
 
 Every row is coded, in chunks of CHUNK codes; queries come in blocks of BLOCK. Each block meets each
-chunk once, and a task holds one of either at a time. Original vectors stay out of that: they are
-joined to the chosen ids alone. The centre is the mean of a sample of at most SAMPLE vectors, the
+chunk once, and a task holds one of either at a time, with the k best of the block's queries. A
+chunk carries its original vectors once, for the chosen are reranked where their codes are: only k
+rows of a query leave a task for each chunk at most, instead of every chosen pair. The centre is the mean of a sample of at most SAMPLE vectors, the
 first by a hash of vec_id. EPSILON sets the bounds: at 2.5 a vector is missed with a probability of
 about one in a hundred where the bound decides. Codes are scanned whole, so work grows with queries
 times rows: vectors that are spread evenly, where a coarse index would cost recall, set that.
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import cut, shuffle_width
+from quarryline.llm.common import shuffle_width
 
 K, EVERY = 10, 100
 CHUNK, BLOCK, SAMPLE, EPSILON, SEED = 16_384, 512, 4096, 2.5, 20_240_521
@@ -115,7 +117,7 @@ def _coder(centres: dict[int, np.ndarray], k: int):
                 ids, vectors = np.frombuffer(raw_ids, np.int64), np.frombuffer(raw).reshape(-1, dim)
                 keep = eligible(ids, vectors, k)
                 made = encode(vectors[keep], centres.get(dim, np.zeros(dim)))
-                yield pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "n": pa.array([len(keep)], pa.int32()), "ids": pa.array([ids[keep].tobytes()], pa.binary())} | {k: pa.array([x.tobytes()], pa.binary()) for k, x in zip(("bits", "norms", "along"), made, strict=True)})
+                yield pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "n": pa.array([len(keep)], pa.int32()), "ids": pa.array([ids[keep].tobytes()], pa.binary()), "vectors": pa.array([vectors[keep].tobytes()], pa.binary())} | {k: pa.array([x.tobytes()], pa.binary()) for k, x in zip(("bits", "norms", "along"), made, strict=True)})
 
     return code
 
@@ -146,67 +148,68 @@ class Query:
         return near - slack, near + slack
 
 
-def chosen(low: np.ndarray, high: np.ndarray, k: int) -> np.ndarray:
-    """Places whose lower bound is within the k-th smallest upper bound."""
-    return np.arange(len(low)) if len(high) <= k else np.flatnonzero(low <= np.partition(high, k - 1)[k - 1])
+def chosen(low: np.ndarray, high: np.ndarray, k: int, limit: float) -> np.ndarray:
+    """Places whose lower bound is within the k-th smallest upper bound and within limit."""
+    return np.flatnonzero(low <= (limit if len(high) <= k else min(limit, np.partition(high, k - 1)[k - 1])))
 
 
-_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("low", pa.float64()), ("high", pa.float64())])
+_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("reranked", pa.int64())])
 
 
 def _searcher(centres: dict[int, np.ndarray], k: int, epsilon: float):
+    def rows(best: dict[int, tuple[np.ndarray, np.ndarray, int]]) -> pa.RecordBatch:
+        parts = [(np.full(len(ids), q), ids, scores, np.where(np.arange(len(ids)) == 0, n, 0)) for q, (ids, scores, n) in best.items()]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*parts, strict=True), _FOUND, strict=True)], schema=_FOUND)
+
     def search_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, best = None, {}
         for b in batches:
             for i in range(b.num_rows):
                 r = {name: b[name][i].as_py() for name in b.schema.names}
-                query_ids, ids, dim = np.frombuffer(r["query_ids"], np.int64), np.frombuffer(r["ids"], np.int64), r["dim"]
-                words = np.frombuffer(r["bits"], np.uint64).reshape(len(ids), -1)
+                if r["query_ids"] != block:
+                    if best:
+                        yield rows(best)
+                    block, best = r["query_ids"], {}
+                ids, dim = np.frombuffer(r["ids"], np.int64), r["dim"]
+                vectors, words = np.frombuffer(r["vectors"]).reshape(-1, dim), np.frombuffer(r["bits"], np.uint64).reshape(len(ids), -1)
                 codes = words, np.bitwise_count(words).sum(1, dtype=np.int64), np.frombuffer(r["norms"]), np.frombuffer(r["along"])
-                found = []
-                for q, vector in zip(query_ids, np.frombuffer(r["query_vectors"]).reshape(-1, dim), strict=True):
+                for q, vector in zip(np.frombuffer(block, np.int64).tolist(), np.frombuffer(r["query_vectors"]).reshape(-1, dim), strict=True):
                     low, high = Query(vector, centres.get(dim, np.zeros(dim))).bounds(codes, epsilon)
                     other = np.flatnonzero(ids != q)
-                    keep = other[chosen(low[other], high[other], k)]
-                    found.append((np.full(len(keep), q), ids[keep], low[keep], high[keep]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*found, strict=True), _FOUND, strict=True)], schema=_FOUND)
+                    old_ids, old, n = best.get(q, (ids[:0], codes[2][:0], 0))
+                    limit = old[-1] ** 2 * (1 + 1e-9) if len(old) == k else np.inf
+                    keep = other[chosen(low[other], high[other], k, limit)]
+                    near_ids, near = np.r_[old_ids, ids[keep]], np.r_[old, np.sqrt(((vectors[keep] - vector) ** 2).sum(1))]
+                    first = np.lexsort((near_ids, near))[:k]
+                    best[q] = near_ids[first], near[first], n + len(keep)
+        if best:
+            yield rows(best)
 
     return search_pairs
 
 
-def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        scores = [float(np.sqrt(((np.array(x, float) - np.array(q, float)) ** 2).sum())) for x, q in zip(b["vector"].to_pylist(), b["query"].to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([b["query_id"], b["vec_id"], pa.array(scores, pa.float64())], ["query_id", "vec_id", "score"])
-
-
-def candidates(rows: DataFrame, queries: DataFrame, k: int = K, epsilon: float = EPSILON) -> DataFrame:
-    """(query_id, vec_id) to be reranked, of valid rows and queries with an id each."""
+def nearest(rows: DataFrame, queries: DataFrame, k: int = K, epsilon: float = EPSILON) -> DataFrame:
+    """(query_id, vec_id, score, reranked) of the k best of each query for each group of chunks, of valid rows and queries with an id each. reranked sums up to the pairs whose distances were computed."""
     spark = rows.sparkSession
     by: dict[int, list] = defaultdict(list)
     for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(SAMPLE).collect():
         by[len(r["embedding"])].append(r["embedding"])
     centres = {dim: np.array(v, float).mean(0) for dim, v in by.items()}
     groups = 2 * shuffle_width(spark)
-    coded = rows.mapInArrow(_packer(CHUNK), _CHUNK).mapInArrow(_coder(centres, k), "dim int, n int, ids binary, bits binary, norms binary, along binary")
+    coded = rows.mapInArrow(_packer(CHUNK), _CHUNK).mapInArrow(_coder(centres, k), "dim int, n int, ids binary, vectors binary, bits binary, norms binary, along binary")
     chunks = coded.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
     # The stated query set, in blocks: each block goes once to each group of chunks.
     asked = queries.repartition(max(1, shuffle_width(spark) // 8), "vec_id").mapInArrow(_packer(BLOCK), _CHUNK)
     blocks = asked.select(F.col("dim").alias("query_dim"), F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
-    pairs = chunks.join(blocks, (F.col("g") == F.col("group")) & (F.col("dim") == F.col("query_dim"))).select("dim", "ids", "bits", "norms", "along", "query_ids", "query_vectors")
-    found = cut(pairs.mapInArrow(_searcher(centres, k, epsilon), "query_id long, vec_id long, low double, high double"), "near-bounds")
-    first = found.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy("high"))).filter(F.col("nth") <= k)
-    limit = first.groupBy("query_id").agg(F.max("high").alias("limit"), F.count("*").alias("have"))
-    return found.join(limit, "query_id").filter((F.col("low") <= F.col("limit")) | (F.col("have") < k)).select("query_id", "vec_id").distinct()
+    pairs = blocks.join(chunks, (F.col("g") == F.col("group")) & (F.col("dim") == F.col("query_dim"))).select("dim", "ids", "vectors", "bits", "norms", "along", "query_ids", "query_vectors")
+    return pairs.mapInArrow(_searcher(centres, k, epsilon), "query_id long, vec_id long, score double, reranked long")
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """The k nearest of rows for each of queries, both (vec_id, embedding); queries of one id count once, with the smallest vector."""
     taking = valid(rows)
     asked = valid(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    chosen_ids = candidates(taking, asked, k)
-    with_vectors = chosen_ids.join(taking.withColumnRenamed("embedding", "vector"), "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), "query_id")
-    same = with_vectors.filter(F.size("vector") == F.size("query")).select("query_id", "vec_id", "vector", "query")
-    scored = same.mapInArrow(_distances, "query_id long, vec_id long, score double")
+    scored = nearest(taking, asked, k)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
