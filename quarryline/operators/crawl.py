@@ -24,24 +24,40 @@ def frontier(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH) ->
     return seen
 
 
+def discovered(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """(node, depth, found) of the nodes within max_depth of a seed. edges: (src, dst, pos), pos being a link's place on its page.
+
+    found holds the places of the links on the way; within a depth its order is that in which a queue
+    would have met the nodes, so no node needs a rank among all.
+    """
+    last = seeds.select("node").distinct().withColumns({"depth": F.lit(0), "found": F.array().cast("array<int>")})
+    seen = last
+    for depth in range(1, max_depth + 1):
+        met = last.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min(F.concat("found", F.array(F.col("pos").cast("int")))).alias("found"))
+        last = met.join(seen.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth"), "found")
+        seen = seen.unionByName(last)
+    return seen
+
+
 def plan_crawl(edges: DataFrame, seed: DataFrame, seed_host: str, max_depth: int = MAX_DEPTH, max_pages: int = MAX_PAGES) -> DataFrame:
     """(url, depth, status) of every address met: visited, the reason it was skipped, or max_pages_reached.
 
-    Pages come in order of depth, then of address. A rejected address is not followed.
+    edges: (src, dst) and, if known, pos, a link's place on its page. Pages come first in, first out:
+    by depth, then by discovery, then by address. A rejected address is not followed.
     """
+    edges = edges if "pos" in edges.columns else edges.withColumn("pos", F.lit(0))
     allowed = edges.filter(url_rejection(F.col("dst"), F.lit(seed_host), F.lit(1), max_depth) == "")
-    reached = frontier(allowed.select("src", "dst"), seed.select(F.col("url").alias("node")), max_depth).withColumnRenamed("node", "url")
-    first = reached.orderBy("depth", "url").limit(max_pages).withColumn("visited", F.lit(True))
+    reached = discovered(allowed.select("src", "dst", "pos"), seed.select(F.col("url").alias("node")), max_depth).withColumnRenamed("node", "url")
+    first = reached.orderBy("depth", "found", "url").limit(max_pages).withColumn("visited", F.lit(True))
     told = reached.join(first.select("url", "visited"), "url", "left").select("url", "depth", F.when(F.col("visited"), "visited").otherwise("max_pages_reached").alias("status"))
     met = edges.join(told.filter("status = 'visited'").select(F.col("url").alias("src"), "depth"), "src").groupBy(F.col("dst").alias("url")).agg((F.min("depth") + 1).alias("depth"))
     skipped = met.withColumn("status", url_rejection(F.col("url"), F.lit(seed_host), F.col("depth"), max_depth)).filter("status != ''").join(told.select("url"), "url", "left_anti")
     return told.unionByName(skipped)
 
 
-def offered_only(selected: DataFrame, offered: DataFrame) -> DataFrame:
-    """The selected addresses that were offered, each once, in the order of the offer; all offered ones if nothing was selected at all."""
-    kept = offered.join(selected.select("url").distinct(), "url", "left_semi")
-    return kept if selected.take(1) else offered
+def offered_only(selected: DataFrame, offered: DataFrame, committed: bool = True) -> DataFrame:
+    """The offered addresses that were selected, none for an empty selection; all offered ones if nobody committed to a selection (no reply, or one without)."""
+    return offered.join(selected.select("url").distinct(), "url", "left_semi") if committed else offered
 
 
 def first_seen(rows: DataFrame, key: str, pos: str = "pos") -> DataFrame:
