@@ -186,7 +186,8 @@ def first_books(rows: DataFrame, entries: int = ENTRIES) -> dict[int, Books]:
     books = {}
     for dim in sorted(r[0] for r in rows.select(F.size("embedding").alias("d")).distinct().collect()):
         own = rows.filter(F.size("embedding") == dim).orderBy(F.asc_nulls_last("vec_id"), "embedding").limit(entries)
-        books[dim] = split(np.array([r["embedding"] for r in own.select("embedding").collect()], float).reshape(-1, dim))
+        found = [r["embedding"] for r in own.select("embedding").collect()]
+        books[dim] = split(np.array(found, float).reshape(len(found), dim))
     return books
 
 

@@ -167,7 +167,7 @@ class Tree:
             first, last = self.first[node], self.last[node]
             if self.leaf[node]:
                 ids, vectors = self.ids[first:last], self.vectors[first:last]
-                near = np.abs(self.away[first:last] - at) <= far
+                near = ~(np.abs(self.away[first:last] - at) > far)
                 if not near.all():
                     ids, vectors = ids[near], vectors[near]
                 self.computed += len(ids)
@@ -184,7 +184,7 @@ class Tree:
                         far = reach(limit)
             else:
                 rows = np.arange(first, last)
-                rows = rows[np.abs(self.up[rows] - at) - self.radius[rows] <= far]
+                rows = rows[~(np.abs(self.up[rows] - at) - self.radius[rows] > far)]
                 if len(rows):
                     near = apart(self.route[rows])
                     for r, d, b in zip(rows.tolist(), near.tolist(), (near - self.radius[rows]).tolist(), strict=True):
