@@ -1,58 +1,158 @@
-"""Crawling over a stored link graph: a breadth-first frontier, a join for each depth."""
+"""Crawls over captured pages, many sites at once: a first-in-first-out queue for each site, taken by levels.
+
+A site's queue is a table of (site, url, depth, place). All addresses of one depth stand before those
+of the next, so a level is judged at once: how many pages an address finds visited before it is a
+running count over its site's level. A site's queue and budget are bounded, and every window here is
+over one site's queue. Each level is written before the next is made.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.functions.text import blank
 from quarryline.functions.urls import MAX_DEPTH, url_rejection
+from quarryline.operators.policy import origin_of, robots_allowed
+from quarryline.sources.rounds import Rounds
 
-#: Fixed value: the most pages of a crawl.
-MAX_PAGES = 30
+#: The most pages of a crawl, and how many times as many addresses its queue may take.
+MAX_PAGES, QUEUE_FACTOR = 30, 4
 
 
 def frontier(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(node, depth) of the nodes within max_depth of a seed, by least depth. edges: (src, dst); seeds: (node).
-
-    The number of rounds is max_depth, so the plan stays short and needs no cutting.
-    """
-    seen = seeds.select("node").distinct().withColumn("depth", F.lit(0))
-    last = seen
+    """(node, depth) of the nodes within max_depth of a seed, by least depth. edges: (src, dst); seeds: (node). A round is one join with the last round's nodes alone."""
+    seen = Rounds(edges.sparkSession, "frontier")
+    last = seen.put(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     for depth in range(1, max_depth + 1):
-        last = last.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
-        seen = seen.unionByName(last)
-    return seen
-
-
-def discovered(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(node, depth, found) of the nodes within max_depth of a seed. edges: (src, dst, pos), pos being a link's place on its page.
-
-    found holds the places of the links on the way; within a depth its order is that in which a queue
-    would have met the nodes, so no node needs a rank among all.
+        met = last.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        last = seen.put(met.join(seen.all().select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+    return seen.all()
+
+
+def _judged(level: DataFrame, sites: DataFrame, pages: DataFrame, robots: DataFrame | None, max_depth: int, max_pages: int) -> DataFrame:
+    """The level with status and reason: what becomes of each address, taken by place while the site has pages left."""
+    known = level.join(sites.select("site", "host", "visited"), "site").join(pages.withColumn("__there", F.lit(True)), "url", "left")
+    if robots is None:
+        known = known.withColumn("__may", F.lit(True))
+    else:
+        known = known.withColumn("__origin", origin_of(F.col("url"))).join(robots.select(F.col("origin").alias("__origin"), F.col("rules").alias("__rules")), "__origin", "left")
+        known = known.withColumn("__may", robots_allowed(F.col("url"), F.col("__rules"))).drop("__rules", "__origin")
+    rejected = url_rejection(F.col("url"), F.col("host"), F.col("depth"), max_depth)
+    taken = (rejected == "") & F.col("__may")
+    before = Window.partitionBy("site").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    had = F.col("visited") + F.coalesce(F.sum(taken.cast("long")).over(before), F.lit(0))
+    fault = F.when(F.col("__there").isNull(), "not captured").otherwise(F.nullif(blank(F.col("fetch_error")), F.lit("")))
+    seed = F.col("depth") == 0
+    reason = (
+        F.when(had >= max_pages, "max_pages_reached").when(rejected != "", rejected).when(~F.col("__may"), "robots_disallowed")
+        .when(fault.isNotNull(), F.concat(F.when(seed, "fetch_error: ").otherwise("processing_error: "), fault))
+        .when(seed & F.coalesce("is_pdf", F.lit(False)), "seed_page_is_pdf").when(blank(F.col("page_error")) != "", F.col("page_error")).otherwise("")
+    )
+    status = F.when(reason == "", "visited").when(had >= max_pages, "skipped").when(taken, "failed").otherwise("skipped")
+    # A page that was fetched counts as visited, whatever became of its text; a seed that wasn't ends its crawl.
+    counted = taken & (had < max_pages) & ~(seed & (fault.isNotNull() | F.coalesce("is_pdf", F.lit(False))))
+    return known.withColumns({"status": status, "reason": reason, "counted": counted}).drop("__there", "__may", "host", "visited")
+
+
+def _admitted(links: DataFrame, queued: DataFrame, sites: DataFrame, cap: int) -> DataFrame:
+    """(site, url, place) of new addresses, in order of discovery, as long as the site's queue has room. links: (site, url, at), at telling the order."""
+    new = links.groupBy("site", "url").agg(F.min("at").alias("at")).join(queued.select("site", "url"), ["site", "url"], "left_anti")
+    nth = new.withColumn("nth", F.row_number().over(Window.partitionBy("site").orderBy("at", "url"))).filter(F.col("nth") <= cap)
+    return nth.join(sites.select("site", "size"), "site").filter(F.col("size") + F.col("nth") <= cap).select("site", "url", (F.col("size") + F.col("nth") - 1).alias("place"))
+
+
+def crawl(seeds: DataFrame, pages: DataFrame, robots: DataFrame | None = None, scrape: Callable[[DataFrame], DataFrame] | None = None, max_depth: int = MAX_DEPTH, max_pages: int = MAX_PAGES) -> DataFrame:
+    """(site, url, depth, place, status, reason) of every address that a site's queue took, as a queue of its own would have met them.
+
+    seeds: (site, url, host, selected array<string>), a row for each site, selected being the addresses
+    of the seed's navigation that are queued before its other links. pages: what fetching an address
+    gives: (url, links array<string>, fetch_error, page_error, is_pdf), a row for each; an address
+    without a row can't be fetched. robots: (origin, rules), as policy.robots_rules gives; None allows
+    all. scrape: called with each level's fetched pages (site, url, place and pages' other columns), to
+    give (site, url, links, page_error): a scraper whose rules depend on the pages before.
+
+    status is visited, failed (fetched, or tried, without use) or skipped, by reason. Only visited
+    pages are expanded, and not at max_depth; failed ones count towards max_pages but for a seed that
+    can't be fetched or is a PDF, which ends its crawl; robots and rejected addresses cost nothing. A
+    queue takes QUEUE_FACTOR times max_pages addresses at most. Blank links, and seeds without an
+    address, are no addresses; a null selection is none; repeated links count where they come first.
     """
-    last = seeds.select("node").distinct().withColumns({"depth": F.lit(0), "found": F.array().cast("array<int>")})
-    seen = last
-    for depth in range(1, max_depth + 1):
-        met = last.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min(F.concat("found", F.array(F.col("pos").cast("int")))).alias("found"))
-        last = met.join(seen.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth"), "found")
-        seen = seen.unionByName(last)
-    return seen
-
-
-def plan_crawl(edges: DataFrame, seed: DataFrame, seed_host: str, max_depth: int = MAX_DEPTH, max_pages: int = MAX_PAGES) -> DataFrame:
-    """(url, depth, status) of every address met: visited, the reason it was skipped, or max_pages_reached.
-
-    edges: (src, dst) and, if known, pos, a link's place on its page. Pages come first in, first out:
-    by depth, then by discovery, then by address. A rejected address is not followed.
+    spark, cap = seeds.sparkSession, QUEUE_FACTOR * max_pages
+    queue, ledger = Rounds(spark, "crawl-queue"), Rounds(spark, "crawl-sites")
+    for name, kind in (("fetch_error", "string"), ("page_error", "string"), ("is_pdf", "boolean"), ("links", "array<string>")):
+        if name not in pages.columns:
+            pages = pages.withColumn(name, F.lit(None).cast(kind))
+    started = seeds.filter(blank(F.col("url")) != "")
+    chosen = F.array_distinct(F.filter(F.coalesce("selected", F.array().cast("array<string>")), lambda u: (blank(u) != "") & (u != F.col("url"))))
+    sites = ledger.put(started.select("site", "host", chosen.alias("selected"), F.lit(1).cast("long").alias("size"), F.lit(0).cast("long").alias("visited")))
+    level = started.select("site", "url", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("place"))
+    for depth in range(max_depth + 1):
+        judged = _judged(level, sites, pages, robots, max_depth, max_pages)
+        if scrape is not None:
+            took = judged.filter("status = 'visited'")
+            # Written before it is scraped, for the scraper may read it more than once.
+            took = Rounds(spark, "crawl-fetched").put(took.drop("status", "reason", "counted", "links", "page_error", "fetch_error", "is_pdf"))
+            seen = scrape(took).select("site", "url", F.col("links").alias("__links"), blank(F.col("page_error")).alias("__error"))
+            judged = judged.join(seen, ["site", "url"], "left").withColumns({"links": F.col("__links"), "reason": F.when(F.coalesce("__error", F.lit("")) != "", F.col("__error")).otherwise(F.col("reason"))})
+            judged = judged.withColumn("status", F.when((F.col("status") == "visited") & (F.col("reason") != ""), "failed").otherwise(F.col("status")))
+        # Links of pages that are expanded stay with them; other rows keep none.
+        kept = F.when((F.col("status") == "visited") & (F.col("depth") < max_depth), F.col("links"))
+        done = queue.put(judged.select("site", "url", "depth", "place", "status", "reason", "counted", kept.alias("links")))
+        if depth == max_depth:
+            break
+        spent = done.groupBy("site").agg(F.sum(F.col("counted").cast("long")).alias("spent"))
+        sites = sites.join(spent, "site", "left").withColumn("visited", F.col("visited") + F.coalesce("spent", F.lit(0))).drop("spent")
+        links = done.filter("links is not null").select("site", "place", F.posexplode("links").alias("nth", "url")).select("site", "url", F.struct("place", "nth").alias("at")).filter(blank(F.col("url")) != "")
+        queued = queue.all().select("site", "url")
+        if depth == 0:
+            # Sites whose seed was fetched go on with what was selected on it.
+            on = done.filter("counted").select("site")
+            first = sites.join(on, "site", "left_semi").select("site", F.posexplode("selected").alias("nth", "url")).select("site", "url", (F.col("nth") + 1).cast("long").alias("place"))
+            queued = queued.unionByName(first.select("site", "url"))
+            sites = sites.withColumn("size", F.lit(1) + F.size("selected").cast("long"))
+        new = _admitted(links, queued, sites, cap)
+        if depth == 0:
+            new = first.unionByName(new)
+        level = Rounds(spark, "crawl-level").put(new.withColumn("depth", F.lit(depth + 1)).select("site", "url", "depth", "place"))
+        grown = level.groupBy("site").agg((F.max("place") + 1).alias("grown"))
+        sites = ledger.put(sites.join(grown, "site", "left").withColumn("size", F.coalesce("grown", "size")))
+    return queue.all().select("site", "url", "depth", "place", "status", "reason")
+
+
+def crawl_results(crawled: DataFrame, pages: DataFrame | None = None, layouts: DataFrame | None = None) -> DataFrame:
+    """(site, result): a JSON object for each site: visited_urls, skipped_urls, failed_urls with reasons, extracted_pages, learned_layouts, all in order of the queue.
+
+    pages: (site, url, page struct), layouts: (site, layout struct), what a scraper has kept. A site's
+    queue is bounded, and so is its object.
     """
-    edges = edges if "pos" in edges.columns else edges.withColumn("pos", F.lit(0))
-    allowed = edges.filter(url_rejection(F.col("dst"), F.lit(seed_host), F.lit(1), max_depth) == "")
-    reached = discovered(allowed.select("src", "dst", "pos"), seed.select(F.col("url").alias("node")), max_depth).withColumnRenamed("node", "url")
-    first = reached.orderBy("depth", "found", "url").limit(max_pages).withColumn("visited", F.lit(True))
-    told = reached.join(first.select("url", "visited"), "url", "left").select("url", "depth", F.when(F.col("visited"), "visited").otherwise("max_pages_reached").alias("status"))
-    met = edges.join(told.filter("status = 'visited'").select(F.col("url").alias("src"), "depth"), "src").groupBy(F.col("dst").alias("url")).agg((F.min("depth") + 1).alias("depth"))
-    skipped = met.withColumn("status", url_rejection(F.col("url"), F.lit(seed_host), F.col("depth"), max_depth)).filter("status != ''").join(told.select("url"), "url", "left_anti")
-    return told.unionByName(skipped)
+    told = lambda status: F.transform(F.array_sort(F.collect_list(F.when(F.col("status") == status, F.struct("place", "url", "reason")))), lambda r: F.struct(r["url"].alias("url"), r["reason"].alias("reason")))
+    # A page without text was visited all the same: its failure has no prefix of fetching.
+    was = (F.col("status") == "visited") | ((F.col("status") == "failed") & ~F.col("reason").rlike("^(fetch_error|processing_error): |^seed_page_is_pdf$"))
+    visited = F.transform(F.array_sort(F.collect_list(F.when(was, F.struct("place", "url")))), lambda r: r["url"])
+    # The seed, which stands at place 0, may be the last visited of an empty crawl; unvisited rest stands last.
+    out = crawled.groupBy("site").agg(visited.alias("visited_urls"), told("skipped").alias("skipped_urls"), told("failed").alias("failed_urls"))
+    none = F.array().cast("array<string>")
+    if pages is not None:
+        at = crawled.select("site", "url", "place").join(pages, ["site", "url"]).groupBy("site").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "page"))), lambda p: p["page"]).alias("extracted_pages"))
+        out = out.join(at, "site", "left")
+    else:
+        out = out.withColumn("extracted_pages", none)
+    if layouts is not None:
+        out = out.join(layouts.groupBy("site").agg(F.array_sort(F.collect_list("layout")).alias("learned_layouts")), "site", "left")
+    else:
+        out = out.withColumn("learned_layouts", none)
+    names = ("visited_urls", "skipped_urls", "failed_urls", "extracted_pages", "learned_layouts")
+    return out.select("site", F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("result"))
+
+
+def choose_links(offered: Column, reply: Column) -> Column:
+    """Of offered addresses (an array), in their order, those that a model's reply names (JSON with selected_urls); all of them if the reply is null, no JSON object, or has no such list: a failing model drops no links."""
+    picked = F.from_json(reply, "selected_urls array<string>")["selected_urls"]
+    committed = F.array_contains(F.json_object_keys(reply), "selected_urls") & picked.isNotNull()
+    return F.when(F.coalesce(committed, F.lit(False)), F.array_intersect(offered, picked)).otherwise(F.array_distinct(offered))
 
 
 def offered_only(selected: DataFrame, offered: DataFrame, committed: bool = True) -> DataFrame:

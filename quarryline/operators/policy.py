@@ -109,6 +109,49 @@ def rate_budget(events: DataFrame, key: str = "user_id", ts: str = "ts", seconds
     return events.withColumn("used", F.count("*").over(w)).withColumn("over_budget", F.col("used") > uses)
 
 
+def origin_of(url: Column) -> Column:
+    """Scheme, host and port of an address, in lower case; its rules are kept by it."""
+    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0))
+
+
+def robots_rules(files: DataFrame, agent: str) -> DataFrame:
+    """(origin, rules array<struct<allow,path>>) of robots files (origin, text): the rules for the agent, in order: of the groups that name it, else of those for all agents.
+
+    An agent's name is compared by its first part, in any case. A file without text has no rules.
+    """
+    name = agent.split("/")[0].strip().lower()
+    kind = "array<struct<allow:boolean,path:string>>"
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), r"\R"), lambda l: F.regexp_replace(l, "#.*$", ""))
+    pairs = F.transform(F.filter(lines, lambda l: F.contains(l, F.lit(":"))), lambda l: F.struct(F.lower(F.trim(F.substring_index(l, ":", 1))).alias("key"), F.trim(F.regexp_replace(l, "^[^:]*:", "")).alias("value")))
+    empty = F.array().cast(kind)
+    start = F.struct(F.lit(False).alias("ruled"), F.lit(False).alias("mine"), F.lit(False).alias("every"), F.lit(False).alias("named"), empty.alias("own"), empty.alias("rest"))
+
+    def step(s: Column, p: Column) -> Column:
+        is_agent, is_rule = p["key"] == "user-agent", p["key"].isin("allow", "disallow")
+        value = F.lower(F.trim(F.substring_index(p["value"], "/", 1)))
+        fits = is_agent & (value != "") & (value != "*") & F.contains(F.lit(name), value)
+        # An agent line after rules opens a new group.
+        mine = F.when(is_agent, (s["mine"] & ~s["ruled"]) | fits).otherwise(s["mine"])
+        every = F.when(is_agent, (s["every"] & ~s["ruled"]) | (p["value"] == "*")).otherwise(s["every"])
+        rule = F.array(F.struct(((p["key"] == "allow") | (p["value"] == "")).alias("allow"), p["value"].alias("path"))).cast(kind)
+        return F.struct(
+            (is_rule | (s["ruled"] & ~is_agent)).alias("ruled"), mine.alias("mine"), every.alias("every"), (s["named"] | mine).alias("named"),
+            F.when(is_rule & s["mine"], F.concat(s["own"], rule)).otherwise(s["own"]).alias("own"), F.when(is_rule & s["every"], F.concat(s["rest"], rule)).otherwise(s["rest"]).alias("rest"),
+        )
+
+    return files.select("origin", F.aggregate(pairs, start, step, lambda s: F.when(s["named"], s["own"]).otherwise(s["rest"])).alias("rules"))
+
+
+def robots_allowed(url: Column, rules: Column) -> Column:
+    """Whether the first rule that an address's path and query fit allows it; no fitting rule does, unknown rules (null) don't. In a rule * is anything, and a closing $ the end."""
+    path = F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "")
+    path = F.regexp_replace(F.when(path.rlike("^/"), path).otherwise(F.concat(F.lit("/"), path)), "#.*$", "")
+    # Quoted but for * and a closing $.
+    pattern = lambda p: F.concat(F.lit(r"^\Q"), F.regexp_replace(F.regexp_replace(p, r"\$$", ""), r"\*+", r"\\E.*\\Q"), F.when(p.rlike(r"\$$"), r"\E$").otherwise(r"\E"))
+    first = F.get(F.filter(rules, lambda r: (r["path"] == "") | F.regexp_like(path, pattern(r["path"]))), 0)
+    return F.when(rules.isNull(), False).otherwise(F.coalesce(first["allow"], F.lit(True)))
+
+
 def robots_gate(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Addresses whose origin's rules are known and disallow no prefix of their path; an unknown origin is refused.
 

@@ -15,31 +15,18 @@ from quarryline.functions import html as H
 from quarryline.functions import text as T
 from quarryline.functions import urls as U
 from quarryline.operators import crawl, findings, layout, policy, review, scoring, sections, setmatch
-
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return keep
+from quarryline.plans.register import QUERIES, SQL, query, t
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    from quarryline.plans import crawling  # noqa: F401 - registers its queries
 
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(QUERIES)
 
 
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def oracle_sql() -> dict[str, str]:
+    queries()
+    return dict(SQL)
 
 
 def joined(c: Column) -> Column:
