@@ -60,21 +60,25 @@ def url_rejection(url: Column, seed_host: Column, depth: Column, max_depth: int
     return F.when(host(url) != seed_host, "different_domain").when(depth > max_depth, "max_depth_exceeded").when(url.rlike(BLOCKED), "unsafe_or_account_url").otherwise("")
 
 
-def pattern_allows(url: Column, include: list[str], exclude: list[str]) -> Column:
-    """No exclude pattern is found, and some include pattern is, if there are any."""
-    denied = F.lit(False)
-    for p in exclude:
-        denied = denied | url.rlike(p)
-    allowed = F.lit(not include)
-    for p in include:
-        allowed = allowed | url.rlike(p)
-    return ~denied & allowed
-
-
-def followable(links: Column, seed_host: Column, depth: int = 1, include: list[str] = (), exclude: list[str] = ()) -> Column:
+def pattern_allows(url: Column, include: list[str] | Column, exclude: list[str] | Column) -> Column:
+    """No exclude pattern is found, and some include pattern is, if there are any. Patterns are given, or columns of arrays (null: none)."""
+
+    def found(patterns: list[str] | Column) -> Column:
+        if isinstance(patterns, Column):
+            return F.coalesce(F.exists(patterns, lambda p: F.regexp_like(url, p)), F.lit(False))
+        hit = F.lit(False)
+        for p in patterns:
+            hit = hit | url.rlike(p)
+        return hit
+
+    free = F.coalesce(F.size(include) <= 0, F.lit(True)) if isinstance(include, Column) else F.lit(not include)
+    return ~found(exclude) & (free | found(include))
+
+
+def followable(links: Column, seed_host: Column, depth: int = 1, include: list[str] | Column = (), exclude: list[str] | Column = ()) -> Column:
     """Of links (url, text), those that may be followed, with canonical addresses: each address once, where it came first."""
     numbered = F.transform(links, lambda l, i: F.struct(canonical_url(l["url"]).alias("url"), i.alias("pos"), l["text"].alias("text")))
-    ok = F.filter(numbered, lambda l: (l["url"] != "") & (url_rejection(l["url"], seed_host, F.lit(depth)) == "") & pattern_allows(l["url"], list(include), list(exclude)))
+    ok = F.filter(numbered, lambda l: (l["url"] != "") & (url_rejection(l["url"], seed_host, F.lit(depth)) == "") & pattern_allows(l["url"], include, exclude))
     # An array of one array names the sorted links inside the lambda, so they are sorted once.
     first = F.flatten(F.transform(F.array(F.array_sort(ok)), lambda s: F.filter(s, lambda l, i: (i == 0) | (F.get(s, i - 1)["url"] != l["url"]))))
     in_order = F.array_sort(F.transform(first, lambda l: F.struct(l["pos"].alias("pos"), l["url"].alias("url"), l["text"].alias("text"))))

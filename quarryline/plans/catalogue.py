@@ -189,12 +189,6 @@ def apply_layout_rules(spark, sf):
     return got.select("page_id", "by_rules.text", F.size("by_rules.links").alias("n_links"))
 
 
-@query()
-def scrape_pages(spark, sf):
-    p = t(spark, sf, "pages")
-    return layout.scrape(p, layout.learn_once(p).select("layout_id", _rules().alias("rules")))
-
-
 @query("""SELECT doc_id, CASE WHEN length(regexp_replace(text,'^\\s+|\\s+$','','g'))<80 THEN 'content_chars|' ELSE '' END || CASE WHEN contains(lower(text),'cookie') OR contains(lower(text),'all rights reserved') OR contains(lower(text),'skip to content') OR contains(lower(text),'privacy policy') THEN 'boilerplate' ELSE '' END AS failures FROM documents""")
 def boilerplate_check(spark, sf):
     f = layout.validation_failures(F.col("text"))

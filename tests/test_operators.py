@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from quarryline.operators import crawl, findings, policy, review, scoring, sections, setmatch
+from quarryline.operators import findings, policy, review, scoring, sections, setmatch
 from quarryline.sources import files, workbook
 
 ITEM = "pos int, country string, pillar_id int, indicator_id string, act_name string, urls array<string>"
@@ -133,26 +133,6 @@ def test_rate_window_is_half_open(spark):
     assert [r.used for r in policy.rate_budget(e).orderBy("ts").collect()] == [1, 1, 2]
 
 
-def test_crawl(spark):
-    h = "http://a.org/"
-    edges = spark.createDataFrame([(h, h + "1"), (h, h + "login"), (h, "http://b.org/"), (h + "1", h + "2"), (h + "2", h + "3")], "src string, dst string")
-    got = {r.url: r.status for r in crawl.plan_crawl(edges, spark.createDataFrame([(h,)], "url string"), "a.org").collect()}
-    assert got == {h: "visited", h + "1": "visited", h + "2": "visited", h + "login": "unsafe_or_account_url", "http://b.org/": "different_domain", h + "3": "max_depth_exceeded"}
-
-
-def test_crawl_is_first_in_first_out(spark):
-    h = "http://a.org/"
-    rows = [(h, h + "z", 0), (h, h + "b", 1), (h + "b", h + "a", 0), (h + "z", h + "y", 1), (h + "z", h + "c", 0), (h + "b", h + "c", 3), (h + "c", h, 0)]
-    edges, seed = spark.createDataFrame(rows, "src string, dst string, pos int"), spark.createDataFrame([(h,)], "url string")
-    for n, last in enumerate(["z", "b", "c", "y", "a"]):
-        got = {r.url for r in crawl.plan_crawl(edges, seed, "a.org", max_pages=n + 2).filter("status = 'visited'").collect()}
-        assert len(got) == n + 2 and h + last in got
-    offer = spark.createDataFrame([(h + "b",), (h + "c",)], "url string")
-    picked = spark.createDataFrame([(h + "c",), (h + "new",)], "url string")
-    assert [r.url for r in crawl.offered_only(picked, offer).collect()] == [h + "c"]
-    assert (crawl.offered_only(picked.limit(0), offer).count(), crawl.offered_only(picked, offer, False).count()) == (0, 2)
-
-
 def test_review(spark):
     f = spark.createDataFrame([("1", "pending"), ("2", "pending")], "id string, review_status string")
     u = spark.createDataFrame([(0, "1", "verified"), (1, "1", "rejected"), (2, "9", "verified")], "pos int, id string, review_status string")
