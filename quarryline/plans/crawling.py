@@ -1,4 +1,4 @@
-"""Queries of crawling and of per-layout scraping, with their SQL.
+"""Queries of crawling, per-layout scraping and choices among resources, with their SQL.
 
 The shops' link graph comes from `lineitem`: a supplier's page links to its parts' pages in order of
 sale, a part's page to its suppliers'; each supplier is a site of its own, crawled from its page.
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quarryline.operators import crawl, layout, policy
 from quarryline.plans.catalogue import _LAYOUT, _PLAIN_SQL
 from quarryline.plans.register import query, t
+from quarryline.streaming import rotation
 
 #: The shop's robots file, and its rules in SQL for a path `/p/<number>`.
 ROBOTS = "User-agent: Other\nDisallow: /\n\nUser-agent: *  # everyone\nAllow: /p/70\nDisallow: /p/7\nDisallow: /p/*5$\n"
@@ -103,3 +104,22 @@ def scrape_pages(spark, sf):
     """What each page gave, by rules that were learnt and revised."""
     rows, _ = layout.scrape(t(spark, sf, "pages"), rules_by_version)
     return rows.select("page_id", "url", "layout_id", "method", "content", F.size("links").alias("n_links"), "rule_version", "reason")
+
+
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT event_id, user_id % 10 AS key, epoch_us(ts) AS t, CASE WHEN event_id % 5 = 0 THEN event_id % 3 + 1 END AS ban, row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) AS i FROM events),
+  r AS (SELECT DISTINCT key, 0::BIGINT AS i, NULL::BIGINT AS event_id, [-9e18, -9e18, -9e18]::DOUBLE[] AS last, [0, 0, 0]::BIGINT[] AS rests, []::STRUCT(j INT, t BIGINT)[] AS recent, NULL::INT AS chosen FROM e
+    UNION ALL SELECT key, i, event_id, CASE WHEN c IS NULL THEN last ELSE list_transform(last, lambda x, j: CASE WHEN j = c THEN t ELSE x END) END,
+      CASE WHEN ban IS NULL THEN rests ELSE list_transform(rests, lambda x, j: CASE WHEN j = ban THEN t + 7200000000 ELSE x END) END,
+      CASE WHEN c IS NULL THEN recent ELSE list_append(recent, {'j': c, 't': t}) END, c
+    FROM (SELECT *, CASE WHEN ban IS NOT NULL OR len(awake) = 0 THEN NULL WHEN len(free) > 0 THEN list_sort(list_transform(free, lambda j: {'x': last[j], 'j': j}))[1].j
+        ELSE list_sort(list_transform(awake, lambda j: {'x': list_min(list_transform(list_filter(recent, lambda u: u.j = j), lambda u: u.t)), 'j': j}))[1].j END::INT AS c
+      FROM (SELECT *, list_filter(awake, lambda j: len(list_filter(recent, lambda u: u.j = j)) < 2) AS free
+        FROM (SELECT r.key, e.i, e.event_id, r.last, r.rests, e.ban, e.t, list_filter(r.recent, lambda u: u.t > e.t - 28800000000) AS recent, list_filter([1, 2, 3], lambda j: e.t >= r.rests[j]) AS awake FROM r JOIN e ON e.key = r.key AND e.i = r.i + 1))))
+  SELECT event_id, ['a', 'b', 'c'][chosen] AS chosen FROM r WHERE i > 0""")
+def lru_choice(spark, sf):
+    """Which of three resources serves each event, least recently used first, with budgets of two uses in eight hours and rests of two hours after every fifth event's ban."""
+    e = t(spark, sf, "events")
+    names = ["a", "b", "c"]
+    banned = F.when(F.col("event_id") % 5 == 0, F.get(F.array(*map(F.lit, names)), (F.col("event_id") % 3).cast("int")))
+    rows = e.select((F.col("user_id") % 10).alias("key"), F.col("ts").alias("at"), F.col("event_id").alias("pos"), banned.alias("resource"))
+    return rotation.choose(rows, names, uses=2, seconds=8 * 3600, cooldown=2 * 3600).select(F.col("pos").alias("event_id"), "chosen")
