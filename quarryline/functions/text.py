@@ -121,8 +121,9 @@ def keyword_pattern(keyword: Column) -> Column:
 
 def verbatim_clause(text: Column, start: Column, keyword: Column) -> Column:
     """The clause around the keyword at start (from 1): up to the nearest full stop, semicolon or line end on each side, at most SNIPPET characters around the keyword."""
-    before = F.element_at(F.split(F.substring(text, F.lit(1), start - 1), r"[.;\n]"), -1)
-    after = F.get(F.split(F.substring(text, start + F.length(keyword), F.length(text)), r"[.;\n]"), 0)
+    before, after = F.substring(text, F.lit(1), start - 1), F.substring(text, start + F.length(keyword), F.length(text))
+    for end in (".", ";", "\n"):
+        before, after = F.substring_index(before, end, -1), F.substring_index(after, end, 1)
     middle = F.substring(text, start, F.length(keyword))
     clause = strip(F.concat(before, middle, after))
     window = F.greatest(F.lit(0), F.length(before) - SNIPPET // 2)
@@ -133,10 +134,48 @@ def rationale(keyword: Column, code: Column) -> Column:
     return F.substring(F.concat(F.lit("Matched keyword '"), keyword, F.lit("' in document text; mapped to indicator "), code, F.lit(" by the deterministic mock keyword table.")), 1, SNIPPET)
 
 
+#: Pairs whose lengths' product is at most this are compared inside the JVM; longer ones in Arrow batches, by bits.
+PLAIN_CELLS = 1_000_000
+
+
+def edit_distance_bits(a: str, b: str) -> int:
+    """The Levenshtein distance of two texts, a column of the table at a time as two bit vectors (of rises and falls from row to row), so that memory is linear and a machine word holds 64 rows."""
+    import numpy as np
+
+    start = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    a, b = a[start:], b[start:]
+    end = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b), strict=False)) if x != y), min(len(a), len(b)))
+    a, b = sorted((a[: len(a) - end], b[: len(b) - end]), key=len)
+    if not a:
+        return len(b)
+    letters = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = {chr(c): int.from_bytes(np.packbits(letters == c, bitorder="little").tobytes(), "little") for c in np.unique(letters)}
+    every, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    rise, fall, distance = every, 0, len(a)
+    for c in b:
+        same = at.get(c, 0) | fall
+        level = (((same & rise) + rise) ^ rise) | same
+        up, down = fall | (every & ~(level | rise)), level & rise
+        distance += bool(up & last) - bool(down & last)
+        up = (up << 1) | 1
+        rise, fall = ((down << 1) | ~(level | up)) & every, up & level
+    return distance
+
+
+def edit_distance(a: Column, b: Column) -> Column:
+    """The Levenshtein distance of two texts of any length and alphabet, by code points; null if either is."""
+    import pandas as pd
+
+    short = F.length(a).cast("long") * F.length(b) <= PLAIN_CELLS
+    long = F.pandas_udf(lambda x, y: pd.Series([None if p is None or q is None else edit_distance_bits(p, q) for p, q in zip(x.astype(object).where(x.notna(), None), y.astype(object).where(y.notna(), None), strict=True)], dtype="Int64"), "long")
+    # Short pairs are null to the Arrow function, which costs them nothing.
+    return F.when(short, F.levenshtein(a, b).cast("long")).otherwise(long(F.when(~short, a), F.when(~short, b)))
+
+
 def character_error_rate(reference: Column, hypothesis: Column, normalize: bool = True) -> Column:
     """Edit distance over the reference's length; 0 if both are empty, 1 if only the reference is."""
     r, h = (collapse(blank(c)) if normalize else blank(c) for c in (reference, hypothesis))
-    return F.when((r == "") & (h == ""), 0.0).when(r == "", 1.0).otherwise(F.levenshtein(r, h) / F.length(r))
+    return F.when((r == "") & (h == ""), 0.0).when(r == "", 1.0).otherwise(edit_distance(r, h) / F.length(r))
 
 
 def money2(c: Column) -> Column:

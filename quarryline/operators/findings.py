@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,26 +15,27 @@ KEYWORDS = (
 CONFIDENCE = 0.5
 #: The columns of the submission, in order.
 CSV_COLUMNS = ("Economy", "Law Name", "Law Number/Ref", "Last Amended", "Indicator ID", "Article / Section", "Discovery Tag", "Location Ref.", "Verbatim Snippet", "Mapping Rationale", "Source URL", "Confidence", "Notes")
-_SECTION = r"(?i)\b(?:Section|Article|Art\.?|s\.)\s*\d+[A-Za-z]?\b"
+#: How a section of a law is referred to.
+_SECTION = rf"(?iU)(?<!{T._W})(?:Section|Article|Art\.?|s\.)\s*\d+[A-Za-z]?(?!{T._W})"
 
 
 def nearest_section(text: Column, start: Column) -> Column:
-    """The section reference nearest to a place (from 1) in the whole text, the first of equally near ones.
+    """The section reference nearest to a place (from 1) in the whole text, the first of equally near ones; '' without any.
 
-    Built-in functions find no places of all hits, so the text is scanned in Arrow batches.
+    The references and what lies between them are walked together once, with a running place, so that
+    the whole stays inside the JVM.
     """
-    import re
+    refs, between = F.regexp_extract_all(text, F.lit(_SECTION), 0), F.split(text, _SECTION, -1)
+    steps = F.zip_with(refs, F.slice(between, F.lit(1), F.size(refs)), lambda r, b: F.struct(r.alias("ref"), F.length(b).alias("gap")))
+    begin = F.struct(F.lit(1).alias("at"), F.lit(None).cast("int").alias("far"), F.lit("").alias("best"))
 
-    pattern, space = re.compile(_SECTION), re.compile(r"\s+")
+    def step(s: Column, x: Column) -> Column:
+        here = s["at"] + x["gap"]
+        far = F.abs(here - start)
+        nearer = s["far"].isNull() | (far < s["far"])
+        return F.struct((here + F.length(x["ref"])).alias("at"), F.when(nearer, far).otherwise(s["far"]).alias("far"), F.when(nearer, x["ref"]).otherwise(s["best"]).alias("best"))
 
-    def scan(texts: pd.Series, starts: pd.Series) -> pd.Series:
-        out = []
-        for t, s in zip(texts, starts, strict=True):
-            best = min(pattern.finditer(t or ""), key=lambda m: abs(m.start() - (s - 1)), default=None)
-            out.append(space.sub(" ", best[0]).strip() if best else "")
-        return pd.Series(out)
-
-    return F.pandas_udf(scan, "string")(text, start)
+    return F.aggregate(steps, begin, step, lambda s: T.collapse(s["best"]))
 
 
 def keyword_hits(docs: DataFrame, keywords: tuple = KEYWORDS, pillar: int | None = None) -> DataFrame:
@@ -55,13 +55,15 @@ def keyword_hits(docs: DataFrame, keywords: tuple = KEYWORDS, pillar: int | None
 
 
 def extract(docs: DataFrame, keywords: tuple = KEYWORDS, pillar: int | None = None, sections: bool = True) -> DataFrame:
-    """Findings of documents (pos, url, economy, text, is_pdf), in keyword order for each."""
-    h = keyword_hits(docs, keywords, pillar)
-    snippet = T.verbatim_clause(T.blank(F.col("text")), F.col("start"), F.col("keyword"))
+    """Findings of documents (pos, url, economy, text, is_pdf), in keyword order for each. A document's title is made once, whatever it holds."""
+    h = keyword_hits(docs.withColumn("__title", T.derive_title(F.col("text"), F.col("url"))), keywords, pillar)
+    # A window's clause is cut once, though it is given twice.
+    h = h.withColumn("__clause", T.verbatim_clause(T.blank(F.col("text")), F.col("start"), F.col("keyword")))
+    section = nearest_section(T.blank(F.col("text")), F.col("start")) if sections else F.lit("")
     return h.select(
-        "pos", "kw_pos", T.derive_title(F.col("text"), F.col("url")).alias("title"), F.lit(None).cast("date").alias("last_update"), "url", F.lit("").alias("scope"), snippet.alias("provisions"), F.lit("").alias("impact"),
-        "pillar", "indicator", F.lit(CONFIDENCE).alias("confidence"), "economy", F.lit(None).cast("string").alias("law_number"), (nearest_section(F.col("text"), F.col("start")) if sections else F.lit("")).alias("article_section"),
-        F.lit("KNOWN").alias("discovery_tag"), snippet.alias("verbatim_snippet"), T.rationale(F.col("keyword"), F.col("indicator")).alias("mapping_rationale"),
+        "pos", "kw_pos", F.col("__title").alias("title"), F.lit(None).cast("date").alias("last_update"), "url", F.lit("").alias("scope"), F.col("__clause").alias("provisions"), F.lit("").alias("impact"),
+        "pillar", "indicator", F.lit(CONFIDENCE).alias("confidence"), "economy", F.lit(None).cast("string").alias("law_number"), section.alias("article_section"),
+        F.lit("KNOWN").alias("discovery_tag"), F.col("__clause").alias("verbatim_snippet"), T.rationale(F.col("keyword"), F.col("indicator")).alias("mapping_rationale"),
         F.nullif(F.col("url"), F.lit("")).alias("location_ref"), F.when(F.col("is_pdf"), "Extracted from PDF text.").otherwise("").alias("notes"),
     )
 

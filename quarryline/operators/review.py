@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.functions.text import character_error_rate
+from quarryline.functions.text import PLAIN_CELLS, character_error_rate
 
 STATUSES = ("pending", "verified", "rejected")
 #: The mean error rate below which a reader passes; an agent's overhead in tokens a turn; page counts of a cost curve.
@@ -42,9 +42,18 @@ def with_review(findings: DataFrame, updates: DataFrame) -> DataFrame:
     return findings.join(last, "id", "left").withColumn("review_status", F.coalesce("new", "review_status")).drop("new")
 
 
+def error_rates(samples: DataFrame, normalize: bool = True) -> DataFrame:
+    """samples (reference, hypothesis, ..) with cer, of whole texts. Short pairs stay where they are; long ones, each worth a task's while, are dealt evenly to all tasks first."""
+    length = lambda c: F.length(F.coalesce(F.col(c), F.lit(""))).cast("long")
+    short = length("reference") * length("hypothesis") <= PLAIN_CELLS
+    cer = character_error_rate(F.col("reference"), F.col("hypothesis"), normalize).alias("cer")
+    width = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return samples.filter(short).select("*", cer).unionByName(samples.filter(~short).repartition(width).select("*", cer))
+
+
 def cer_report(samples: DataFrame, normalize: bool = True) -> DataFrame:
     """mean, n, passed of samples (reference, hypothesis); nothing is a mean of 0 and passes."""
-    got = samples.select(character_error_rate(F.col("reference"), F.col("hypothesis"), normalize).alias("cer"))
+    got = error_rates(samples.select("reference", "hypothesis"), normalize)
     mean = F.coalesce(F.avg("cer"), F.lit(0.0))
     return got.agg(mean.alias("mean_cer"), F.count("*").alias("n"), (mean < CER_LIMIT).alias("passed"))
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.sources.rounds import Rounds
+
 
 def canonical(tags: str | Column = "tags") -> Column:
     return F.array_sort(F.array_distinct(F.coalesce(F.col(tags) if isinstance(tags, str) else tags, F.array().cast("array<string>"))))
@@ -66,3 +68,46 @@ def prefix_count(stored: DataFrame) -> DataFrame:
     paths = one.groupBy("node_id").agg(F.array_sort(F.collect_list("rank")).alias("path"))
     cut = paths.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", 1, n))).alias("prefix"))
     return cut.agg((F.count_distinct("prefix") + 1).cast("long").alias("n_nodes"))
+
+
+def _paths(stored: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(path) of the distinct stored sets: their tags' ranks, rising."""
+    one = stored.select("node_id", F.explode(canonical()).alias("tag")).join(ranks, "tag")
+    return one.groupBy("node_id").agg(F.array_sort(F.collect_list("rank")).alias("path")).select("path").distinct()
+
+
+def trie(stored: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(node, parent, rank) of the prefix tree of the sets by rarity, without its root, which is ''. A node is named by its path."""
+    name = lambda n: F.array_join(F.transform(F.slice("path", 1, n), lambda r: r.cast("string")), ".")
+    steps = _paths(stored, ranks).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.struct(name(n).alias("node"), name(n - 1).alias("parent"), F.get("path", n - 1).alias("rank")))).alias("s"))
+    return steps.select("s.*").distinct()
+
+
+def visits(stored: DataFrame, queries: DataFrame, predicate: str = "subset", first: list[str] | None = None) -> DataFrame:
+    """(doc_id, visited): how many nodes of the prefix tree a search for each query looks at, the root included.
+
+    A search goes down level by level, all queries at once. For subsets it follows children whose tag
+    the query has. For supersets it follows a child that is the next tag that the query needs, or of
+    lower rank, never one beyond it, and ends where nothing is needed any more. A tag that no stored
+    set has comes after all others. Each level is written; there are as many as tags in a set.
+    """
+    if predicate not in ("subset", "superset"):
+        raise ValueError(f"unknown predicate: {predicate}")
+    spark = stored.sparkSession
+    ranks = Rounds(spark, "trie-ranks").put(rarity_rank(stored, first).select("tag", "rank"))
+    nodes = Rounds(spark, "trie-nodes").put(trie(stored, ranks))
+    asked = queries.select("doc_id", canonical().alias("tags")).groupBy("doc_id").agg(F.max("tags").alias("tags"))
+    one = asked.select("doc_id", F.explode("tags").alias("tag")).join(ranks, "tag", "left").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.coalesce("rank", F.lit((1 << 62) - 1)))).alias("needed"))
+    asked = Rounds(spark, "trie-asked").put(asked.select("doc_id").join(one, "doc_id", "left").select("doc_id", F.coalesce("needed", F.array().cast("array<bigint>")).alias("needed")))
+    levels = Rounds(spark, "trie-level")
+    level = levels.put(asked.select("doc_id", F.lit("").alias("at"), F.lit(0).alias("met")))
+    while not level.isEmpty():
+        here = level.join(asked, "doc_id")
+        if predicate == "subset":
+            step = here.select("doc_id", "at", F.explode("needed").alias("rank")).join(nodes.withColumnRenamed("parent", "at"), ["at", "rank"]).select("doc_id", F.col("node").alias("at"), F.lit(0).alias("met"))
+        else:
+            next_rank = F.get("needed", F.col("met"))
+            open_ = here.filter(F.col("met") < F.size("needed")).select("doc_id", "at", "met", next_rank.alias("next"))
+            step = open_.join(nodes.withColumnRenamed("parent", "at"), "at").filter(F.col("rank") <= F.col("next")).select("doc_id", F.col("node").alias("at"), F.when(F.col("rank") == F.col("next"), F.col("met") + 1).otherwise(F.col("met")).alias("met"))
+        level = levels.put(step)
+    return levels.all().groupBy("doc_id").agg(F.count("*").alias("visited"))
