@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import html as H
 from quarryline.functions import urls as U
-from quarryline.functions.text import blank
+from quarryline.functions.text import blank, salvage_json
 from quarryline.operators.layout import headless_required
 
 
@@ -95,39 +95,37 @@ def complete(prompts: DataFrame, model: Model = stub_model, column: str = "promp
     return r.select(*prompts.columns, F.col("__r.value").alias("reply"), F.col("__r.error").alias("error"))
 
 
-_TYPES = {"object": dict, "array": list, "string": str, "integer": int, "number": (int, float), "boolean": bool, "null": type(None)}
+#: What variants call the types of schemas.
+_VARIANT_TYPES = {"object": "^OBJECT", "array": "^ARRAY", "string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL)", "boolean": "^BOOLEAN$", "null": "^VOID$"}
 
 
-def schema_errors(value: Any, schema: dict, at: str = "$") -> list[str]:
-    """Where a value departs from a schema's types, required keys and items; truth values aren't numbers, unknown types pass."""
+def variant_errors(value: Column, schema: dict, at: Column | str = "$") -> Column:
+    """array<string>: where a variant departs from a schema's types, required keys and items, each with its place, in the order of the schema; unknown types pass. The schema becomes an expression; nothing leaves the JVM."""
+    at = F.lit(at) if isinstance(at, str) else at
+    none = F.array().cast("array<string>")
+    known = F.schema_of_variant(value)
+    one = lambda name: F.try_variant_get(value, f'$["{name}"]' if "'" in name else f"$['{name}']", "variant")
     kind = schema.get("type")
-    if kind in _TYPES and (not isinstance(value, _TYPES[kind]) or isinstance(value, bool) and kind in ("integer", "number")):
-        return [f"{at}: not {kind}"]
-    out = []
-    if isinstance(value, dict):
-        out += [f"{at}.{k}: missing" for k in schema.get("required", ()) if k not in value]
-        for k, sub in schema.get("properties", {}).items():
-            if k in value:
-                out += schema_errors(value[k], sub, f"{at}.{k}")
-    if isinstance(value, list) and isinstance(schema.get("items"), dict):
-        for i, v in enumerate(value):
-            out += schema_errors(v, schema["items"], f"{at}[{i}]")
-    return out
+    fits = known.rlike(_VARIANT_TYPES[kind]) if kind in _VARIANT_TYPES else F.lit(True)
+    inner = []
+    for k in schema.get("required", ()):
+        inner.append(F.when(known.startswith("OBJECT") & one(k).isNull(), F.array(F.concat(at, F.lit(f".{k}: missing")))).otherwise(none))
+    for k, sub in schema.get("properties", {}).items():
+        inner.append(F.when(known.startswith("OBJECT") & one(k).isNotNull(), variant_errors(one(k), sub, F.concat(at, F.lit(f".{k}")))).otherwise(none))
+    if isinstance(schema.get("items"), dict):
+        items = F.when(known.startswith("ARRAY"), F.try_variant_get(value, "$", "array<variant>"))
+        found = F.flatten(F.transform(items, lambda v, i: variant_errors(v, schema["items"], F.concat(at, F.lit("["), i.cast("string"), F.lit("]")))))
+        inner.append(F.coalesce(found, none))
+    deeper = F.concat(*inner) if inner else none
+    return F.when(fits, deeper).otherwise(F.array(F.concat(at, F.lit(f": not {kind}")))) if kind in _VARIANT_TYPES else deeper
 
 
 def checked_json(text: Column, schema: dict) -> Column:
-    """struct<value, error>: JSON text that fits the schema, else what is wrong with it."""
-
-    def check(s: str) -> str:
-        try:
-            value = json.loads(s)
-        except ValueError:
-            value = json.loads(s[s.index("{") : s.rindex("}") + 1])
-        if wrong := schema_errors(value, schema):
-            raise ValueError("; ".join(wrong))
-        return json.dumps(value, ensure_ascii=False)
-
-    return guarded(check, text)
+    """struct<value,error>: JSON text (or what stands from its first to its last brace) that fits the schema, else what is wrong with it; an error of its own if there is no JSON."""
+    found = salvage_json(text)
+    wrong = variant_errors(F.try_parse_json(found), schema)
+    error = F.when(found.isNull(), "no JSON").when(F.size(wrong) > 0, F.array_join(wrong, "; "))
+    return F.struct(F.when(error.isNull(), found).alias("value"), error.alias("error"))
 
 
 def upper_types(schema: Any) -> Any:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quarryline.functions import html as H
 from quarryline.functions import text as T
 from quarryline.functions import urls as U
-from quarryline.operators import crawl, dictionary, findings, layout, policy, review, scoring, sections, setmatch
+from quarryline.operators import capture, crawl, dictionary, findings, layout, policy, review, scoring, sections, setmatch
 from quarryline.plans.register import QUERIES, SQL, query, t
 from quarryline.sources.rounds import Rounds
 
@@ -275,7 +275,10 @@ def emit_csv_rows(spark, sf):
     return findings.csv_rows(_tagged(spark, sf))
 
 
-@query()
+@query(f"""WITH {_NUMBERED_SQL}, {_HITS_SQL}, {_SECTION_SQL}, {_CLAUSE_SQL}, {_NEW_SQL} SELECT min(t.doc_id) AS law_pos, to_json({{'economy': source, 'law_name': t.title, 'source_pdf_path': NULL, 'ocr_quality_cer': NULL, 'processing_time': NULL, 'model_version': '',
+  'provisions': list({{'indicator_id': indicator, 'article': coalesce(n.section, ''), 'verbatim': snippet, 'mapping_rationale': 'Matched keyword ''' || keyword || ''' in document text; mapped to indicator ' || indicator || ' by the deterministic mock keyword table.',
+    'discovery_tag': CASE WHEN k.title IS NULL THEN 'NEW' ELSE 'KNOWN' END, 'source_url': '', 'confidence': 0.5::DOUBLE, 'raw_context': snippet}} ORDER BY t.doc_id, t.kw_pos)}})::VARCHAR AS law
+  FROM titled t LEFT JOIN known k ON k.title=t.title AND k.pillar=t.pillar LEFT JOIN near n ON n.doc_id=t.doc_id AND n.kw_pos=t.kw_pos GROUP BY source, t.title""")
 def emit_law_json(spark, sf):
     return findings.law_objects(_tagged(spark, sf))
 
@@ -578,11 +581,17 @@ def contamination(spark, sf):
     return review.contamination(t(spark, sf, "documents"), ("cookie", "licensed", "the "), "doc_id")
 
 
-@query("SELECT event_id, json_valid(props) AS ok, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_value FROM events WHERE json_valid(props)")
+#: What an event's properties are checked against: some are told apart by their type.
+PROPS = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer"}}}
+
+
+@query("""SELECT event_id, (json_valid(props) AND event_id%4<>1) AS ok, CASE WHEN event_id%4=1 THEN '$.k: not integer' END AS error,
+  CASE WHEN event_id%4=1 THEN NULL ELSE json_extract_string(props, '$.k') END AS k FROM events""")
 def json_props_check(spark, sf):
-    e = t(spark, sf, "events").select("event_id", T.salvage_json(F.concat(F.lit("Answer: "), F.col("props"), F.lit(" done."))).alias("j"))
-    name = F.get(F.json_object_keys("j"), 0)
-    return e.filter("j is not null").select("event_id", F.lit(True).alias("ok"), F.element_at(F.from_json("j", "map<string,string>"), name).alias("first_value"))
+    """Properties amid other words, checked against a schema; every fourth has its number as text."""
+    amid = F.concat(F.lit("Answer: "), F.when(F.col("event_id") % 4 == 1, F.regexp_replace("props", r":\s*(\d+)", r': "$1"')).otherwise(F.col("props")), F.lit(" done."))
+    got = t(spark, sf, "events").select("event_id", capture.checked_json(amid, PROPS).alias("c"))
+    return got.select("event_id", F.col("c.error").isNull().alias("ok"), "c.error", F.try_variant_get(F.try_parse_json("c.value"), "$.k", "string").alias("k"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT 's'||l_suppkey AS src, 'p'||l_partkey AS dst FROM lineitem UNION SELECT DISTINCT 'p'||l_partkey, 's'||l_suppkey FROM lineitem),
