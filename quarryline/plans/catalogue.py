@@ -443,14 +443,15 @@ _GREEDY_SQL = f"""WITH RECURSIVE {_PART_SQL},
     UNION ALL SELECT pillar_id, i, CASE WHEN g IS NULL THEN taken ELSE list_append(taken, g) END FROM (SELECT r.pillar_id, e.i, r.taken, list_filter(e.golds, lambda x: NOT list_contains(r.taken, x))[1] AS g FROM r JOIN e ON e.pillar_id = r.pillar_id AND e.i = r.i + 1)),
   n AS (SELECT pillar AS pillar_id, count(*) FILTER (pos%2=0) AS p, count(*) FILTER (pos%2=1) AS g FROM pa GROUP BY 1),
   h AS (SELECT pillar_id, max(len(taken)) AS tp FROM r GROUP BY 1), m AS (SELECT n.pillar_id, p, g, tp FROM n JOIN h USING (pillar_id)),
-  w AS (FROM m UNION ALL SELECT NULL, sum(p), sum(g), sum(tp) FROM m),
+  w AS (FROM m UNION ALL SELECT 0, sum(p), sum(g), sum(tp) FROM m),
   x AS (SELECT pillar_id, tp::BIGINT AS tp, (p-tp)::BIGINT AS fp, (g-tp)::BIGINT AS fn, CASE WHEN p=0 THEN 0.0 ELSE tp::DOUBLE/p END AS "precision", CASE WHEN g=0 THEN 0.0 ELSE tp::DOUBLE/g END AS recall FROM w)
   SELECT *, CASE WHEN "precision"+recall=0 THEN 0.0 ELSE 2*"precision"*recall/("precision"+recall) END AS f1 FROM x"""
 
 
 @query(_GREEDY_SQL)
 def greedy_f1(spark, sf):
-    return scoring.score(_parts(spark, sf, 0), _parts(spark, sf, 1))
+    """Scores of each pillar, and of all as pillar 0."""
+    return scoring.score(_parts(spark, sf, 0), _parts(spark, sf, 1)).na.fill(0, ["pillar_id"])
 
 
 @query(f"WITH {_PART_SQL}, novel AS (SELECT act FROM pa WHERE pos%2=0 AND pos NOT IN (SELECT pred FROM pairs)) SELECT pos, CASE WHEN act IN (SELECT act FROM novel) THEN 'NEW' ELSE 'KNOWN' END AS discovery_tag FROM pa WHERE pos%2=0")

@@ -1,4 +1,4 @@
-"""Queries of crawling, per-layout scraping and choices among resources, with their SQL.
+"""Queries of crawling, per-layout scraping, choices among resources and concept graphs, with their SQL.
 
 The shops' link graph comes from `lineitem`: a supplier's page links to its parts' pages in order of
 sale, a part's page to its suppliers'; each supplier is a site of its own, crawled from its page.
@@ -11,7 +11,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.operators import crawl, layout, policy
+from quarryline.operators import concepts, crawl, layout, policy
 from quarryline.plans.catalogue import _LAYOUT, _PLAIN_SQL
 from quarryline.plans.register import query, t
 from quarryline.streaming import rotation
@@ -123,3 +123,36 @@ def lru_choice(spark, sf):
     banned = F.when(F.col("event_id") % 5 == 0, F.get(F.array(*map(F.lit, names)), (F.col("event_id") % 3).cast("int")))
     rows = e.select((F.col("user_id") % 10).alias("key"), F.col("ts").alias("at"), F.col("event_id").alias("pos"), banned.alias("resource"))
     return rotation.choose(rows, names, uses=2, seconds=8 * 3600, cooldown=2 * 3600).select(F.col("pos").alias("event_id"), "chosen")
+
+
+#: The words of a conversation are its tags.
+_TAGS_SQL = "tags AS (SELECT DISTINCT conv_id AS node, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS tag FROM conversations)"
+_NEAR_SQL = f"""{_TAGS_SQL}, n AS (SELECT count(DISTINCT conv_id) AS n FROM conversations), w AS (SELECT tag, ln(1 + n / count(*)) AS w FROM tags, n GROUP BY tag, n),
+  s AS (SELECT node, sum(w) AS total FROM tags JOIN w USING (tag) GROUP BY 1),
+  c AS (SELECT x.node AS a, y.node AS b, sum(w) AS common FROM tags x JOIN tags y ON x.tag = y.tag AND x.node < y.node JOIN w ON w.tag = x.tag GROUP BY ALL),
+  e AS (SELECT a, b, common / (p.total + q.total - common) AS weight FROM c JOIN s p ON p.node = a JOIN s q ON q.node = b WHERE common / (p.total + q.total - common) >= 0.05 - 1e-9)"""
+
+
+def _tagged_conversations(spark, sf) -> DataFrame:
+    return t(spark, sf, "conversations").groupBy(F.col("conv_id").alias("node")).agg(F.array_distinct(F.flatten(F.collect_list(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))))).alias("tags"))
+
+
+@query(f"WITH {_NEAR_SQL} SELECT a, b, round(weight, 6) AS weight FROM e")
+def concept_pairs(spark, sf):
+    """Extension: conversations by weighted overlap of their words."""
+    return concepts.near_pairs(_tagged_conversations(spark, sf), 0.05).withColumn("weight", F.round("weight", 6))
+
+
+@query(f"""WITH {_NEAR_SQL}, d AS (SELECT a AS x, b AS y, weight FROM e UNION ALL SELECT b, a, weight FROM e), k AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY round(weight, 9) DESC, y) AS nth FROM d)
+  SELECT least(x, y) AS a, greatest(x, y) AS b FROM k WHERE nth <= 5 GROUP BY 1, 2 HAVING count(*) = 2""")
+def concept_graph(spark, sf):
+    """Extension: of those pairs, the mutually nearest."""
+    pairs = concepts.near_pairs(_tagged_conversations(spark, sf), 0.05).withColumn("weight", F.round("weight", 9))
+    return concepts.mutual(pairs).select("a", "b")
+
+
+@query()
+def concept_rank(spark, sf):
+    """Extension: conversations by their rank in that graph."""
+    nodes = _tagged_conversations(spark, sf)
+    return concepts.pagerank(nodes, concepts.mutual(concepts.near_pairs(nodes, 0.05)))
