@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +41,14 @@ def decide(authorized: Column, statuses: Column, has_error: Column, attempt: Col
     return F.coalesce(*rows)
 
 
-_AUDIT = "source_url string, step int, url string, attempt int, kind string, reason string, final boolean, fallback_used string"
+#: What a judged fetch leads to: whether it ends the retrieval with content, without content, and on the last try; whether it goes on elsewhere.
+_LEADS = {"allow": (True, False, False, False), "handoff": (True, True, True, False), "deny": (True, True, True, False), "retry_later": (False, False, True, False), "use_approved_fallback": (False, False, False, True)}
+_ROW = "struct<url:string,attempt:int,kind:string,reason:string,final:boolean,fallback_used:string>"
+
+
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def retrieve(policies: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -50,56 +56,63 @@ def retrieve(policies: DataFrame, outcomes: DataFrame) -> DataFrame:
 
     policies: (requested_url, source_url, authorized, rate_limit_budget, max_retries,
     approved_fallback_urls), a row for each source. outcomes: (source_url, url, nth, statuses,
-    has_error, ok), what the nth fetch of url gives. Each step depends on the one before, so a
-    source's few outcomes are one group; sources are independent. Every outcome is judged before, with
-    tries left and without; the walk only chooses between the two.
+    has_error, ok), what the nth fetch of url gives; the last one stands for all later ones, and an
+    address without any can't be fetched.
+
+    A retrieval is at the source or at its first fallback, and each fetch costs one of its budget, so
+    it is a fold over as many steps as that; only so many outcomes of an address matter, and they are
+    all that is gathered. Each outcome is judged before, with tries left and without, and _LEADS says
+    where that leads.
     """
-    again, over = (F.lit(0), F.lit(0)), (F.lit(1), F.lit(0))
-    judge = lambda statuses, error, at: decide(F.lit(True), statuses, error, *at, F.col("approved_fallback_urls"))
+    judge = lambda statuses, error, left: decide(F.lit(True), statuses, error, F.lit(0 if left else 1), F.lit(0), F.col("approved_fallback_urls"))
     none = F.array().cast("array<string>")
-    policies = policies.withColumns({"gone_again": judge(none, F.lit(True), again), "gone_over": judge(none, F.lit(True), over)})
-    judged = outcomes.join(policies.select("source_url", "approved_fallback_urls"), "source_url")
-    judged = judged.select("source_url", "url", "nth", "ok", judge(F.col("statuses"), F.col("has_error"), again).alias("again"), judge(F.col("statuses"), F.col("has_error"), over).alias("over"))
-
-    def one(key, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        p = mine.iloc[0]
-        early = (
-            ("deny", "source URL does not match retrieval policy") if p.requested_url != p.source_url
-            else ("deny", "policy not authorized") if not p.authorized
-            else ("retry_later", "rate limit budget exhausted") if p.rate_limit_budget <= 0 else None
+    other = F.get("approved_fallback_urls", 0)
+    known = policies.withColumn("gone", F.struct(F.lit(False).alias("ok"), judge(none, F.lit(True), True).alias("left"), judge(none, F.lit(True), False).alias("spent")))
+    rows = outcomes.join(policies.select("source_url", "approved_fallback_urls", "rate_limit_budget"), "source_url").filter((F.col("url") == F.col("source_url")) | (F.col("url") == other))
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("source_url", "url").orderBy("nth"))).filter(F.col("k") <= F.col("rate_limit_budget"))
+    judged = F.struct("k", "ok", judge(F.col("statuses"), F.col("has_error"), True).alias("left"), judge(F.col("statuses"), F.col("has_error"), False).alias("spent"))
+    told = lambda here: F.transform(F.array_sort(F.collect_list(F.when(here, judged))), lambda o: F.struct(o["ok"].alias("ok"), o["left"].alias("left"), o["spent"].alias("spent")))
+    at_source = F.col("url") == F.col("source_url")
+    queues = rows.groupBy("source_url").agg(told(at_source).alias("first"), told(~at_source).alias("second"))
+    p = known.join(queues, "source_url", "left")
+
+    early = F.when(F.col("requested_url") != F.col("source_url"), "source URL does not match retrieval policy").when(~F.col("authorized"), "policy not authorized")
+    row = lambda url, attempt, kind, reason, final, used: F.struct(url.alias("url"), attempt.cast("int").alias("attempt"), kind.alias("kind"), reason.alias("reason"), final.alias("final"), used.alias("fallback_used"))
+    no_rows = F.array().cast(f"array<{_ROW}>")
+    denied = F.array(row(F.col("requested_url"), F.lit(1), F.lit("deny"), early, F.lit(True), F.lit(None).cast("string")))
+    start = F.struct(early.isNotNull().alias("done"), F.lit(False).alias("moved"), F.lit(1).alias("attempt"), F.lit(0).alias("k"), F.when(early.isNotNull(), denied).otherwise(no_rows).alias("rows"))
+    most = F.greatest(F.lit(1), F.col("max_retries") + 1)
+
+    def step(s: Column, i: Column) -> Column:
+        url, used = F.when(s["moved"], other).otherwise(F.col("source_url")), F.when(s["moved"], other)
+        queue = F.when(s["moved"], F.col("second")).otherwise(F.col("first"))
+        outcome = F.coalesce(F.get(queue, F.least(s["k"], F.size(queue) - 1)), F.col("gone"))
+        judged_now = F.struct(outcome["ok"].alias("ok"), F.when(s["attempt"] <= F.col("max_retries"), outcome["left"]).otherwise(outcome["spent"]).alias("v"), url.alias("url"), used.alias("used"))
+        return _let(judged_now, lambda o: _let(led(o), lambda x: moved_on(s, i, o, x)))
+
+    def led(o: Column) -> Column:
+        """Kind and reason, and where they lead."""
+        stuck = (o["v"]["kind"] == "use_approved_fallback") & (o["v"]["fallback_url"] == o["url"])
+        kind = F.when(stuck, "handoff").otherwise(o["v"]["kind"])
+        leads = F.element_at(F.create_map(*[x for k, v in _LEADS.items() for x in (F.lit(k), F.struct(*[F.lit(f).alias(n) for n, f in zip(("content", "without", "last", "goes"), v, strict=True)]))]), kind)
+        return F.struct(kind.alias("kind"), F.when(stuck, "approved fallback unavailable").otherwise(o["v"]["reason"]).alias("reason"), leads.alias("to"))
+
+    def moved_on(s: Column, i: Column, o: Column, x: Column) -> Column:
+        last, goes, over = s["attempt"] >= most, x["to"]["goes"], i >= F.col("rate_limit_budget")
+        ends = (o["ok"] & x["to"]["content"]) | x["to"]["without"] | (last & x["to"]["last"])
+        fetched = row(o["url"], s["attempt"], x["kind"], x["reason"], ends, F.when(goes, other).otherwise(o["used"]))
+        # The last try is over without content: the retrieval is, too.
+        empty = F.when(~ends & ~goes & last, F.array(row(o["url"], s["attempt"], F.lit("retry_later"), F.lit("retrieval completed without compliant content"), F.lit(True), o["used"]))).otherwise(no_rows)
+        spent = row(o["url"], s["attempt"], F.lit("retry_later"), F.lit("rate limit budget exhausted"), F.lit(True), o["used"])
+        new = F.when(s["done"], no_rows).when(over, F.array(spent).cast(f"array<{_ROW}>")).otherwise(F.concat(F.array(fetched).cast(f"array<{_ROW}>"), empty.cast(f"array<{_ROW}>")))
+        return F.struct(
+            (s["done"] | over | ends | (last & ~goes)).alias("done"), (s["moved"] | (~over & goes)).alias("moved"), (s["attempt"] + F.when(goes, 0).otherwise(1)).alias("attempt"), F.when(goes, 0).otherwise(s["k"] + 1).alias("k"),
+            F.concat(s["rows"], new).alias("rows"),
         )
-        if early:
-            return pd.DataFrame([(p.source_url, 0, p.requested_url, 1, *early, True, None)], columns=[c.split()[0] for c in _AUDIT.split(", ")])
-        queue = {u: g.sort_values("nth").to_dict("records") for u, g in theirs.groupby("url")}
-        rows, url, attempt, budget, fallback, most = [], p.source_url, 1, int(p.rate_limit_budget), None, max(1, int(p.max_retries) + 1)
-        while True:
-            if budget <= 0:
-                rows.append([url, attempt, "retry_later", "rate limit budget exhausted", True, fallback])
-                break
-            budget -= 1
-            waiting = queue.get(url) or [{"again": p.gone_again, "over": p.gone_over, "ok": False}]
-            got = waiting.pop(0) if len(waiting) > 1 else waiting[0]
-            judged = got["again" if attempt <= p.max_retries else "over"]
-            kind, reason, to = judged["kind"], judged["reason"], judged["fallback_url"]
-            at = url
-            if kind == "use_approved_fallback":
-                if to == url:
-                    kind, reason = "handoff", "approved fallback unavailable"
-                else:
-                    url = fallback = to
-            end = kind == "allow" and got["ok"] or kind in ("handoff", "deny") or kind == "retry_later" and attempt >= most
-            rows.append([at, attempt, kind, reason, bool(end), fallback])
-            if end:
-                break
-            if kind == "use_approved_fallback":
-                continue
-            if attempt >= most:
-                rows.append([at, attempt, "retry_later", "retrieval completed without compliant content", True, fallback])
-                break
-            attempt += 1
-        return pd.DataFrame([(p.source_url, n, *r) for n, r in enumerate(rows)], columns=[c.split()[0] for c in _AUDIT.split(", ")])
-
-    return policies.groupBy("source_url").cogroup(judged.groupBy("source_url")).applyInPandas(one, _AUDIT)
+
+    steps = F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("rate_limit_budget").cast("int")))
+    trail = p.select("source_url", F.posexplode(F.aggregate(steps, start.cast(f"struct<done:boolean,moved:boolean,attempt:int,k:int,rows:array<{_ROW}>>"), lambda s, i: step(s, i).cast(f"struct<done:boolean,moved:boolean,attempt:int,k:int,rows:array<{_ROW}>>"), lambda s: s["rows"])).alias("step", "r"))
+    return trail.select("source_url", "step", "r.*")
 
 
 def rate_budget(events: DataFrame, key: str = "user_id", ts: str = "ts", seconds: int = WINDOW_SECONDS, uses: int = USES) -> DataFrame:

@@ -550,14 +550,22 @@ def policy_decision(spark, sf):
     return e.select("event_id", d["kind"].alias("kind"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS MATERIALIZED (SELECT user_id, list(['captcha page','throttled','ok','not_found'][event_id%4+1] ORDER BY event_id) AS st FROM events GROUP BY 1),
+  r AS (SELECT user_id, -1 AS step, false AS done, false AS moved, 1 AS attempt, 0 AS k, user_id%5 AS budget, ''::VARCHAR AS url, 0 AS tried, ''::VARCHAR AS kind, ''::VARCHAR AS reason, false AS final, NULL::VARCHAR AS used FROM o
+    UNION ALL SELECT user_id, step + 1, final, moved OR goes, CASE WHEN goes OR over THEN attempt ELSE attempt + 1 END, CASE WHEN goes THEN 0 ELSE k + 1 END, budget - 1, addr, attempt, kind, reason, final, CASE WHEN moved OR goes THEN 'u' || user_id || '-mirror' END
+    FROM (SELECT *, kind = 'use_approved_fallback' AS goes, kind IN ('deny', 'handoff') OR kind = 'allow' OR over OR (kind = 'retry_later' AND attempt >= 3) AS final
+      FROM (SELECT *, CASE WHEN NOT auth THEN 'deny' WHEN over THEN 'retry_later' WHEN s = 'captcha page' THEN 'handoff' WHEN s = 'ok' THEN 'allow' WHEN s = 'not_found' THEN 'use_approved_fallback' WHEN attempt <= 2 THEN 'retry_later' WHEN s = 'gone' THEN 'deny' ELSE 'handoff' END AS kind,
+          CASE WHEN NOT auth THEN 'policy not authorized' WHEN over THEN 'rate limit budget exhausted' WHEN s = 'captcha page' THEN 'blocking access signal detected' WHEN s = 'ok' THEN 'allowed' WHEN s = 'not_found' THEN 'approved fallback available for missing content'
+          WHEN attempt <= 2 THEN CASE WHEN s = 'gone' THEN 'error severity signal' ELSE 'throttled or rate limited' END WHEN s = 'gone' THEN 'error severity persisted beyond retry budget' ELSE 'throttling persisted beyond retry budget' END AS reason
+        FROM (SELECT r.user_id, r.step, r.moved, r.attempt, r.k, r.budget, r.budget <= 0 AS over, r.user_id%7 <> 0 AS auth, 'u' || r.user_id || CASE WHEN r.moved THEN '-mirror' ELSE '' END AS addr, CASE WHEN r.moved THEN 'gone' ELSE o.st[least(r.k, len(o.st) - 1) + 1] END AS s FROM r JOIN o USING (user_id) WHERE NOT r.done))))
+  SELECT 'u' || user_id AS source_url, step, url, tried AS attempt, kind, reason, final, used AS fallback_used FROM r WHERE step >= 0""")
 def retrieval_audit(spark, sf):
-    """The fetch loop for each user as a source, its first events as the outcomes."""
-    e = t(spark, sf, "events").withColumn("nth", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).filter("nth <= 5")
+    """The fetch loop for each user as a source, all its events as the outcomes."""
+    e = t(spark, sf, "events")
     url = F.concat(F.lit("u"), F.col("user_id").cast("string"))
     status = F.element_at(F.array(*map(F.lit, _STATUS)), (F.col("event_id") % 4 + 1).cast("int"))
-    out = e.select(url.alias("source_url"), url.alias("url"), "nth", F.array(status).alias("statuses"), F.lit(False).alias("has_error"), F.lit(True).alias("ok"))
-    p = e.filter("nth = 1").select(url.alias("requested_url"), url.alias("source_url"), (F.col("user_id") % 7 != 0).alias("authorized"), (F.col("user_id") % 5).cast("int").alias("rate_limit_budget"), F.lit(2).alias("max_retries"), F.array(F.concat(url, F.lit("-mirror"))).alias("approved_fallback_urls"))
+    out = e.select(url.alias("source_url"), url.alias("url"), F.col("event_id").alias("nth"), F.array(status).alias("statuses"), F.lit(False).alias("has_error"), F.lit(True).alias("ok"))
+    p = e.select("user_id").distinct().select(url.alias("requested_url"), url.alias("source_url"), (F.col("user_id") % 7 != 0).alias("authorized"), (F.col("user_id") % 5).cast("int").alias("rate_limit_budget"), F.lit(2).alias("max_retries"), F.array(F.concat(url, F.lit("-mirror"))).alias("approved_fallback_urls"))
     return policy.retrieve(p, out)
 
 
