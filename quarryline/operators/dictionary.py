@@ -2,12 +2,15 @@
 
 A pattern is met through its rarest key alone: of the words of a word pattern, of the three-letter
 runs of a substring pattern, the one that the fewest texts hold. Texts give their distinct keys, so
-that only texts with a pattern's rarest key are candidates; those are verified on the whole text. Only
-keys travel in the join; a text is moved once, to be verified beside its candidates.
+that only texts with a pattern's rarest key are candidates. Only keys travel in the join; a text is
+moved once, and all its candidates are verified on the whole of it in one Arrow row.
 """
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,12 +31,24 @@ def keys_of(text: Column, words: bool, lengths: tuple[int, ...] = (GRAM,)) -> Co
     return F.array_distinct(F.concat(*map(runs, lengths)))
 
 
-def found_at(text: Column, pattern: Column, words: bool) -> Column:
-    """Where a pattern first stands in a text (from 1), in any case; 0 if nowhere. As a word, nothing of a word may touch it."""
-    if not words:
-        return F.instr(F.lower(text), F.lower(pattern))
-    whole = F.concat(F.lit(rf"(?iu)(?<!{_W})\Q"), F.replace(pattern, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(rf"\E(?!{_W})"))
-    return F.regexp_instr(text, whole)
+def _starts(text: str | None, patterns: list[str], words: bool) -> list[dict]:
+    """The patterns that a text holds in any case, with their first places (from 1). As a word, nothing of a word may touch one."""
+    text = text or ""
+    low, out = text.lower(), []
+    same = len(low) == len(text)  # else places would move
+    letter = lambda i: 0 <= i < len(low) and (low[i].isalnum() or low[i] == "_")
+    for p in patterns:
+        if same:
+            q = p.lower()
+            at = low.find(q)
+            while words and at >= 0 and (letter(at - 1) or letter(at + len(q))):
+                at = low.find(q, at + 1)
+        else:
+            m = re.search(rf"(?<!\w){re.escape(p)}(?!\w)" if words else re.escape(p), text, re.IGNORECASE)
+            at = m.start() if m else -1
+        if at >= 0:
+            out.append({"pattern": p, "start": at + 1})
+    return out
 
 
 def dictionary_join(texts: DataFrame, patterns: DataFrame, key: str, text: str = "text", words: bool = True) -> DataFrame:
@@ -57,10 +72,11 @@ def dictionary_join(texts: DataFrame, patterns: DataFrame, key: str, text: str =
     count = held.join(owned.select("__k").distinct(), "__k", "left_semi").groupBy("__k").agg(F.count("*").alias("__n"))
     # A pattern with a key that no text holds is found nowhere.
     rarest = owned.join(count, "__k", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("__n"), "__k")).alias("r")).filter("r.__n > 0").select("pattern", F.col("r.__k").alias("__k"))
-    candidates = held.join(rarest, "__k").select(key, "pattern")
-    met = candidates.join(texts.select(key, F.col(text).alias("__text")), key)
-    plain = met.filter(F.contains(F.lower("__text"), F.lower("pattern")))
-    return plain.select(key, "pattern", found_at(F.col("__text"), F.col("pattern"), words).cast("long").alias("start")).filter("start > 0")
+    candidates = held.join(rarest, "__k").groupBy(key).agg(F.collect_set("pattern").alias("__patterns"))
+    # All candidates of a text are looked for at once, beside it; they are no more than what its own keys call for.
+    verify = F.pandas_udf(lambda t, p: pd.Series([_starts(x if isinstance(x, str) else "", list(y), words) for x, y in zip(t, p, strict=True)], dtype=object), "array<struct<pattern:string,start:long>>")
+    met = texts.select(key, F.col(text).alias("__text")).join(candidates, key)
+    return met.select(key, F.explode(verify(F.col("__text"), F.col("__patterns"))).alias("__f")).select(key, "__f.pattern", "__f.start")
 
 
 def first_scaffold(urls: DataFrame, scaffolds: DataFrame, key: str, netloc: str = "netloc") -> DataFrame:
