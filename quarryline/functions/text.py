@@ -42,8 +42,8 @@ def normalize_act(c: Column) -> Column:
 
 
 def act_tokens(c: Column) -> Column:
-    """Tokens of an act's name without its years."""
-    return F.filter(tokens(c), lambda t: ~t.rlike(r"^(?:19|20)\d{2}$"))
+    """Tokens of an act's name without the years that stand alone in it."""
+    return tokens(F.regexp_replace(blank(c), rf"(?<!{_W})(?:19|20)\d{{2}}(?!{_W})", ""))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -114,11 +114,6 @@ def pillar_of(c: Column) -> Column:
     return F.regexp_extract(indicator(c), r"^P(\d+)-", 1).try_cast("int")
 
 
-def keyword_pattern(keyword: Column) -> Column:
-    """A keyword between word boundaries, in any case; the keyword is literal text."""
-    return F.concat(F.lit(rf"(?iu)(?<!{_W})\Q"), keyword, F.lit(rf"\E(?!{_W})"))
-
-
 def verbatim_clause(text: Column, start: Column, keyword: Column) -> Column:
     """The clause around the keyword at start (from 1): up to the nearest full stop, semicolon or line end on each side, at most SNIPPET characters around the keyword."""
     before, after = F.substring(text, F.lit(1), start - 1), F.substring(text, start + F.length(keyword), F.length(text))
