@@ -26,16 +26,21 @@ def rarity_rank(stored: DataFrame, first: list[str] | None = None) -> DataFrame:
     return freq.withColumn("rank", F.row_number().over(Window.orderBy(given, F.when(given < len(order), 0).otherwise(F.col("freq")), "tag")).cast("long"))
 
 
-def _rarest(sets: DataFrame, key: str, ranks: DataFrame) -> DataFrame:
-    """Each set's tag of least rank; unknown tags are the rarest."""
-    one = sets.select(key, F.explode("tags").alias("tag")).join(ranks.select("tag", "rank"), "tag", "left")
-    return one.groupBy(key).agg(F.min_by("tag", F.struct(F.coalesce("rank", F.lit(0)), F.col("tag"))).alias("tag"))
+def _counts(stored: DataFrame) -> DataFrame:
+    """(tag, n): how many stored sets have each tag; their order is that of rarity_rank, and no tag needs its place among all."""
+    return stored.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+def _rarest(sets: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """Each set's rarest tag, of equally rare ones the first by name; unknown tags are the rarest."""
+    one = sets.select(key, F.explode("tags").alias("tag")).join(counts, "tag", "left")
+    return one.groupBy(key).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "tag"))["tag"].alias("tag"))
 
 
 def subsets(stored: DataFrame, queries: DataFrame) -> DataFrame:
     """(doc_id, node_id) where the stored set lies within the query's; an empty stored set lies within all."""
     s, q = stored.select("node_id", canonical().alias("tags")), queries.select("doc_id", canonical().alias("tags"))
-    key = _rarest(s, "node_id", rarity_rank(s))
+    key = _rarest(s, "node_id", _counts(s))
     met = q.select("doc_id", F.col("tags").alias("have"), F.explode("tags").alias("tag")).join(s.join(key, "node_id"), "tag")
     got = met.filter(F.size(F.array_except("tags", "have")) == 0).select("doc_id", "node_id")
     empty = s.filter(F.size("tags") == 0).select("node_id").withColumn("k", F.lit(1))
@@ -45,7 +50,7 @@ def subsets(stored: DataFrame, queries: DataFrame) -> DataFrame:
 def supersets(stored: DataFrame, queries: DataFrame) -> DataFrame:
     """(doc_id, node_id) where the stored set contains the query's; an empty query lies within all."""
     s, q = stored.select("node_id", canonical().alias("tags")), queries.select("doc_id", canonical().alias("tags"))
-    key = _rarest(q, "doc_id", rarity_rank(s))
+    key = _rarest(q, "doc_id", _counts(s))
     met = s.select("node_id", F.col("tags").alias("have"), F.explode("tags").alias("tag")).join(q.join(key, "doc_id"), "tag")
     got = met.filter(F.size(F.array_except("tags", "have")) == 0).select("doc_id", "node_id")
     empty = q.filter(F.size("tags") == 0).select("doc_id").withColumn("k", F.lit(1))
