@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from quarryline.functions.text import _W, blank
 
 GRAM = 3
+#: The most keys and characters of a pattern table that is sent to all tasks.
+MOST_ROWS, MOST_CHARS = 200_000, 8_000_000
 
 
 def keys_of(text: Column, words: bool, lengths: tuple[int, ...] = (GRAM,)) -> Column:
@@ -68,11 +70,14 @@ def dictionary_join(texts: DataFrame, patterns: DataFrame, key: str, text: str =
         of = [F.when(size == n, keys_of(F.lower("pattern"), False, (n,))) for n in lengths]
         owned = wanted.withColumn("__k", F.explode(F.coalesce(*of)))
     held = texts.select(key, F.explode(keys_of(low, words, lengths)).alias("__k"))
+    # Texts' keys are far more than patterns' keys: a pattern table of checked size goes to them, a larger one meets them in a shuffle.
+    size = owned.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("pattern") + F.length("__k")), F.lit(0)).alias("chars")).first()
+    near = F.broadcast if size["n"] <= MOST_ROWS and size["chars"] <= MOST_CHARS else lambda df: df
     # How many texts hold each key that some pattern has.
-    count = held.join(owned.select("__k").distinct(), "__k", "left_semi").groupBy("__k").agg(F.count("*").alias("__n"))
+    count = held.join(near(owned.select("__k").distinct()), "__k", "left_semi").groupBy("__k").agg(F.count("*").alias("__n"))
     # A pattern with a key that no text holds is found nowhere.
     rarest = owned.join(count, "__k", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("__n"), "__k")).alias("r")).filter("r.__n > 0").select("pattern", F.col("r.__k").alias("__k"))
-    candidates = held.join(rarest, "__k").groupBy(key).agg(F.collect_set("pattern").alias("__patterns"))
+    candidates = held.join(near(rarest), "__k").groupBy(key).agg(F.collect_set("pattern").alias("__patterns"))
     # All candidates of a text are looked for at once, beside it; they are no more than what its own keys call for.
     verify = F.pandas_udf(lambda t, p: pd.Series([_starts(x if isinstance(x, str) else "", list(y), words) for x, y in zip(t, p, strict=True)], dtype=object), "array<struct<pattern:string,start:long>>")
     met = texts.select(key, F.col(text).alias("__text")).join(candidates, key)
