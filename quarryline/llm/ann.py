@@ -188,11 +188,27 @@ def _searcher(centres: dict[int, np.ndarray], k: int, epsilon: float):
     return search_pairs
 
 
+def sampled(rows: DataFrame, size: int) -> DataFrame:
+    """The first size rows by a hash of vec_id. The driver gets them alone: a sorted limit that is collected sends it as many of every task.
+
+    The rows are counted by the hash's first bits, and only those up to the bits where size is reached are sorted.
+    """
+    key = F.xxhash64("vec_id")
+    reached, last = 0, None
+    for bits, n in sorted(rows.groupBy(F.shiftright(key, 52)).count().collect()):
+        reached, last = reached + n, bits
+        if reached >= size:
+            break
+    first = rows.filter(F.shiftright(key, 52) <= F.lit(last)).orderBy(key, "vec_id", "embedding").limit(size)
+    # A step after the limit: so the tasks' first rows meet in a task, not in the driver.
+    return first.filter(F.size("embedding") >= 0)
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int = K, epsilon: float = EPSILON) -> DataFrame:
     """(query_id, vec_id, score, reranked) of the k best of each query for each group of chunks, of valid rows and queries with an id each. reranked sums up to the pairs whose distances were computed."""
     spark = rows.sparkSession
     by: dict[int, list] = defaultdict(list)
-    for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(SAMPLE).collect():
+    for r in sampled(rows, SAMPLE).collect():
         by[len(r["embedding"])].append(r["embedding"])
     centres = {dim: np.array(v, float).mean(0) for dim, v in by.items()}
     groups = 2 * shuffle_width(spark)
@@ -201,7 +217,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K, epsilon: float = EP
     # The stated query set, in blocks: each block goes once to each group of chunks.
     asked = queries.repartition(max(1, shuffle_width(spark) // 8), "vec_id").mapInArrow(_packer(BLOCK), _CHUNK)
     blocks = asked.select(F.col("dim").alias("query_dim"), F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
-    pairs = blocks.join(chunks, (F.col("g") == F.col("group")) & (F.col("dim") == F.col("query_dim"))).select("dim", "ids", "vectors", "bits", "norms", "along", "query_ids", "query_vectors")
+    # Merged, never broadcast: the copies of blocks grow with the queries, and a broadcast passes the driver.
+    pairs = blocks.hint("merge").join(chunks, (F.col("g") == F.col("group")) & (F.col("dim") == F.col("query_dim"))).select("dim", "ids", "vectors", "bits", "norms", "along", "query_ids", "query_vectors")
     return pairs.mapInArrow(_searcher(centres, k, epsilon), "query_id long, vec_id long, score double, reranked long")
 
 

@@ -185,7 +185,7 @@ def first_books(rows: DataFrame, entries: int = ENTRIES) -> dict[int, Books]:
     """The codebooks to start with, by length: of the smallest vec_ids."""
     books = {}
     for dim in sorted(r[0] for r in rows.select(F.size("embedding").alias("d")).distinct().collect()):
-        own = rows.filter(F.size("embedding") == dim).orderBy(F.asc_nulls_last("vec_id"), "embedding").limit(entries)
+        own = rows.filter(F.size("embedding") == dim).orderBy(F.asc_nulls_last("vec_id"), "embedding").limit(entries).filter(F.size("embedding") >= 0)  # a step after the limit: else the driver gets as many rows of every task
         found = [r["embedding"] for r in own.select("embedding").collect()]
         books[dim] = split(np.array(found, float).reshape(len(found), dim))
     return books

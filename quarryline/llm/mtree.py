@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.llm.ann import eligible
+from quarryline.llm.ann import eligible, sampled
 from quarryline.llm.common import cut, shuffle_width
 
 K, EVERY, SCALE = 10, 100, 1024.0
@@ -313,7 +313,7 @@ def build(rows: DataFrame, k: int = K) -> DataFrame:
 def nearest(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, vec_id, score, computed) of the k best of each query in each tree, of valid rows and queries with an id each; computed sums up to the distances and products computed."""
     by: dict[int, list] = defaultdict(list)
-    for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(SAMPLE).collect():
+    for r in sampled(rows, SAMPLE).collect():
         by[len(r["embedding"])].append((r["vec_id"], r["embedding"]))
     sample = {dim: (np.array([i for i, _ in v], np.int64), whole(np.array([e for _, e in v], float))) for dim, v in by.items()}
     trees, width = build(rows, k), shuffle_width(rows.sparkSession)

@@ -142,3 +142,19 @@ def test_repeated_ids_ask_with_the_smallest_vector(spark):
     rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.0, 2.0]), (2, [5.0, 0.0])]
     got = ann.search_every(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in got] == [(1, 1.0), (2, 26**0.5)]
+
+
+def test_only_the_sample_reaches_the_driver(spark):
+    rows = spark.range(3000).select(F.col("id").alias("vec_id"), F.array(F.col("id") % 7 + 1.0).alias("embedding")).repartition(16)
+    want = [r.vec_id for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(50).collect()]
+    got = ann.sampled(rows, 50)
+    assert [r.vec_id for r in got.collect()] == want
+    # A plan that ends in the sorted limit would send the driver 50 rows of each task.
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert -1 < plan.find("Filter (size(") < plan.find("TakeOrderedAndProject")
+    assert ann.sampled(rows.limit(0), 50).count() == 0
+
+
+def test_query_blocks_are_not_broadcast(spark):
+    rows = spark.range(400).select(F.col("id").alias("vec_id"), F.array(F.col("id") * 1.0, F.col("id") % 7 + 1.0).alias("embedding"))
+    assert "BroadcastExchange" not in ann.search_every(rows)._jdf.queryExecution().executedPlan().toString() and "SortMergeJoin" in ann.search_every(rows)._jdf.queryExecution().executedPlan().toString()
