@@ -1,11 +1,18 @@
 """Extension: a graph of tagged nodes, by weighted tag overlap, and its ranking.
 
 Nodes are (node, tags). Two nodes are near if the weights of their common tags are at least a share of
-the weights of all their tags; rare tags weigh more. Pairs are met by their rarest tags alone.
+the weights of all their tags; rare tags weigh more. Nodes are dealt to blocks by a hash, every two
+blocks meet in a task that sums their common weights through the tags they share, and only pairs that are
+near enough, or the nearest of each node, leave it.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,43 +20,160 @@ from quarryline.sources.rounds import Rounds
 
 THETA, TOP, DAMPING, TOLERANCE, ROUNDS = 0.4, 5, 0.85, 1e-10, 200
 _LEAST = 1e-9
+#: The most nodes of a block on average.
+BLOCK = 8192
 
 
 def tag_weights(nodes: DataFrame) -> DataFrame:
-    """(tag, w): ln(1 + n / f) of a tag that f of n nodes have."""
+    """(tag, f, w): f of n nodes have the tag, and w is ln(1 + n / f)."""
     one = nodes.select("node", F.explode("tags").alias("tag")).distinct()
     n = nodes.select("node").distinct().agg(F.count("*").alias("n"))  # one row
-    return one.groupBy("tag").agg(F.count("*").alias("f")).join(F.broadcast(n)).select("tag", F.log1p(F.col("n") / F.col("f")).alias("w"))
+    return one.groupBy("tag").agg(F.count("*").alias("f")).join(F.broadcast(n)).select("tag", "f", F.log1p(F.col("n") / F.col("f")).alias("w"))
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes (block, node, total, tags), sorted by block and node, as one row for each block: its nodes, their totals, its tags with weights, and each tag's nodes by place."""
+    at, kept = None, []
+
+    def block() -> pa.RecordBatch:
+        t = pa.Table.from_batches(kept).combine_chunks()
+        tags = t["tags"].combine_chunks()
+        ids, w = (tags.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        place = np.repeat(np.arange(len(tags), dtype=np.int32), np.diff(tags.offsets.to_numpy()))
+        order = np.argsort(ids, kind="stable")
+        ids, w, place = ids[order], w[order], place[order]
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, np.int64)
+        raw = {"ids": ids[first], "w": w[first], "starts": np.r_[first, len(ids)].astype(np.int64), "places": place, "totals": t["total"].to_numpy()}
+        nodes = pa.ListArray.from_arrays(pa.array([0, len(t)], pa.int32()), t["node"].combine_chunks())
+        return pa.RecordBatch.from_pydict({"block": pa.array([at], pa.int32()), "nodes": nodes} | {k: pa.array([v.tobytes()], pa.binary()) for k, v in raw.items()})
+
+    for b in batches:
+        blocks = b["block"].to_numpy()
+        edges = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), b.num_rows] if b.num_rows else []
+        for lo, hi in zip(edges, edges[1:]):
+            if kept and blocks[lo] != at:
+                yield block()
+                kept = []
+            at = int(blocks[lo])
+            kept.append(b.slice(lo, hi - lo))
+    if kept:
+        yield block()
+
+
+class _Block:
+    def __init__(self, row: dict, side: str):
+        get = lambda name, kind: np.frombuffer(row[f"{name}_{side}"], kind)
+        self.ids, self.w, self.starts, self.places, self.totals = get("ids", np.int64), get("w", np.float64), get("starts", np.int64), get("places", np.int32), get("totals", np.float64)
+
+    def by_node(self) -> tuple[np.ndarray, np.ndarray]:
+        """The places of each node's tags among the block's, node by node, and where each node's begin."""
+        tag = np.repeat(np.arange(len(self.ids)), np.diff(self.starts))[np.argsort(self.places, kind="stable")]
+        return tag, np.r_[0, np.cumsum(np.bincount(self.places, minlength=len(self.totals)))]
+
+
+def _likeness(x: _Block, y: _Block) -> Iterator[tuple[int, np.ndarray]]:
+    """For each node of x by place, its weighted Jaccard with every node of y."""
+    at = np.searchsorted(y.ids, x.ids)
+    known = at < len(y.ids)
+    known[known] = y.ids[at[known]] == x.ids[known]
+    tags, begins = x.by_node()
+    sizes = np.diff(y.starts)
+    for i, total in enumerate(x.totals):
+        mine = tags[begins[i] : begins[i + 1]]
+        mine = mine[known[mine]]
+        there = at[mine]
+        n = sizes[there]
+        ends = np.cumsum(n)
+        met = y.places[np.arange(ends[-1] if len(ends) else 0) + np.repeat(y.starts[there] - (ends - n), n)]
+        common = np.bincount(met, np.repeat(x.w[mine], n), len(y.totals))
+        yield i, common / (total + y.totals - common)
+
+
+def _floor(theta: float) -> float:
+    return max(theta - _LEAST, 1e-300)  # nodes without a common tag are near at no theta
+
+
+def _nearest(weights: np.ndarray, theta: float, k: int) -> np.ndarray:
+    """Places that can be among the k best by weights rounded to nine digits, of equal ones the first: of any one weight no more than k."""
+    near = np.flatnonzero(weights >= _floor(theta))
+    if len(near) <= k:
+        return near
+    near = near[weights[near] >= np.partition(weights[near], len(near) - k)[len(near) - k] - 2e-9]
+    near = near[np.lexsort((near, -weights[near]))]
+    w, at = weights[near], np.arange(len(near))
+    return near[at - np.maximum.accumulate(np.where(np.r_[True, w[1:] != w[:-1]], at, 0)) < k]
+
+
+def _met(nodes: DataFrame, theta: float, k: int | None) -> DataFrame:
+    """(x, y, weight) of the nodes whose weighted Jaccard is theta or more: each pair once, or, with k, the k nearest of each x in each block, and perhaps more of equal weight to nine digits."""
+    spark = nodes.sparkSession
+    # Numbers stand for tags; a tag of one node alone counts in its total only.
+    numbered = Rounds(spark, "concept-tags").put(tag_weights(nodes).withColumn("id", F.monotonically_increasing_id()))
+    one = nodes.filter(F.col("node").isNotNull()).select("node", F.explode("tags").alias("tag")).distinct().join(numbered, "tag")
+    shared = F.filter(F.collect_list(F.struct("id", "w", "f")), lambda t: t["f"] > 1)
+    sets = Rounds(spark, "concept-sets").put(one.groupBy("node").agg(F.sort_array(F.transform(shared, lambda t: F.struct(t["id"].alias("id"), t["w"].alias("w")))).alias("tags"), F.sum("w").alias("total")))
+    kind, width = sets.schema["node"].dataType.simpleString(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(math.ceil(sets.count() / BLOCK), math.ceil((6 * width) ** 0.5))
+    dealt = sets.select(F.pmod(F.xxhash64("node"), F.lit(n)).cast("int").alias("block"), "node", "total", "tags").repartition(n, "block").sortWithinPartitions("block", "node")
+    packed = Rounds(spark, "concept-blocks").put(dealt.mapInArrow(_packed, f"block int, nodes array<{kind}>, ids binary, w binary, starts binary, places binary, totals binary"))
+    side = lambda s: packed.select(*[F.col(c).alias(f"{c}_{s}") for c in packed.columns])
+    # Every two blocks, and each with itself: (low, high) by number.
+    low = side("x").withColumn("high", F.explode(F.sequence(F.col("block_x"), F.lit(n - 1))))
+    high = side("y").withColumn("low", F.explode(F.sequence(F.lit(0), F.col("block_y"))))
+    pairs = low.hint("merge").join(high, (F.col("block_x") == F.col("low")) & (F.col("high") == F.col("block_y")))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                names = {s: b[f"nodes_{s}"][r].values for s in "xy"}
+                raw = {c: b[c][r].as_py() for c in b.schema.names if not c.startswith("nodes")}
+                x, y, same = _Block(raw, "x"), _Block(raw, "y"), raw["block_x"] == raw["block_y"]
+                ways = [("x", "y", x, y)] if k is None or same else [("x", "y", x, y), ("y", "x", y, x)]
+                for p, q, here, there in ways:
+                    i, j, w, rows = [], [], [], 0
+
+                    def out(p=p, q=q):
+                        ends = pa.array(np.concatenate(i)), pa.array(np.concatenate(j))
+                        return pa.RecordBatch.from_arrays([names[p].take(ends[0]), names[q].take(ends[1]), pa.array(np.concatenate(w))], ["x", "y", "weight"])
+
+                    for at, weights in _likeness(here, there):
+                        if same:
+                            weights[: at + 1 if k is None else 0] = -1.0
+                            weights[at] = -1.0
+                        near = np.flatnonzero(weights >= _floor(theta)) if k is None else _nearest(weights, theta, k)
+                        if len(near):
+                            i.append(np.full(len(near), at)), j.append(near), w.append(weights[near])
+                            rows += len(near)
+                        if rows > 100_000:
+                            yield out()
+                            i, j, w, rows = [], [], [], 0
+                    if rows:
+                        yield out()
+
+    return pairs.mapInArrow(meet, f"x {kind}, y {kind}, weight double")
 
 
 def near_pairs(nodes: DataFrame, theta: float = THETA) -> DataFrame:
     """(a, b, weight) of the pairs a < b whose weighted Jaccard is theta or more.
 
-    With tags by falling weight, two such sets share one of each set's first tags: of those whose rest
-    weighs less than theta of the whole. Only nodes of like total weight are compared. A node's tags
-    count once; nodes without tags are near none; of repeated nodes all tags count.
+    A node's tags count once; nodes without tags are near none; of repeated nodes all tags count.
     """
-    one = nodes.select("node", F.explode("tags").alias("tag")).distinct().join(tag_weights(nodes), "tag")
-    sets = one.groupBy("node").agg(F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("heavy"), "tag", "w"))).alias("tags"), F.sum("w").alias("total"))
-    # A tag is a first one while it and the rest are theta of the whole; they are counted in one walk.
-    start = F.struct(F.lit(0.0).alias("before"), F.lit(0).alias("n"))
-    more = lambda s, t: F.struct((s["before"] + t["w"]).alias("before"), (s["n"] + (F.col("total") - s["before"] >= theta * F.col("total") - _LEAST).cast("int")).alias("n"))
-    sets = sets.withColumn("first", F.slice("tags", F.lit(1), F.aggregate("tags", start, more, lambda s: s["n"])))
-    keys = sets.select("node", "total", F.explode("first").alias("t")).select("node", "total", F.col("t.tag").alias("tag"))
-    x, y = keys.alias("x"), keys.alias("y")
-    like = F.least("x.total", "y.total") >= theta * F.greatest("x.total", "y.total") - _LEAST
-    met = x.join(y, (F.col("x.tag") == F.col("y.tag")) & (F.col("x.node") < F.col("y.node")) & like).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    # The weights of common tags are summed by joins on node and tag, which cost a tag's row each.
-    tags_of = lambda c: one.select(F.col("node").alias(c), "tag", "w")
-    common = met.join(tags_of("a"), "a").join(tags_of("b").drop("w"), ["b", "tag"]).groupBy("a", "b").agg(F.sum("w").alias("common"))
-    total = lambda c: sets.select(F.col("node").alias(c), F.col("total").alias(f"total_{c}"))
-    full = common.join(total("a"), "a").join(total("b"), "b")
-    return full.select("a", "b", (F.col("common") / (F.col("total_a") + F.col("total_b") - F.col("common"))).alias("weight")).filter(F.col("weight") >= theta - _LEAST)
+    return _met(nodes, theta, None).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "weight")
+
+
+def mutual_pairs(nodes: DataFrame, theta: float = THETA, k: int = TOP) -> DataFrame:
+    """mutual() of near_pairs(), with weights rounded to nine digits, without making all pairs: (a, b, weight)."""
+    return _mutual(_met(nodes, theta, k).withColumn("weight", F.round("weight", 9)), k)
 
 
 def mutual(pairs: DataFrame, k: int = TOP) -> DataFrame:
     """The pairs (a, b, weight) in which each is among the other's k nearest, of equal ones those of smaller name."""
     both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "weight").unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "weight"))
+    return _mutual(both, k)
+
+
+def _mutual(both: DataFrame, k: int) -> DataFrame:
+    """mutual() of pairs given both ways (x, y, weight)."""
     nearest = both.withColumn("nth", F.row_number().over(Window.partitionBy("x").orderBy(F.col("weight").desc(), "y"))).filter(F.col("nth") <= k)
     ends = nearest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "weight")
     return ends.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("weight").alias("weight")).filter("n = 2").select("a", "b", "weight")

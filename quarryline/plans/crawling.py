@@ -147,12 +147,11 @@ def concept_pairs(spark, sf):
   SELECT least(x, y) AS a, greatest(x, y) AS b FROM k WHERE nth <= 5 GROUP BY 1, 2 HAVING count(*) = 2""")
 def concept_graph(spark, sf):
     """Extension: of those pairs, the mutually nearest."""
-    pairs = concepts.near_pairs(_tagged_conversations(spark, sf), 0.05).withColumn("weight", F.round("weight", 9))
-    return concepts.mutual(pairs).select("a", "b")
+    return concepts.mutual_pairs(_tagged_conversations(spark, sf), 0.05).select("a", "b")
 
 
 @query()
 def concept_rank(spark, sf):
     """Extension: conversations by their rank in that graph."""
     nodes = _tagged_conversations(spark, sf)
-    return concepts.pagerank(nodes, concepts.mutual(concepts.near_pairs(nodes, 0.05)))
+    return concepts.pagerank(nodes, concepts.mutual_pairs(nodes, 0.05))

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarryline.operators import concepts
 
@@ -28,6 +29,19 @@ def test_pairs_equal_brute_force(spark, seed, theta):
     assert {(x.a, x.b) for x in concepts.mutual(pairs, 2).collect()} == {(a, b) for a, b in got if b in top[a] and a in top[b]}
 
 
+def test_mutual_pairs_equal_all_pairs_with_copies(spark, monkeypatch):
+    """The nearest of blocks give the graph of all pairs, and copies are not expanded to find it."""
+    r = random.Random(5)
+    rows = [(i, r.choices("abcdefghijkl", k=5)) for i in range(80)] + [(i, ["a", "b", "x"]) for i in range(80, 140)]
+    df = spark.createDataFrame(rows, "node long, tags array<string>")
+    want = {(x.a, x.b) for x in concepts.mutual(concepts.near_pairs(df, 0.2).withColumn("weight", F.round("weight", 9)), 3).collect()}
+    assert {(x.a, x.b) for x in concepts.mutual_pairs(df, 0.2, 3).collect()} == want and len(want) > 20
+    # Before, every pair that shares a first tag was shuffled, and each of its common tags once more.
+    assert concepts._met(df, 0.2, 3).filter("x >= 80 and y >= 80").count() < 60 * 59 / 2
+    monkeypatch.setattr(concepts, "BLOCK", 9)
+    assert {(x.a, x.b) for x in concepts.mutual_pairs(df, 0.2, 3).collect()} == want
+
+
 def test_no_tags_no_pairs(spark):
     assert concepts.near_pairs(spark.createDataFrame([("a", None), ("b", [])], "node string, tags array<string>")).count() == 0
 
