@@ -123,6 +123,39 @@ def test_score_has_no_group_by_pillar(spark):
     assert {(x.pred, x.gold) for x in scoring.greedy(pairs, scoring.gold_classes(g), 0).collect()} == want and len(want) > 20
 
 
+def _matching_items(spark, seed):
+    acts = ["data act one", "data act two", "privacy law", "privacy law two three four", ""]
+    r = random.Random(seed)
+    side = lambda at: [(at + i, r.choice(["", "sg", "au"]), 6 + i % 2, "6.1", r.choice(acts), [f"http://x.org/{r.randrange(12)}"] * r.randrange(3)) for i in range(50)]
+    kind = "pos long, country string, pillar_id int, indicator_id string, act_name string, urls array<string>"
+    return spark.createDataFrame(side(0), kind), spark.createDataFrame(side(0), kind)
+
+
+@pytest.mark.parametrize("turn, window", [(100, 64), (7, 1)])
+def test_matching_by_classes_in_short_turns(spark, turn, window):
+    """No pair is made for it, and a task's share and its golds of a class are bounded; equal to taking turns."""
+    p, g = _matching_items(spark, 9)
+    acts = scoring.Acts(p, g)
+    want = in_turn([(x.pred, x.gold) for x in acts.pairs().collect()])
+    assert {(x.pred, x.gold) for x in scoring.greedy_by_class(acts, turn, window).collect()} == want and len(want) > 20
+
+
+def test_classes_give_the_pairs_of_brute_force(spark, monkeypatch):
+    """Items of one class are met once for all, not each with each, and expanded in small blocks."""
+    monkeypatch.setattr(scoring, "MEMBERS", 3)
+    p, g = _matching_items(spark, 4)
+    toks = lambda x: set(x.act_name.split())
+    alike = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
+    rows = [(x, y) for x in p.collect() for y in g.collect()]
+    want = sorted((x.pos, y.pos, x.pillar_id) for x, y in rows if x.pillar_id == y.pillar_id and (not x.country or not y.country or x.country == y.country) and (set(x.urls) & set(y.urls) or alike(toks(x), toks(y)) >= 0.6))
+    acts = scoring.Acts(p, g)
+    assert sorted(map(tuple, acts.pairs().collect())) == want and acts.links.count() < len(want) / 2
+    assert {r.pillar_id: (r.n_pairs, r.n_preds) for r in scoring.pair_counts(p, g).collect()} == {k: (sum(w[2] == k for w in want), len({w[0] for w in want if w[2] == k})) for k in (6, 7)}
+    words = [x.act_name.split() for x in p.orderBy("pos").collect()]
+    df = spark.createDataFrame([(i, "b", w) for i, w in enumerate(words)], "pos int, within string, toks array<string>")
+    assert {(x.a, x.b) for x in scoring.similar_pairs(df).collect()} == {(i, j) for j in range(50) for i in range(j) if alike(set(words[i]), set(words[j])) >= 0.6}
+
+
 def distance_by_hand(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
