@@ -418,18 +418,14 @@ def match_pairs(spark, sf):
 
 @query(f"WITH {_PART_SQL} SELECT pillar_id, count(*) AS n_pairs, count(DISTINCT pred) AS n_preds FROM pairs GROUP BY 1")
 def pillar_match_counts(spark, sf):
-    return match_pairs(spark, sf).groupBy("pillar_id").agg(F.count("*").alias("n_pairs"), F.count_distinct("pred").alias("n_preds"))
+    return scoring.pair_counts(_parts(spark, sf, 0), _parts(spark, sf, 1))
 
 
 @query("""WITH p AS (SELECT p_partkey k, p_brand b, list_distinct(regexp_extract_all(lower(p_name),'[a-z0-9]+')) a FROM part)
   SELECT x.k AS a, y.k AS b, len(list_intersect(x.a,y.a))/len(list_distinct(list_concat(x.a,y.a))) AS sim FROM p x JOIN p y ON x.b=y.b AND x.k<y.k WHERE len(list_intersect(x.a,y.a))/len(list_distinct(list_concat(x.a,y.a)))>=0.6""")
 def act_similarity_pairs(spark, sf):
     p = t(spark, sf, "part").select(F.col("p_partkey").alias("k"), "p_brand", T.act_tokens(F.col("p_name")).alias("toks"))
-    p = scoring.rarest_first([p], "k")[0]
-    first = p.select("k", "p_brand", "toks", F.explode(scoring._prefix(F.col("rare"), scoring.ACTS)).alias("tok"))
-    x, y = first.alias("x"), first.alias("y")
-    sim = T.jaccard(F.col("x.toks"), F.col("y.toks"))
-    return x.join(y, (F.col("x.p_brand") == F.col("y.p_brand")) & (F.col("x.tok") == F.col("y.tok")) & (F.col("x.k") < F.col("y.k"))).select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), sim.alias("sim")).filter(F.col("sim") >= scoring.ACTS).distinct()
+    return scoring.similar_pairs(p.withColumnsRenamed({"k": "pos", "p_brand": "within"}))
 
 
 @query(f"""WITH p AS (SELECT page_id, {_URL_KEY_SQL.format('url')} k FROM pages) SELECT k AS url_key, count(*) AS n_pages, min(page_id) AS first_page FROM p GROUP BY 1 HAVING count(*)>1""")
