@@ -129,12 +129,52 @@ def rationale(keyword: Column, code: Column) -> Column:
     return F.substring(F.concat(F.lit("Matched keyword '"), keyword, F.lit("' in document text; mapped to indicator "), code, F.lit(" by the deterministic mock keyword table.")), 1, SNIPPET)
 
 
-#: Pairs whose lengths' product is at most this are compared inside the JVM; longer ones in Arrow batches, by bits.
-PLAIN_CELLS = 1_000_000
+#: Pairs whose lengths' product is at most this are compared inside the JVM, cell by cell; longer ones in Arrow batches, by bounds and bits.
+PLAIN_CELLS = 10_000
+
+
+#: Characters after a mismatch that decide how an alignment goes on, and characters compared at a time.
+_AHEAD, _RUN = 32, 256
+
+
+def edit_bounds(x, y) -> tuple[int, int]:
+    """Bounds of the Levenshtein distance of two arrays of code points, in linear time.
+
+    No alignment pairs more equal characters than the texts have in common, in any order: that is the
+    lower bound. The upper one is the cost of one alignment, which at each mismatch takes the step that
+    goes on longest without the next one, or just the longer text's length once that alignment costs more than the lower
+    bound. Characters that the other text has nowhere can't be matched and are replaced.
+    """
+    import numpy as np
+
+    letters, count = np.unique(x, return_counts=True)
+    others, count_y = np.unique(y, return_counts=True)
+    _, at, at_y = np.intersect1d(letters, others, assume_unique=True, return_indices=True)
+    lower = max(len(x), len(y)) - int(np.minimum(count[at], count_y[at_y]).sum())
+    alone, alone_y = ~np.isin(x, others), ~np.isin(y, letters)
+
+    def apart(i: int, j: int, n: int):
+        n = min(n, len(x) - i, len(y) - j)
+        return (x[i : i + n] != y[j : j + n]) & ~(alone[i : i + n] & alone_y[j : j + n])
+
+    i = j = cost = 0
+    while i < len(x) and j < len(y):
+        if cost > lower:
+            return lower, max(len(x), len(y))
+        miss = apart(i, j, _RUN)
+        n = int(miss.argmax()) if miss.any() else len(miss)
+        cost += int(np.count_nonzero(alone[i : i + n]))
+        i, j = i + n, j + n
+        if n < len(miss):
+            cost += 1
+            looks = [(apart(i + di, j + dj, _AHEAD), di, dj) for di, dj in ((1, 1), (1, 0), (0, 1))]
+            _, di, dj = max(looks, key=lambda v: int(v[0].argmax()) if v[0].any() else len(v[0]))
+            i, j = i + di, j + dj
+    return lower, cost + len(x) - i + len(y) - j
 
 
 def edit_distance_bits(a: str, b: str) -> int:
-    """The Levenshtein distance of two texts, a column of the table at a time as two bit vectors (of rises and falls from row to row), so that memory is linear and a machine word holds 64 rows."""
+    """The Levenshtein distance of two texts: where edit_bounds() meet, that; else a column of the table at a time as two bit vectors (of rises and falls from row to row), so that memory is linear and a machine word holds 64 rows."""
     import numpy as np
 
     start = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
@@ -144,6 +184,9 @@ def edit_distance_bits(a: str, b: str) -> int:
     if not a:
         return len(b)
     letters = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)
+    lower, upper = edit_bounds(letters, np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32))
+    if lower == upper:
+        return lower
     at = {chr(c): int.from_bytes(np.packbits(letters == c, bitorder="little").tobytes(), "little") for c in np.unique(letters)}
     every, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
     rise, fall, distance = every, 0, len(a)

@@ -1,8 +1,10 @@
 """Dictionary joins, prefix-tree searches, one-to-one matching and edit distances against brute force."""
 
 import random
+import time
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,3 +184,16 @@ def test_long_texts_are_compared_whole(spark):
     assert {r.k: r.cer for r in review.error_rates(rows).collect()} == {1: 3 / 30_000, 2: 1 / 3, 3: 0.0, 4: 1.0, 5: 0.0}
     plan = review.cer_report(rows)._jdf.queryExecution().analyzed().toString()
     assert "substring" not in plan
+
+
+def test_bounds_of_the_edit_distance_hold_and_meet():
+    """A text with replaced and doubled signs is settled in linear time, without the whole table."""
+    r = random.Random(8)
+    for _ in range(300):
+        a, b = ("".join(r.choices("abc.☃"[: r.randrange(1, 6)], k=r.randrange(1, 30))) for _ in "ab")
+        lower, upper = T.edit_bounds(*(np.array([*map(ord, t)], np.uint32) for t in (a, b)))
+        assert lower <= distance_by_hand(a, b) <= upper and T.edit_distance_bits(a, b) == distance_by_hand(a, b)
+    a = " ".join("".join(r.choices("abcdefgh", k=r.randrange(1, 9))) + "." * (i % 9 == 0) for i in range(200_000))
+    b = a.replace("e", "☃").replace(".", "..")
+    began = time.time()
+    assert T.edit_distance_bits(a, b) == a.count("e") + a.count(".") and time.time() - began < 15
