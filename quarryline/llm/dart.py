@@ -33,14 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from quarryline.llm.common import bare, clean_text, cut, with_numbers
+from quarryline.llm.common import bare, clean_text, cut, slices, with_numbers
 
 WORDS, NEAR = 5, 0.8
 BANDS, ROWS = 25, 5
 COORDINATES = BANDS * ROWS
 SPARE = 4
-#: Words that a worker remembers the hashes of; regions handled at once.
-REMEMBER, AT_ONCE = 500_000, 200_000
+#: Darts that a text throws on average, whatever its length.
+DARTS = int(COORDINATES * (np.log(COORDINATES) + SPARE))
+#: Words that a worker remembers the hashes of; regions and darts handled at once.
+REMEMBER, AT_ONCE = 100_000, 200_000
 TURNS, HOT_SHARE = 1, 1e-3
 #: Longs of a sketch: texts of some hundred words are told apart well, longer ones are compared.
 SKETCH = 12
@@ -158,7 +160,7 @@ def _banded():
 
         for t in texts:
             sets.append(shingles.weights(t))
-            size += int(sets[-1][1].sum())
+            size += int(sets[-1][1].sum()) + DARTS
             if size > AT_ONCE:
                 flush()
         flush()
@@ -187,7 +189,7 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             recent[text] = shingles.weights(text)
         return recent[text]
 
-    for b in batches:
+    for b in slices(batches):
         got = [similarity(weights(x), weights(y)) >= NEAR for x, y in zip(b["text_b"].to_pylist(), b["text_a"].to_pylist(), strict=True)]
         keep = pa.array(got, pa.bool_())
         yield pa.RecordBatch.from_arrays([b["a"].filter(keep), b["b"].filter(keep)], ["a", "b"])
@@ -202,7 +204,7 @@ def near_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingles = Shingles()
-    for b in batches:
+    for b in slices(batches):
         weight, bits = [], []
         for text in b["text"].to_pylist():
             h, n = shingles.weights(text)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarryline.llm.common import clean_text, cut
+from quarryline.llm.common import clean_text, cut, slices
 
 VOCABULARY = "word_bpe_49k.json"
 SEQUENCE = 2048
@@ -99,7 +99,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUE
 
     def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = words(path)
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
                 ids = own.encode(text) + bytes(4)

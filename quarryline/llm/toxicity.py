@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
-from quarryline.llm.common import bare, cut, drop, with_numbers
+from quarryline.llm.common import bare, cut, drop, slices, with_numbers
 from quarryline.llm.quality import labelled_rows, remainder
 
 SAMPLE = 3000
@@ -327,7 +327,7 @@ def scored(docs: DataFrame, labels: DataFrame, keep: list[str], mod: int = 3, he
     schema = StructType([*(docs.schema[k] for k in keep), StructField("__score", DoubleType())])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             bits = np.unpackbits(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1, bitorder="little", count=width)
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(1 / (1 + np.exp(-(bits @ w[:-1] + w[-1]))))], schema.names)
 

@@ -158,3 +158,26 @@ def test_only_the_sample_reaches_the_driver(spark):
 def test_query_blocks_are_not_broadcast(spark):
     rows = spark.range(400).select(F.col("id").alias("vec_id"), F.array(F.col("id") * 1.0, F.col("id") % 7 + 1.0).alias("embedding"))
     assert "BroadcastExchange" not in ann.search_every(rows)._jdf.queryExecution().executedPlan().toString() and "SortMergeJoin" in ann.search_every(rows)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_short_texts_throw_their_darts_in_bounded_turns():
+    import tracemalloc
+
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(20)) for _ in range(3000)]
+    one = [dart._banded()([t])[0].to_pylist()[0] for t in texts[::500]]
+    tracemalloc.start()
+    got = dart._banded()(texts)[0].to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[::500] == one and peak < 120e6
+
+
+def test_workers_get_few_texts_at_once(make_docs):
+    from pyspark.sql.types import LongType
+
+    from quarryline.llm.common import AT_ONCE, with_numbers
+
+    worker = lambda: lambda texts: [[len(texts)] * len(texts)]
+    got = with_numbers(make_docs(["one"] * 2000).coalesce(1), ["doc_id"], [("together", LongType())], worker)
+    assert got.count() == 2000 and got.agg(F.max("together")).first()[0] <= AT_ONCE
