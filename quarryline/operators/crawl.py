@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions.text import blank
 from quarryline.functions.urls import MAX_DEPTH, url_rejection
-from quarryline.operators.policy import origin_of, robots_allowed
+from quarryline.operators.policy import allowed_by, origin_of, robots_patterns
 from quarryline.sources.rounds import Rounds
 
 #: The most pages of a crawl, and how many times as many addresses its queue may take.
@@ -38,10 +38,11 @@ def _judged(level: DataFrame, sites: DataFrame, pages: DataFrame, robots: DataFr
     if robots is None:
         known = known.withColumn("__may", F.lit(True))
     else:
-        known = known.withColumn("__origin", origin_of(F.col("url"))).join(robots.select(F.col("origin").alias("__origin"), F.col("rules").alias("__rules")), "__origin", "left")
-        known = known.withColumn("__may", robots_allowed(F.col("url"), F.col("__rules"))).drop("__rules", "__origin")
-    rejected = url_rejection(F.col("url"), F.col("host"), F.col("depth"), max_depth)
-    taken = (rejected == "") & F.col("__may")
+        known = known.withColumn("__origin", origin_of(F.col("url"))).join(robots.select(F.col("origin").alias("__origin"), robots_patterns(F.col("rules")).alias("__rules")), "__origin", "left")
+        known = known.withColumn("__may", allowed_by(F.col("url"), F.col("__rules"))).drop("__rules", "__origin")
+    # Judged once, below the window, and not again wherever a reason asks for it.
+    known = known.withColumn("__rejected", url_rejection(F.col("url"), F.col("host"), F.col("depth"), max_depth))
+    rejected, taken = F.col("__rejected"), (F.col("__rejected") == "") & F.col("__may")
     before = Window.partitionBy("site").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     had = F.col("visited") + F.coalesce(F.sum(taken.cast("long")).over(before), F.lit(0))
     fault = F.when(F.col("__there").isNull(), "not captured").otherwise(F.nullif(blank(F.col("fetch_error")), F.lit("")))
@@ -54,7 +55,7 @@ def _judged(level: DataFrame, sites: DataFrame, pages: DataFrame, robots: DataFr
     status = F.when(reason == "", "visited").when(had >= max_pages, "skipped").when(taken, "failed").otherwise("skipped")
     # A page that was fetched counts as visited, whatever became of its text; a seed that wasn't ends its crawl.
     counted = taken & (had < max_pages) & ~(seed & (fault.isNotNull() | F.coalesce("is_pdf", F.lit(False))))
-    return known.withColumns({"status": status, "reason": reason, "counted": counted}).drop("__there", "__may", "host", "visited")
+    return known.withColumns({"status": status, "reason": reason, "counted": counted}).drop("__there", "__may", "__rejected", "host", "visited")
 
 
 def _admitted(links: DataFrame, queued: DataFrame, sites: DataFrame, cap: int) -> DataFrame:
@@ -85,27 +86,34 @@ def crawl(seeds: DataFrame, pages: DataFrame, robots: DataFrame | None = None, s
     for name, kind in (("fetch_error", "string"), ("page_error", "string"), ("is_pdf", "boolean"), ("links", "array<string>")):
         if name not in pages.columns:
             pages = pages.withColumn(name, F.lit(None).cast(kind))
+    fates = pages.select("url", "fetch_error", "page_error", "is_pdf")
     started = seeds.filter(blank(F.col("url")) != "")
     chosen = F.array_distinct(F.filter(F.coalesce("selected", F.array().cast("array<string>")), lambda u: (blank(u) != "") & (u != F.col("url"))))
     sites = ledger.put(started.select("site", "host", chosen.alias("selected"), F.lit(1).cast("long").alias("size"), F.lit(0).cast("long").alias("visited")))
     level = started.select("site", "url", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("place"))
     for depth in range(max_depth + 1):
-        judged = _judged(level, sites, pages, robots, max_depth, max_pages)
-        if scrape is not None:
-            took = judged.filter("status = 'visited'")
+        # Only what judges an address goes through the level's windows; links and texts meet the addresses that are taken, after.
+        judged = _judged(level, sites, fates, robots, max_depth, max_pages)
+        told = ["site", "url", "depth", "place", "status", "reason", "counted"]
+        expanded = (F.col("status") == "visited") & (F.col("depth") < max_depth)
+        if scrape is None:
+            done = queue.put(judged.select(*told))
+            linked = None if depth == max_depth else done.filter(expanded).select("site", "url", "place").join(pages.select("url", "links"), "url")
+        else:
+            judged = Rounds(spark, "crawl-judged").put(judged.select(*told))
             # Written before it is scraped, for the scraper may read it more than once.
-            took = Rounds(spark, "crawl-fetched").put(took.drop("status", "reason", "counted", "links", "page_error", "fetch_error", "is_pdf"))
-            seen = scrape(took).select("site", "url", F.col("links").alias("__links"), blank(F.col("page_error")).alias("__error"))
-            judged = judged.join(seen, ["site", "url"], "left").withColumns({"links": F.col("__links"), "reason": F.when(F.coalesce("__error", F.lit("")) != "", F.col("__error")).otherwise(F.col("reason"))})
+            took = judged.filter("status = 'visited'").select("url", "site", "depth", "place").join(pages.drop("links", "page_error", "fetch_error", "is_pdf"), "url")
+            seen = scrape(Rounds(spark, "crawl-fetched").put(took)).select("site", "url", "links", blank(F.col("page_error")).alias("__error"))
+            judged = judged.join(seen, ["site", "url"], "left").withColumn("reason", F.when(F.coalesce("__error", F.lit("")) != "", F.col("__error")).otherwise(F.col("reason")))
             judged = judged.withColumn("status", F.when((F.col("status") == "visited") & (F.col("reason") != ""), "failed").otherwise(F.col("status")))
-        # Links of pages that are expanded stay with them; other rows keep none.
-        kept = F.when((F.col("status") == "visited") & (F.col("depth") < max_depth), F.col("links"))
-        done = queue.put(judged.select("site", "url", "depth", "place", "status", "reason", "counted", kept.alias("links")))
+            # Links of pages that are expanded stay with them; other rows keep none.
+            done = queue.put(judged.select(*told, F.when(expanded, F.col("links")).alias("links")))
+            linked = done.filter("links is not null")
         if depth == max_depth:
             break
         spent = done.groupBy("site").agg(F.sum(F.col("counted").cast("long")).alias("spent"))
         sites = sites.join(spent, "site", "left").withColumn("visited", F.col("visited") + F.coalesce("spent", F.lit(0))).drop("spent")
-        links = done.filter("links is not null").select("site", "place", F.posexplode("links").alias("nth", "url")).select("site", "url", F.struct("place", "nth").alias("at")).filter(blank(F.col("url")) != "")
+        links = linked.select("site", "place", F.posexplode("links").alias("nth", "url")).select("site", "url", F.struct("place", "nth").alias("at")).filter(blank(F.col("url")) != "")
         queued = queue.all().select("site", "url")
         if depth == 0:
             # Sites whose seed was fetched go on with what was selected on it.

@@ -155,14 +155,25 @@ def robots_rules(files: DataFrame, agent: str) -> DataFrame:
     return files.select("origin", F.aggregate(pairs, start, step, lambda s: F.when(s["named"], s["own"]).otherwise(s["rest"])).alias("rules"))
 
 
+def robots_patterns(rules: Column) -> Column:
+    """Rules with the patterns of their paths, so that many addresses need them made once. In a rule * is anything, and a closing $ the end."""
+    # Quoted but for * and a closing $.
+    pattern = lambda p: F.concat(F.lit(r"^\Q"), F.regexp_replace(F.regexp_replace(p, r"\$$", ""), r"\*+", r"\\E.*\\Q"), F.when(p.rlike(r"\$$"), r"\E$").otherwise(r"\E"))
+    return F.transform(rules, lambda r: F.struct(r["allow"].alias("allow"), r["path"].alias("path"), pattern(r["path"]).alias("pattern")))
+
+
 def robots_allowed(url: Column, rules: Column) -> Column:
-    """Whether the first rule that an address's path and query fit allows it; no fitting rule does, unknown rules (null) don't. In a rule * is anything, and a closing $ the end."""
+    """Whether the first rule that an address's path and query fit allows it; no fitting rule does, unknown rules (null) don't."""
+    return allowed_by(url, robots_patterns(rules))
+
+
+def allowed_by(url: Column, patterns: Column) -> Column:
+    """robots_allowed, with the rules' patterns made before."""
     path = F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "")
     path = F.regexp_replace(F.when(path.rlike("^/"), path).otherwise(F.concat(F.lit("/"), path)), "#.*$", "")
-    # Quoted but for * and a closing $.
-    pattern = lambda p: F.concat(F.lit(r"^\Q"), F.regexp_replace(F.regexp_replace(p, r"\$$", ""), r"\*+", r"\\E.*\\Q"), F.when(p.rlike(r"\$$"), r"\E$").otherwise(r"\E"))
-    first = F.get(F.filter(rules, lambda r: (r["path"] == "") | F.regexp_like(path, pattern(r["path"]))), 0)
-    return F.when(rules.isNull(), False).otherwise(F.coalesce(first["allow"], F.lit(True)))
+    # An array of one path names it inside the lambda, so it is made once for all rules.
+    fits = F.flatten(F.transform(F.array(path), lambda u: F.filter(patterns, lambda r: (r["path"] == "") | F.regexp_like(u, r["pattern"]))))
+    return F.when(patterns.isNull(), False).otherwise(F.coalesce(F.get(fits, 0)["allow"], F.lit(True)))
 
 
 def robots_gate(urls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quarryline.operators import concepts, crawl, layout, policy
 from quarryline.plans.catalogue import _LAYOUT, _PLAIN_SQL
 from quarryline.plans.register import query, t
+from quarryline.sources.rounds import Rounds
 from quarryline.streaming import rotation
 
 #: The shop's robots file, and its rules in SQL for a path `/p/<number>`.
@@ -23,16 +24,20 @@ _SUPPLIER, _PART = "'http://shop.example/s/' || {}", "CASE WHEN {0} % 17 = 0 THE
 
 def _shop(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(seeds, pages, robots rules)."""
-    li = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", F.expr(_SUPPLIER.format("l_suppkey")).alias("s"), F.expr(_PART.format("l_partkey")).alias("p"))
-    linked = lambda src, dst: F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", F.col(dst).alias("to")))), lambda x: x["to"]).alias("links")
+    # A link counts where it comes first, so each is told once; pages are made once, for each level of a crawl reads them.
+    first = t(spark, sf, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.min(F.expr("l_orderkey * 10 + l_linenumber")).alias("n"))
+    li = first.select("n", "l_suppkey", "l_partkey", F.expr(_SUPPLIER.format("l_suppkey")).alias("s"), F.expr(_PART.format("l_partkey")).alias("p"))
+    linked = lambda dst: F.transform(F.array_sort(F.collect_list(F.struct("n", F.col(dst).alias("to")))), lambda x: x["to"]).alias("links")
     blank = F.lit(None).cast("string")
-    shops = li.groupBy(F.col("s").alias("url"), F.col("l_suppkey").alias("k")).agg(linked("s", "p"))
-    goods = li.groupBy(F.col("p").alias("url"), F.col("l_partkey").alias("k")).agg(linked("p", "s"))
-    pages = shops.select("url", "links", blank.alias("fetch_error"), blank.alias("page_error"), (F.col("k") % 10 == 3).alias("is_pdf")).unionByName(
-        goods.select("url", "links", F.when(F.col("k") % 11 == 5, "HTTP 500").alias("fetch_error"), F.when(F.col("k") % 13 == 6, "all_extraction_methods_failed").alias("page_error"), F.lit(False).alias("is_pdf"))
-    )
-    first = [f"http://shop.example/p/{i}" for i in (4, 3)]
-    seeds = li.select(F.col("l_suppkey").alias("site"), F.col("s").alias("url")).distinct().select("site", "url", F.lit("shop.example").alias("host"), F.array(*map(F.lit, first)).alias("selected"))
+    shops = li.groupBy(F.col("s").alias("url"), F.col("l_suppkey").alias("k")).agg(linked("p"))
+    goods = li.groupBy(F.col("p").alias("url"), F.col("l_partkey").alias("k")).agg(linked("s"))
+    made = shops.select("url", "links", blank.alias("fetch_error"), blank.alias("page_error"), (F.col("k") % 10 == 3).alias("is_pdf"), F.col("k").alias("site")).unionByName(
+        goods.select("url", "links", F.when(F.col("k") % 11 == 5, "HTTP 500").alias("fetch_error"), F.when(F.col("k") % 13 == 6, "all_extraction_methods_failed").alias("page_error"), F.lit(False).alias("is_pdf"), F.lit(None).cast("long").alias("site"))
+    )
+    kept = Rounds(spark, "shop-pages").put(made)
+    pages = kept.drop("site")
+    selected = [f"http://shop.example/p/{i}" for i in (4, 3)]
+    seeds = kept.filter("site is not null").select("site", "url", F.lit("shop.example").alias("host"), F.array(*map(F.lit, selected)).alias("selected"))
     robots = policy.robots_rules(spark.createDataFrame([("http://shop.example", ROBOTS)], "origin string, text string"), "research/1.0")
     return seeds, pages, robots
 

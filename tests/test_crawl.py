@@ -216,3 +216,20 @@ def test_rounds(spark):
         assert r.put(spark.range(i).withColumn("n", F.lit(i))).count() == i
     assert r.all().count() == 3 and {x.n for x in r.last().collect()} == {2}
     r.drop()
+
+
+def test_links_of_pages_that_are_not_expanded_are_not_moved(spark):
+    """Many sites end at pages with many links each: what is shuffled doesn't grow with those links."""
+    seeds = spark.createDataFrame([(i, f"{HOST}/s/{i}", "regulator.example", None) for i in range(40)], "site int, url string, host string, selected array<string>")
+    start = spark.range(40).select(F.format_string(HOST + "/s/%d", "id").alias("url"), F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: F.format_string(HOST + "/hub/%d", k)).alias("links"))
+    hubs = spark.range(20).select(F.format_string(HOST + "/hub/%d", "id").alias("url"), F.transform(F.sequence(F.lit(0), F.lit(2999)), lambda k: F.sha2(F.concat(F.col("id"), F.lit("/"), k).cast("binary"), 256)).alias("links"))
+    context = spark.sparkContext
+
+    def shuffled():
+        context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+        return sum({stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}.values())
+
+    before = shuffled()
+    got = crawl.crawl(seeds, start.unionByName(hubs), max_depth=1).groupBy("status").count().collect()
+    assert {r["status"]: r["count"] for r in got} == {"visited": 40 * 21} and shuffled() - before < 20e6
