@@ -9,16 +9,20 @@ moved once, and all its candidates are verified on the whole of it in one Arrow
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quarryline.functions.text import _W, blank
 
 GRAM = 3
 #: The most keys and characters of a pattern table that is sent to all tasks.
 MOST_ROWS, MOST_CHARS = 200_000, 8_000_000
+#: Found patterns that leave a worker at once.
+FOUND_ROWS = 10_000
 
 
 def keys_of(text: Column, words: bool, lengths: tuple[int, ...] = (GRAM,)) -> Column:
@@ -53,6 +57,20 @@ def _starts(text: str | None, patterns: list[str], words: bool) -> list[dict]:
     return out
 
 
+def _found(batches: Iterator[pa.RecordBatch], words: bool, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """A row for each pattern that a text holds. Texts are taken from a batch one by one, and what is found leaves in small batches, so a worker holds few objects however many patterns texts hold."""
+    for b in batches:
+        of, found, starts = [], [], []
+        for i in range(b.num_rows):
+            for f in _starts(b.column(1)[i].as_py(), b.column(2)[i].as_py(), words):
+                of.append(i)
+                found.append(f["pattern"])
+                starts.append(f["start"])
+            if len(of) >= FOUND_ROWS or (of and i == b.num_rows - 1):
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int64())), pa.array(found, pa.string()), pa.array(starts, pa.int64())], names)
+                of, found, starts = [], [], []
+
+
 def dictionary_join(texts: DataFrame, patterns: DataFrame, key: str, text: str = "text", words: bool = True) -> DataFrame:
     """(key, pattern, start) of the patterns that texts hold, each at its first place. texts: (key, text, ..), key telling rows apart; patterns: (pattern).
 
@@ -79,9 +97,9 @@ def dictionary_join(texts: DataFrame, patterns: DataFrame, key: str, text: str =
     rarest = owned.join(count, "__k", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("__n"), "__k")).alias("r")).filter("r.__n > 0").select("pattern", F.col("r.__k").alias("__k"))
     candidates = held.join(near(rarest), "__k").groupBy(key).agg(F.collect_set("pattern").alias("__patterns"))
     # All candidates of a text are looked for at once, beside it; they are no more than what its own keys call for.
-    verify = F.pandas_udf(lambda t, p: pd.Series([_starts(x if isinstance(x, str) else "", list(y), words) for x, y in zip(t, p, strict=True)], dtype=object), "array<struct<pattern:string,start:long>>")
-    met = texts.select(key, F.col(text).alias("__text")).join(candidates, key)
-    return met.select(key, F.explode(verify(F.col("__text"), F.col("__patterns"))).alias("__f")).select(key, "__f.pattern", "__f.start")
+    met = texts.select(key, F.col(text).alias("__text")).join(candidates, key).select(key, "__text", "__patterns")
+    kind = StructType([met.schema[key], StructField("pattern", StringType()), StructField("start", LongType())])
+    return met.mapInArrow(lambda batches: _found(batches, words, kind.names), kind)
 
 
 def first_scaffold(urls: DataFrame, scaffolds: DataFrame, key: str, netloc: str = "netloc") -> DataFrame:

@@ -197,3 +197,13 @@ def test_bounds_of_the_edit_distance_hold_and_meet():
     b = a.replace("e", "☃").replace(".", "..")
     began = time.time()
     assert T.edit_distance_bits(a, b) == a.count("e") + a.count(".") and time.time() - began < 15
+
+
+def test_found_patterns_leave_a_worker_in_small_batches():
+    import pyarrow as pa
+
+    many = [f"word{i}" for i in range(900)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array([" ".join(many)] * 49 + [None]), pa.array([many] * 50)], ["k", "t", "p"])
+    got = list(dictionary._found(iter([batch]), True, ["k", "pattern", "start"]))
+    assert max(b.num_rows for b in got) < dictionary.FOUND_ROWS + len(many) and sum(b.num_rows for b in got) == 49 * 900
+    assert got[0].slice(1, 1).to_pylist() == [{"k": 0, "pattern": "word1", "start": 7}]
