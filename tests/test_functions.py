@@ -118,3 +118,15 @@ def test_decode(spark):
 
     df = spark.createDataFrame([(bytearray(gzip.compress("é".encode("latin-1"))), "text/html; charset=latin-1", "gzip"), (bytearray(b"\xff"), "text/html", ""), (None, None, None)], "b binary, k string, e string")
     assert [r[0] for r in df.select(H.decode_body(F.col("b"), F.col("k"), F.col("e"))).collect()] == ["é", "�", None]
+
+
+def test_pages_are_parsed_in_small_slices():
+    import pyarrow as pa
+
+    from quarryline.functions import html
+
+    pages = pa.array([f"<body><nav>x</nav><p>{i}</p></body>" for i in range(1000)])
+    got = list(html.in_slices(html.strip_html, pa.string())(iter([pages])))
+    assert max(map(len, got)) <= html.AT_ONCE and [t for a in got for t in a.to_pylist()] == [f"<body><p>{i}</p></body>" for i in range(1000)]
+    both = list(html.in_slices(lambda a, b: f"{a}{b}", pa.string())(iter([(pages, pages)])))
+    assert sum(map(len, both)) == 1000
