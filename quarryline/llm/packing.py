@@ -36,7 +36,7 @@ SEQUENCE = 2048
 #: Salts of a length's ranks; the counts by length and salt, at most SEQUENCE * SALTS, go to the driver.
 SALTS = 32
 #: Words of a generation that a worker remembers, most documents of a pattern, partners tried for each length.
-REMEMBER, MOST, PARTNERS = 400_000, 4, 12
+REMEMBER, MOST, PARTNERS = 200_000, 4, 12
 
 #: Texts of these characters alone have one lower case and are their own composed form, so the tokenizer's steps can be taken apart.
 _PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
@@ -79,6 +79,10 @@ class Words:
             known[piece] = self._ids(piece) if (had := old.get(piece)) is None else had
         return b"".join(map(known.__getitem__, pieces))
 
+    def forget(self) -> None:
+        """A worker that waits for other stages' tasks holds no pieces."""
+        self.known, self.old = {}, {}
+
     def _ids(self, piece: str) -> bytes:
         shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
         return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(shown))
@@ -99,15 +103,18 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUE
 
     def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = words(path)
-        for b in slices(batches):
-            rows = []
-            for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
-                ids = own.encode(text) + bytes(4)
-                for n, at in enumerate(range(0, len(ids), 4 * sequence)):
-                    part = ids[at : at + 4 * sequence]
-                    rows.append((doc_id, n, at // 4, len(part) // 4, zlib.crc32(part)))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PIECE_SCHEMA, strict=True)], schema=_PIECE_SCHEMA)
+        try:
+            for b in slices(batches):
+                rows = []
+                for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
+                    ids = own.encode(text) + bytes(4)
+                    for n, at in enumerate(range(0, len(ids), 4 * sequence)):
+                        part = ids[at : at + 4 * sequence]
+                        rows.append((doc_id, n, at // 4, len(part) // 4, zlib.crc32(part)))
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PIECE_SCHEMA, strict=True)], schema=_PIECE_SCHEMA)
+        finally:
+            own.forget()
 
     return docs.select("doc_id", clean_text().alias("text")).mapInArrow(here, _PIECES)
 

@@ -91,3 +91,13 @@ def test_plan_holds_and_is_tight(seed):
         assert at <= size
     total = sum(k * n for k, n in histogram.items())
     assert len(used) <= 1.1 * max(-(-total // size), sum(n for k, n in histogram.items() if 2 * k > size)) + 2
+
+
+def test_idle_workers_hold_no_pieces():
+    import public_tokenizers
+
+    own = packing.words(public_tokenizers.path(packing.VOCABULARY))
+    ids = own.encode("some plain words")
+    assert own.known
+    own.forget()
+    assert not own.known and not own.old and own.encode("some plain words") == ids
