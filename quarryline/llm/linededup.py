@@ -54,6 +54,11 @@ def _class(n: Column) -> Column:
     return F.floor(F.log2(n.cast("double")) + 1e-9).cast("int")
 
 
+def _newlines(text: str) -> Column:
+    """The number of newlines of a text, by bytes, so that no characters are counted."""
+    return F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
     """docs, null texts empty, with a unique number __n that follows doc_id, and the bits that a line's place needs.
 
@@ -61,7 +66,7 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
     into ordered ranges, and the texts joined to their ranks.
     """
     rows = docs.withColumns({"__null": F.col("text").isNull(), "text": clean_text()})
-    lines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
+    lines = _newlines("text") + 1
     s = rows.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"), F.count("doc_id").alias("ids"), F.max(lines).alias("lines")).first()
     bits = int(s["lines"] or 1).bit_length()
     unique = s["n"] == s["ids"] and not rows.groupBy("doc_id").count().filter("count > 1").limit(1).count()
@@ -79,18 +84,19 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
 
 
 def line_words(line: Column) -> Column:
+    """A line's words, with an empty one wherever two blanks meet."""
     plain = F.when(line.rlike("[\t\r\f]"), F.regexp_replace(line, "[\t\r\f]", " ")).otherwise(line)
-    return F.array_remove(F.split(plain, " "), "")
+    return F.split(plain, " ")
 
 
-def _bucket(word: str | Column) -> Column:
-    return F.shiftrightunsigned(F.hash(word), 32 - BUCKETS_BITS)
+def _bucket(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - BUCKETS_BITS)
 
 
 def rarity(rows: DataFrame) -> Column:
     """For each hash bucket twice the logarithm of how many words of all texts fall into it, as one constant array."""
     word = F.explode_outer(F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " "))
-    counts = rows.select(word.alias("w")).groupBy(_bucket("w").alias("b")).count()
+    counts = rows.select(word.alias("w")).groupBy(_bucket(F.xxhash64("w")).alias("b")).count()
     by = {r["b"]: r["r"] for r in counts.select("b", F.floor(F.log2(F.col("count")) * 2).alias("r")).collect()}  # at most 2 ** BUCKETS_BITS rows
     return F.split(F.lit(",".join(str(by.get(b, 0)) for b in range(1 << BUCKETS_BITS))), ",").cast("array<long>")
 
@@ -140,9 +146,12 @@ def _copies(rows: DataFrame, bits: int) -> DataFrame:
 
 def _codes(line: Column, ranks: Column) -> Column:
     """A line's distinct tokens' codes, rarest first."""
-    rank = lambda w: F.coalesce(F.get(ranks, _bucket(w)), F.lit(0).cast("long"))
-    code = lambda w: F.shiftleft(rank(w), _LOW).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << _LOW) - 1)))
-    return F.sort_array(F.array_distinct(F.transform(line_words(line), code)))
+    # A function of an array's elements is interpreted, node by node, so words are hashed once, and the empty one is dropped by its hash.
+    hashes = F.transform(line_words(line), lambda w: F.xxhash64(w))
+    words = F.array_distinct(F.array_remove(hashes, F.xxhash64(F.lit(""))))
+    # Without coalesce the array might hold nulls by its type, and would be sorted as objects.
+    rank = lambda h: F.coalesce(ranks[_bucket(h)], F.lit(0).cast("long"))
+    return F.sort_array(F.transform(words, lambda h: F.shiftleft(rank(h), _LOW).bitwiseOR(h.bitwiseAND(F.lit((1 << _LOW) - 1)))))
 
 
 def _token_sets(lines: DataFrame, ranks: Column) -> DataFrame:
@@ -235,13 +244,20 @@ def _led(sets: DataFrame) -> DataFrame:
     n, i, token = F.col("n"), F.col("i"), F.col("token")
     parts = F.call_function("shiftleft", F.lit(1), F.greatest(F.lit(0), F.least(F.lit(20), F.floor(F.shiftright(token, _LOW) / 2).cast("int") - PART_BITS)))
     keyed = _tokens(sets).filter(_ahead(n, i)).select(F.xxhash64("token", _class(n), F.pmod("ord", parts)).alias("key"), "ord", _x(n, i, F.lit(0)).alias("x"), "s", "s2")
-    led = keyed.withColumn("lead", F.first(F.struct("ord", "x", "s", "s2")).over(Window.partitionBy("key").orderBy("ord"))).filter("lead.ord < ord")
+    led = keyed.withColumn("lead", F.nth_value(F.struct("ord", "x", "s", "s2"), 1).over(Window.partitionBy("key").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).filter("lead.ord < ord")
     fits = _fits(F.col, lambda c: F.col(f"lead.{c}"))
     return led.filter(fits).select(F.col("ord").alias("a"), F.col("lead.ord").alias("b")).distinct()
 
 
-def _without(sets: DataFrame, gone: DataFrame) -> DataFrame:
-    return sets.join(_sent(gone, gone.count()), "ord", "left_anti")
+def _without(sets: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sets that are not gone, and the table that holds them: sets itself where gone is sent to all executors, else one that is written, and sets is deleted."""
+    n = gone.count()
+    left = sets.join(_sent(gone, n), "ord", "left_anti")
+    if n <= BROADCAST_ROWS:
+        return left, sets
+    left = cut(left, "line-left")
+    drop(sets)
+    return left, left
 
 
 def matches(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
@@ -254,9 +270,8 @@ def matches(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
 
     led = cut(_led(sets), "line-led")
     gone = _verified(led, rows, ranks, bits)
-    left = cut(_without(sets, gone), "line-left")
     lost = cut(sets.join(_sent(gone, gone.count()), "ord", "left_semi"), "line-lost")
-    drop(sets)
+    left, held = _without(sets, gone)
 
     keyed = _keyed(left)
     among = cut(_pairs(_side(keyed, "a").join(_side(keyed, "b"), (F.col("key_a") == F.col("key_b")) & _may_match("a", "b"))), "line-among")
@@ -264,7 +279,7 @@ def matches(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     new = keyed.join(_sent(keys, keys.count()), "key", "left_semi")
     meets = (F.col("key_a") == F.col("key_b")) & (F.col("ord_a") > F.col("ord_b")) & (_may_match("a", "b") | _may_match("b", "a"))
     after = cut(_pairs(_side(new, "a").join(_side(old, "b"), meets)).join(led, ["a", "b"], "left_anti"), "line-after")
-    drop(left, lost, keys, led)
+    drop(held, lost, keys, led)
     late = _verified(among.unionByName(after), rows, ranks, bits)
     removed = cut(copies.unionByName(gone).unionByName(late).distinct(), "line-removed")
     drop(copies, gone, late, among, after)
@@ -274,7 +289,7 @@ def matches(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
 def removed_lines(docs: DataFrame) -> DataFrame:
     """Every document with its number of lines, of removed ones, and their places (from 0)."""
     rows, removed, bits = matches(docs.select("doc_id", "text"))
-    lines = (F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1).cast("long")
+    lines = (_newlines("text") + 1).cast("long")
     got = rows.select("doc_id", "__n", lines.alias("n_lines")).join(_places(removed, bits), "__n", "left")
     places = F.coalesce("places", F.array().cast("array<int>"))
     return got.select("doc_id", "n_lines", F.size(places).cast("long").alias("n_removed"), places.alias("removed_lines"))

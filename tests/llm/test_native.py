@@ -89,6 +89,22 @@ def test_lines_by_brute_force(make_docs, seed):
     assert got == brute_lines(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("sent", [1_000_000, 0])
+def test_lines_left_are_written_only_if_many_are_gone(make_docs, monkeypatch, sent):
+    tags, cut = [], ld.cut
+    monkeypatch.setattr(ld, "cut", lambda df, tag: tags.append(tag) or cut(df, tag))
+    monkeypatch.setattr(ld, "BROADCAST_ROWS", sent)
+    base = [f"w{i}" for i in range(30)]
+    texts = [" ".join(base), "  ".join(base[1:]) + " \t", "\t".join(base[2:] + ["x"]) + "\n\n \t", "a  b", "a b\n" + " ".join(base[5:])]
+    got = {(r.doc_id, i) for r in ld.removed_lines(make_docs(texts)).collect() for i in r.removed_lines}
+    assert got == brute_lines(list(enumerate(texts))) and ("line-left" in tags) == (not sent)
+
+
+def test_words_are_hashed_once(make_docs):
+    plan = make_docs(["a  b"]).select(ld._codes(F.col("text"), F.array(F.lit(0).cast("long"))).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"(?<!\w)(?:xx)?hash(?:64)?\(lambda", plan)) == 1 and "array_remove(split" not in plan
+
+
 def test_lines_odd_rows(odd_docs, no_docs, odd_texts):
     rows = ld.removed_lines(odd_docs).collect()
     assert len(rows) == len(odd_texts) + 2 and all(r.n_removed == len(r.removed_lines) <= r.n_lines for r in rows)
