@@ -1,6 +1,8 @@
 """The pipeline's stages, each on what the one before kept, and the registered queries."""
 
 import corpus_pipeline as cp
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -42,3 +44,24 @@ def test_names_of_other_columns_never_clash(spark, make_docs, labels):
     for out in (linededup.dedup_lines(docs), dart.keep_one(docs), quality.keep_good(docs, marks), toxicity.keep_civil(docs, marks)):
         assert out.columns == docs.columns
         assert all(list(r)[3:] == [f"v {n}" for n in names] for r in out.collect())
+
+
+@pytest.mark.parametrize("at", [0, 1, 3, 4])
+def test_stages_send_workers_few_rows_at_once(spark, sf, at):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 10_000)
+    try:
+        cp.STAGES[at][1](spark, table(spark, sf, "documents"), sf)
+        counted = spark.range(0, 3000, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long")
+        assert max(r.n for r in counted.collect()) <= 1024
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_a_kept_text_is_sent_once(make_docs, labels):
+    docs, marks = make_docs(["a text", None, "another"]), labels([(i, i % 2, 0, "x") for i in range(3)])
+    sent = quality.scored(docs, marks, ["doc_id", "text"])
+    plan = sent._jdf.queryExecution().analyzed().toString().splitlines()
+    assert plan[1].count(",") == 1, plan
+    assert sorted((r.doc_id, r.text) for r in sent.collect()) == [(0, "a text"), (1, None), (2, "another")]
