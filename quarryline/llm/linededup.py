@@ -54,9 +54,13 @@ def _class(n: Column) -> Column:
     return F.floor(F.log2(n.cast("double")) + 1e-9).cast("int")
 
 
-def _newlines(text: str) -> Column:
-    """The number of newlines of a text, by bytes, so that no characters are counted."""
-    return F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
+def _n_lines(text: str) -> Column:
+    return F.size(F.split(text, "\n"))
+
+
+def _blank(line: str) -> Column:
+    """Whether a line has no words; only its first other character is looked for."""
+    return F.ltrim(line, F.lit(_BLANK)) == ""
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -66,8 +70,7 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
     into ordered ranges, and the texts joined to their ranks.
     """
     rows = docs.withColumns({"__null": F.col("text").isNull(), "text": clean_text()})
-    lines = _newlines("text") + 1
-    s = rows.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"), F.count("doc_id").alias("ids"), F.max(lines).alias("lines")).first()
+    s = rows.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"), F.count("doc_id").alias("ids"), F.max(_n_lines("text")).alias("lines")).first()
     bits = int(s["lines"] or 1).bit_length()
     unique = s["n"] == s["ids"] and not rows.groupBy("doc_id").count().filter("count > 1").limit(1).count()
     if unique and (not s["n"] or s["b"] - s["a"] < 1 << (62 - bits)):
@@ -85,7 +88,8 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
 
 def line_words(line: Column) -> Column:
     """A line's words, with an empty one wherever two blanks meet."""
-    plain = F.when(line.rlike("[\t\r\f]"), F.regexp_replace(line, "[\t\r\f]", " ")).otherwise(line)
+    other = line.contains("\t") | line.contains("\r") | line.contains("\f")  # no pattern, as most lines have none
+    plain = F.when(other, F.regexp_replace(line, "[\t\r\f]", " ")).otherwise(line)
     return F.split(plain, " ")
 
 
@@ -95,8 +99,8 @@ def _bucket(h: Column) -> Column:
 
 def rarity(rows: DataFrame) -> Column:
     """For each hash bucket twice the logarithm of how many words of all texts fall into it, as one constant array."""
-    word = F.explode_outer(F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " "))
-    counts = rows.select(word.alias("w")).groupBy(_bucket(F.xxhash64("w")).alias("b")).count()
+    lines = rows.select(F.explode_outer(F.split("text", "\n")).alias("line"))
+    counts = lines.select(F.explode_outer(F.split("line", " ")).alias("w")).groupBy(_bucket(F.xxhash64("w")).alias("b")).count()
     by = {r["b"]: r["r"] for r in counts.select("b", F.floor(F.log2(F.col("count")) * 2).alias("r")).collect()}  # at most 2 ** BUCKETS_BITS rows
     return F.split(F.lit(",".join(str(by.get(b, 0)) for b in range(1 << BUCKETS_BITS))), ",").cast("array<long>")
 
@@ -131,7 +135,7 @@ def _lines(rows: DataFrame, bits: int, ords: DataFrame | None = None, wanted: bo
         lines, rows = F.transform(lines, lambda x, i: F.when(_is_marked(F.col("marks"), i) == F.lit(wanted), x)), marked
     # The outer form spares a filter that would split the texts once more.
     each = rows.select("__n", F.posexplode_outer(lines).alias("pos", "line"))
-    return each.filter(F.btrim("line", F.lit(_BLANK)) != "").select((F.shiftleft(F.col("__n"), bits) + F.col("pos")).alias("ord"), "line")
+    return each.filter(~_blank("line")).select((F.shiftleft(F.col("__n"), bits) + F.col("pos")).alias("ord"), "line")
 
 
 def _copies(rows: DataFrame, bits: int) -> DataFrame:
@@ -146,12 +150,12 @@ def _copies(rows: DataFrame, bits: int) -> DataFrame:
 
 def _codes(line: Column, ranks: Column) -> Column:
     """A line's distinct tokens' codes, rarest first."""
-    # A function of an array's elements is interpreted, node by node, so words are hashed once, and the empty one is dropped by its hash.
+    # A function of an array's elements is interpreted, with all that it is applied to. So words are hashed once, and what is not such a function comes last: it is compiled and works on plain numbers.
     hashes = F.transform(line_words(line), lambda w: F.xxhash64(w))
-    words = F.array_distinct(F.array_remove(hashes, F.xxhash64(F.lit(""))))
     # Without coalesce the array might hold nulls by its type, and would be sorted as objects.
-    rank = lambda h: F.coalesce(ranks[_bucket(h)], F.lit(0).cast("long"))
-    return F.sort_array(F.transform(words, lambda h: F.shiftleft(rank(h), _LOW).bitwiseOR(h.bitwiseAND(F.lit((1 << _LOW) - 1)))))
+    rank = lambda h: F.coalesce(F.get(ranks, _bucket(h)), F.lit(0).cast("long"))
+    code = lambda h: F.shiftleft(rank(h), _LOW).bitwiseOR(h.bitwiseAND(F.lit((1 << _LOW) - 1)))
+    return F.sort_array(F.array_distinct(F.array_remove(F.transform(hashes, code), code(F.xxhash64(F.lit(""))))))
 
 
 def _token_sets(lines: DataFrame, ranks: Column) -> DataFrame:
@@ -244,7 +248,8 @@ def _led(sets: DataFrame) -> DataFrame:
     n, i, token = F.col("n"), F.col("i"), F.col("token")
     parts = F.call_function("shiftleft", F.lit(1), F.greatest(F.lit(0), F.least(F.lit(20), F.floor(F.shiftright(token, _LOW) / 2).cast("int") - PART_BITS)))
     keyed = _tokens(sets).filter(_ahead(n, i)).select(F.xxhash64("token", _class(n), F.pmod("ord", parts)).alias("key"), "ord", _x(n, i, F.lit(0)).alias("x"), "s", "s2")
-    led = keyed.withColumn("lead", F.nth_value(F.struct("ord", "x", "s", "s2"), 1).over(Window.partitionBy("key").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).filter("lead.ord < ord")
+    # A window without an order sorts by the key alone, a number, so by radix.
+    led = keyed.withColumn("lead", F.min_by(F.struct("ord", "x", "s", "s2"), "ord").over(Window.partitionBy("key"))).filter("lead.ord < ord")
     fits = _fits(F.col, lambda c: F.col(f"lead.{c}"))
     return led.filter(fits).select(F.col("ord").alias("a"), F.col("lead.ord").alias("b")).distinct()
 
@@ -289,8 +294,7 @@ def matches(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
 def removed_lines(docs: DataFrame) -> DataFrame:
     """Every document with its number of lines, of removed ones, and their places (from 0)."""
     rows, removed, bits = matches(docs.select("doc_id", "text"))
-    lines = (_newlines("text") + 1).cast("long")
-    got = rows.select("doc_id", "__n", lines.alias("n_lines")).join(_places(removed, bits), "__n", "left")
+    got = rows.select("doc_id", "__n", _n_lines("text").cast("long").alias("n_lines")).join(_places(removed, bits), "__n", "left")
     places = F.coalesce("places", F.array().cast("array<int>"))
     return got.select("doc_id", "n_lines", F.size(places).cast("long").alias("n_removed"), places.alias("removed_lines"))
 

@@ -105,6 +105,24 @@ def test_words_are_hashed_once(make_docs):
     assert len(re.findall(r"(?<!\w)(?:xx)?hash(?:64)?\(lambda", plan)) == 1 and "array_remove(split" not in plan
 
 
+def test_codes_are_made_apart_from_interpreted_functions(make_docs):
+    """What drops and sorts a line's codes is above all functions of elements, so it is compiled; no line is searched from its end or by a pattern to see whether it has words."""
+    zero = F.array(F.lit(0).cast("long"))
+    lines = ld._lines(make_docs(["a  b"]).withColumn("__n", F.col("doc_id")), 4)
+    plan = lines.select("ord", ld._codes(F.col("line"), zero).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct(array_remove(transform(transform(" in plan
+    assert "trim(both" not in plan.lower() and "btrim" not in plan and "RLIKE" not in plan
+
+
+def test_first_round_sorts_by_the_key_alone(make_docs):
+    docs = make_docs(["a b c d e f g h i j k l", "a b c d e f g h i j k m"])
+    zero = F.array(F.lit(0).cast("long"))
+    sets = ld._token_sets(docs.select(F.col("doc_id").alias("ord"), F.col("text").alias("line")), zero)
+    plan = ld._led(sets)._jdf.queryExecution().sparkPlan().toString()
+    assert re.search(r"windowspecdefinition\(key#\d+L?, specifiedwindowframe", plan), plan
+    assert [(r.a, r.b) for r in ld._led(sets).collect()] in ([(1, 0)], [])
+
+
 def test_lines_odd_rows(odd_docs, no_docs, odd_texts):
     rows = ld.removed_lines(odd_docs).collect()
     assert len(rows) == len(odd_texts) + 2 and all(r.n_removed == len(r.removed_lines) <= r.n_lines for r in rows)
