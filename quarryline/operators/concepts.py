@@ -20,14 +20,18 @@ from quarryline.sources.rounds import Rounds
 
 THETA, TOP, DAMPING, TOLERANCE, ROUNDS = 0.4, 5, 0.85, 1e-10, 200
 _LEAST = 1e-9
-#: The most nodes of a block on average.
-BLOCK = 8192
+#: The most nodes of a block on average; its tags that are summed by a product of matrices: so many at most, and of so great a share of the nodes; rows at once.
+BLOCK, OFTEN, SHARE, STRIP = 8192, 512, 0.06, 64
 
 
 def tag_weights(nodes: DataFrame) -> DataFrame:
     """(tag, f, w): f of n nodes have the tag, and w is ln(1 + n / f)."""
     one = nodes.select("node", F.explode("tags").alias("tag")).distinct()
-    n = nodes.select("node").distinct().agg(F.count("*").alias("n"))  # one row
+    return _weighed(one, nodes.select("node").distinct())
+
+
+def _weighed(one: DataFrame, names: DataFrame) -> DataFrame:
+    n = names.agg(F.count("*").alias("n"))  # one row
     return one.groupBy("tag").agg(F.count("*").alias("f")).join(F.broadcast(n)).select("tag", "f", F.log1p(F.col("n") / F.col("f")).alias("w"))
 
 
@@ -63,30 +67,54 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Block:
     def __init__(self, row: dict, side: str):
         get = lambda name, kind: np.frombuffer(row[f"{name}_{side}"], kind)
-        self.ids, self.w, self.starts, self.places, self.totals = get("ids", np.int64), get("w", np.float64), get("starts", np.int64), get("places", np.int32), get("totals", np.float64)
+        self.ids, self.w, self.starts, self.places, self.totals = get("ids", np.int64), get("w", np.float64), get("starts", np.int64), get("places", np.int32).astype(np.intp), get("totals", np.float64)
+
+    def by_node(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of some of the block's tags (a mask), the places of each node's, node by node, and where each node's begin."""
+        tag = np.repeat(np.arange(len(self.ids)), np.diff(self.starts))
+        here = some[tag]
+        tag, places = tag[here], self.places[here]
+        return tag[np.argsort(places, kind="stable")], np.r_[0, np.cumsum(np.bincount(places, minlength=len(self.totals)))]
 
-    def by_node(self) -> tuple[np.ndarray, np.ndarray]:
-        """The places of each node's tags among the block's, node by node, and where each node's begin."""
-        tag = np.repeat(np.arange(len(self.ids)), np.diff(self.starts))[np.argsort(self.places, kind="stable")]
-        return tag, np.r_[0, np.cumsum(np.bincount(self.places, minlength=len(self.totals)))]
+    def table(self, tags: np.ndarray) -> np.ndarray:
+        """One row for each of the tags (by place), one column for each node: 1.0 where the node has the tag."""
+        out = np.zeros((len(tags), len(self.totals)))
+        for row, t in zip(out, tags.tolist()):
+            row[self.places[self.starts[t] : self.starts[t + 1]]] = 1.0
+        return out
 
 
 def _likeness(x: _Block, y: _Block) -> Iterator[tuple[int, np.ndarray]]:
-    """For each node of x by place, its weighted Jaccard with every node of y."""
-    at = np.searchsorted(y.ids, x.ids)
-    known = at < len(y.ids)
-    known[known] = y.ids[at[known]] == x.ids[known]
-    tags, begins = x.by_node()
-    sizes = np.diff(y.starts)
-    for i, total in enumerate(x.totals):
-        mine = tags[begins[i] : begins[i + 1]]
-        mine = mine[known[mine]]
-        there = at[mine]
-        n = sizes[there]
-        ends = np.cumsum(n)
-        met = y.places[np.arange(ends[-1] if len(ends) else 0) + np.repeat(y.starts[there] - (ends - n), n)]
-        common = np.bincount(met, np.repeat(x.w[mine], n), len(y.totals))
-        yield i, common / (total + y.totals - common)
+    """The weighted Jaccard of x's nodes with y's, some rows of it at once: the place of the first, and the rows.
+
+    Tags that many nodes have are summed by a product of matrices, the others through their nodes.
+    """
+    ids, mine, there = np.intersect1d(x.ids, y.ids, assume_unique=True, return_indices=True)
+    at = np.zeros(len(x.ids), np.intp)
+    at[mine] = there
+    share = np.diff(x.starts)[mine] * np.diff(y.starts)[there] / max(len(x.totals) * len(y.totals), 1)
+    often = np.argsort(-share, kind="stable")[:OFTEN]
+    often = often[share[often] >= SHARE**2]
+    left, right = (x.table(mine[often]) * x.w[mine[often], None]).T, y.table(there[often])
+    rare = np.zeros(len(x.ids), bool)
+    rare[mine] = True
+    rare[mine[often]] = False
+    tags, begins = x.by_node(rare)
+    first, sizes = y.starts[at], np.diff(y.starts)[at] if len(y.ids) else at
+    for lo in range(0, len(x.totals), STRIP):
+        hi = min(lo + STRIP, len(x.totals))
+        common = left[lo:hi] @ right
+        for i in range(lo, hi):
+            t = tags[begins[i] : begins[i + 1]]
+            if len(t):
+                n = sizes[t]
+                ends = np.cumsum(n)
+                met = y.places[np.arange(ends[-1]) + np.repeat(first[t] - (ends - n), n)]
+                common[i - lo] += np.bincount(met, np.repeat(x.w[t], n), len(y.totals))
+        rest = x.totals[lo:hi, None] + y.totals
+        rest -= common
+        common /= rest
+        yield lo, common
 
 
 def _floor(theta: float) -> float:
@@ -104,22 +132,65 @@ def _nearest(weights: np.ndarray, theta: float, k: int) -> np.ndarray:
     return near[at - np.maximum.accumulate(np.where(np.r_[True, w[1:] != w[:-1]], at, 0)) < k]
 
 
+class _Columns:
+    """Of rows that come in turn, what can be among the k best of each column, as _nearest() has it."""
+
+    def __init__(self, n: int, theta: float, k: int):
+        self.k, self.least = k, np.full(n, _floor(theta))
+        self.i, self.j, self.w = np.zeros(0, np.intp), np.zeros(0, np.intp), np.zeros(0)
+
+    def add(self, lo: int, rows: np.ndarray) -> None:
+        if not len(self.w) and len(rows) > self.k:
+            np.maximum(self.least, np.partition(rows, len(rows) - self.k, axis=0)[len(rows) - self.k] - 2e-9, out=self.least)
+        at = np.flatnonzero(rows >= self.least)
+        if not len(at):
+            return
+        i, j = np.divmod(at, rows.shape[1])
+        i, j, w = np.r_[self.i, i + lo], np.r_[self.j, j], np.r_[self.w, rows.ravel()[at]]
+        order = np.lexsort((i, -w, j))
+        i, j, w, n = i[order], j[order], w[order], np.arange(len(order))
+        begins = np.r_[True, j[1:] != j[:-1]]
+        nth = n - np.maximum.accumulate(np.where(begins, n, 0))
+        last = nth == self.k - 1
+        self.least[j[last]] = np.maximum(self.least[j[last]], w[last] - 2e-9)
+        equal = n - np.maximum.accumulate(np.where(begins | np.r_[True, w[1:] != w[:-1]], n, 0))
+        keep = (w >= self.least[j]) & (equal < self.k)
+        self.i, self.j, self.w = i[keep], j[keep], w[keep]
+
+
+def _classes(sets: DataFrame, k: int) -> DataFrame:
+    """sets as classes of equal tags: (node, members, total, tags), node the first of the members, which are the k + 1 first of the class.
+
+    Those are each other's nearest and the k nearest of all others of the class, so no other node of it can
+    be near mutually, and none comes before them for a node of another class.
+    """
+    same = Window.partitionBy(F.xxhash64("tags"), "total", "tags")
+    first = sets.withColumn("nth", F.row_number().over(same.orderBy("node"))).filter(F.col("nth") <= k + 1)
+    return first.withColumn("members", F.sort_array(F.collect_list("node").over(same))).filter("nth = 1").drop("nth")
+
+
 def _met(nodes: DataFrame, theta: float, k: int | None) -> DataFrame:
-    """(x, y, weight) of the nodes whose weighted Jaccard is theta or more: each pair once, or, with k, the k nearest of each x in each block, and perhaps more of equal weight to nine digits."""
+    """(x, y, weight) of the nodes whose weighted Jaccard is theta or more: each pair once, or, with k, what can be among the k nearest of each x and mutual (see _classes()), and perhaps more of equal weight to nine digits."""
     spark = nodes.sparkSession
+    nodes = Rounds(spark, "concept-nodes").put(nodes.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("tags"))).alias("tags")))
+    one = nodes.select("node", F.explode("tags").alias("tag"))
     # Numbers stand for tags; a tag of one node alone counts in its total only.
-    numbered = Rounds(spark, "concept-tags").put(tag_weights(nodes).withColumn("id", F.monotonically_increasing_id()))
-    one = nodes.filter(F.col("node").isNotNull()).select("node", F.explode("tags").alias("tag")).distinct().join(numbered, "tag")
-    shared = F.filter(F.collect_list(F.struct("id", "w", "f")), lambda t: t["f"] > 1)
-    sets = Rounds(spark, "concept-sets").put(one.groupBy("node").agg(F.sort_array(F.transform(shared, lambda t: F.struct(t["id"].alias("id"), t["w"].alias("w")))).alias("tags"), F.sum("w").alias("total")))
+    numbered = Rounds(spark, "concept-tags").put(_weighed(one, nodes).withColumn("id", F.monotonically_increasing_id()))
+    one = one.filter(F.col("node").isNotNull()).join(numbered, "tag")
+    alone, shared = F.when(F.col("f") == 1, F.col("w")), F.when(F.col("f") > 1, F.struct("id", "w"))
+    sets = one.groupBy("node").agg(F.sort_array(F.collect_list(shared)).alias("tags"), F.coalesce(F.sum(alone), F.lit(0.0)).alias("alone"))
+    # In the order of the tags, so that equal sets have equal totals.
+    sets = sets.select("node", "tags", F.aggregate("tags", F.col("alone"), lambda sum, t: sum + t["w"]).alias("total"))
+    sets = Rounds(spark, "concept-sets").put(sets if k is None else _classes(sets, k))
     kind, width = sets.schema["node"].dataType.simpleString(), int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = max(math.ceil(sets.count() / BLOCK), math.ceil((6 * width) ** 0.5))
     dealt = sets.select(F.pmod(F.xxhash64("node"), F.lit(n)).cast("int").alias("block"), "node", "total", "tags").repartition(n, "block").sortWithinPartitions("block", "node")
     packed = Rounds(spark, "concept-blocks").put(dealt.mapInArrow(_packed, f"block int, nodes array<{kind}>, ids binary, w binary, starts binary, places binary, totals binary"))
     side = lambda s: packed.select(*[F.col(c).alias(f"{c}_{s}") for c in packed.columns])
-    # Every two blocks, and each with itself: (low, high) by number.
-    low = side("x").withColumn("high", F.explode(F.sequence(F.col("block_x"), F.lit(n - 1))))
-    high = side("y").withColumn("low", F.explode(F.sequence(F.lit(0), F.col("block_y"))))
+    # Every two blocks, and each with itself: (low, high) by number, in more tasks than Spark makes by their bytes.
+    tasks = min(n * (n + 1), 4096)
+    low = side("x").withColumn("high", F.explode(F.sequence(F.col("block_x"), F.lit(n - 1)))).repartition(tasks, "block_x", "high")
+    high = side("y").withColumn("low", F.explode(F.sequence(F.lit(0), F.col("block_y")))).repartition(tasks, "low", "block_y")
     pairs = low.hint("merge").join(high, (F.col("block_x") == F.col("low")) & (F.col("high") == F.col("block_y")))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,15 +199,14 @@ def _met(nodes: DataFrame, theta: float, k: int | None) -> DataFrame:
                 names = {s: b[f"nodes_{s}"][r].values for s in "xy"}
                 raw = {c: b[c][r].as_py() for c in b.schema.names if not c.startswith("nodes")}
                 x, y, same = _Block(raw, "x"), _Block(raw, "y"), raw["block_x"] == raw["block_y"]
-                ways = [("x", "y", x, y)] if k is None or same else [("x", "y", x, y), ("y", "x", y, x)]
-                for p, q, here, there in ways:
-                    i, j, w, rows = [], [], [], 0
+                back = None if k is None or same else _Columns(len(y.totals), theta, k)
+                i, j, w, rows = [], [], [], 0
 
-                    def out(p=p, q=q):
-                        ends = pa.array(np.concatenate(i)), pa.array(np.concatenate(j))
-                        return pa.RecordBatch.from_arrays([names[p].take(ends[0]), names[q].take(ends[1]), pa.array(np.concatenate(w))], ["x", "y", "weight"])
+                def out(i, j, w, p="x", q="y"):
+                    return pa.RecordBatch.from_arrays([names[p].take(pa.array(i)), names[q].take(pa.array(j)), pa.array(w)], ["x", "y", "weight"])
 
-                    for at, weights in _likeness(here, there):
+                for lo, strip in _likeness(x, y):
+                    for at, weights in enumerate(strip, lo):
                         if same:
                             weights[: at + 1 if k is None else 0] = -1.0
                             weights[at] = -1.0
@@ -145,12 +215,25 @@ def _met(nodes: DataFrame, theta: float, k: int | None) -> DataFrame:
                             i.append(np.full(len(near), at)), j.append(near), w.append(weights[near])
                             rows += len(near)
                         if rows > 100_000:
-                            yield out()
+                            yield out(*map(np.concatenate, (i, j, w)))
                             i, j, w, rows = [], [], [], 0
-                    if rows:
-                        yield out()
-
-    return pairs.mapInArrow(meet, f"x {kind}, y {kind}, weight double")
+                    if back:
+                        back.add(lo, strip)
+                if rows:
+                    yield out(*map(np.concatenate, (i, j, w)))
+                if back and len(back.w):
+                    yield out(back.j, back.i, back.w, "y", "x")
+
+    met = pairs.mapInArrow(meet, f"x {kind}, y {kind}, weight double")
+    if k is None:
+        return met
+    # The k nearest classes have the k nearest nodes of other classes.
+    nearest = met.withColumn("nth", F.row_number().over(Window.partitionBy("x").orderBy(F.round("weight", 9).desc(), "y"))).filter(F.col("nth") <= k).select("x", "y", "weight")
+    members = lambda s: sets.select(F.col("node").alias(s), F.col("members").alias(f"members_{s}"))
+    among = nearest.join(members("x"), "x").join(members("y"), "y").select("members_x", "members_y", "weight")
+    if 1.0 >= _floor(theta):
+        among = among.unionByName(sets.filter(F.size("members") > 1).select(F.col("members").alias("members_x"), F.col("members").alias("members_y"), F.lit(1.0).alias("weight")))
+    return among.select(F.explode("members_x").alias("x"), "members_y", "weight").select("x", F.explode("members_y").alias("y"), "weight").filter("x <> y")
 
 
 def near_pairs(nodes: DataFrame, theta: float = THETA) -> DataFrame:

@@ -58,3 +58,17 @@ def test_rank_equals_linear_algebra(spark):
     got = {x.node: x.rank for x in concepts.pagerank(spark.createDataFrame([(i,) for i in range(n)], "node int"), spark.createDataFrame(pairs, "a int, b int, weight double"), tolerance=1e-8, rounds=80).collect()}
     assert max(abs(got[i] - want[i]) for i in range(n)) < 1e-8 and abs(sum(got.values()) - 1) < 1e-9
     assert concepts.pagerank(spark.createDataFrame([], "node int"), spark.createDataFrame([], "a int, b int, weight double")).count() == 0
+
+
+@pytest.mark.parametrize(("often", "strip"), [(0, 7), (3, 4), (512, 64)])
+def test_nearest_of_copies_by_classes(spark, monkeypatch, often, strip):
+    """Of equal nodes only those are paired that can be mutual; often and rare tags, and strips, give the graph of all pairs."""
+    r = random.Random(9)
+    rows = [(i, r.choices("abcdefghijkl", [1 / (j + 1) for j in range(12)], k=4)) for i in range(100)] + [(i, ["x", "b", "a", "b"]) for i in range(100, 160)] + [(160, ["alone"]), (161, [None]), (162, None), (None, ["a"])]
+    df = spark.createDataFrame(rows, "node long, tags array<string>")
+    want = {(x.a, x.b) for x in concepts.mutual(concepts.near_pairs(df, 0.1).withColumn("weight", F.round("weight", 9)), 3).collect()}
+    monkeypatch.setattr(concepts, "OFTEN", often)
+    monkeypatch.setattr(concepts, "STRIP", strip)
+    assert {(x.a, x.b) for x in concepts.mutual_pairs(df, 0.1, 3).collect()} == want and (100, 101) in want
+    # Before, every copy came with its nearest in each block.
+    assert concepts._met(df, 0.1, 3).filter("x >= 100 and y >= 100").count() == 4 * 3
