@@ -265,24 +265,32 @@ def _mutual(both: DataFrame, k: int) -> DataFrame:
 def pagerank(nodes: DataFrame, pairs: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
     """(node, rank) of the weighted graph of pairs (a, b, weight), taken both ways; ranks add up to 1.
 
-    Power iteration until the ranks move by less than tolerance in all, each round written. A node
-    without pairs spreads its rank over all nodes evenly. Pairs of a node with itself, or of unknown nodes, don't count.
+    A node without pairs spreads its rank over all nodes evenly, so what each gets by that is known
+    beforehand. The others' ranks are iterated until a step would move them by less than tolerance in all,
+    each round written. As the graph has both ways of a pair, its eigenvalues are real, and Chebyshev's
+    acceleration holds: a round leaves 0.56 of the error where a plain step leaves 0.85. Pairs of a
+    node with itself, or of unknown nodes, don't count.
     """
     spark = nodes.sparkSession
     names = Rounds(spark, "rank-nodes").put(nodes.select("node").distinct())
     known = pairs.filter("a <> b").join(names.withColumnRenamed("node", "a"), "a", "left_semi").join(names.withColumnRenamed("node", "b"), "b", "left_semi")
+    known = Rounds(spark, "rank-pairs").put(known.select("a", "b", "weight"))
     ways = known.select(F.col("a").alias("x"), F.col("b").alias("y"), "weight").unionByName(known.select(F.col("b").alias("x"), F.col("a").alias("y"), "weight"))
-    out = ways.groupBy("x").agg(F.sum("weight").alias("all"))
+    out = Rounds(spark, "rank-out").put(ways.groupBy("x").agg(F.sum("weight").alias("all")))
     links = Rounds(spark, "rank-links").put(ways.join(out, "x").select("x", "y", (F.col("weight") / F.col("all")).alias("share")))
-    n = names.count()
-    linked = Rounds(spark, "rank-linked").put(names.join(out.select(F.col("x").alias("node"), F.lit(True).alias("linked")), "node", "left"))
+    n, linked = names.count(), out.count()
+    even = 1.0 / max(n, 1) if not linked else (1 - damping) / (n - damping * (n - linked))
     ranks = Rounds(spark, "rank")
-    now = ranks.put(linked.select("node", F.coalesce("linked", F.lit(False)).alias("linked"), F.lit(1.0 / max(n, 1)).alias("rank"), F.lit(1.0).alias("moved")))
-    for _ in range(rounds if n else 0):
-        lost = now.filter("not linked").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+    start = F.lit((1 - even * (n - linked)) / max(linked, 1))
+    now = ranks.put(out.select(F.col("x").alias("node"), start.alias("rank"), start.alias("past"), F.lit(1.0).alias("moved")))
+    pace = 1.0
+    for i in range(rounds if linked else 0):
         come = links.join(now.select(F.col("node").alias("x"), "rank"), "x").groupBy(F.col("y").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("come"))
-        new = (1 - damping) / n + damping * (F.coalesce("come", F.lit(0.0)) + lost / n)
-        now = ranks.put(now.join(come, "node", "left").select("node", "linked", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved")))
+        step = even + damping * F.col("come")
+        new = F.col("past") + pace * (step - F.col("past"))
+        now = ranks.put(now.join(come, "node").select("node", new.alias("rank"), F.col("rank").alias("past"), F.abs(step - F.col("rank")).alias("moved")))
         if now.agg(F.sum("moved")).first()[0] < tolerance:
             break
-    return now.select("node", "rank")
+        pace = 1 / (1 - damping**2 * pace / (4 if i else 2))
+    alone = names.join(out.select(F.col("x").alias("node")), "node", "left_anti")
+    return now.select("node", "rank").unionByName(alone.select("node", F.lit(even).alias("rank")))

@@ -72,3 +72,19 @@ def test_nearest_of_copies_by_classes(spark, monkeypatch, often, strip):
     assert {(x.a, x.b) for x in concepts.mutual_pairs(df, 0.1, 3).collect()} == want and (100, 101) in want
     # Before, every copy came with its nearest in each block.
     assert concepts._met(df, 0.1, 3).filter("x >= 100 and y >= 100").count() == 4 * 3
+
+
+def test_rank_takes_few_rounds(spark, monkeypatch):
+    """A ring with a tail, whose ranks settle slowly: before, it took more than 100 rounds."""
+    n, put, seen = 11, concepts.Rounds.put, []
+    monkeypatch.setattr(concepts.Rounds, "put", lambda self, rows: seen.append(self.n) or put(self, rows))
+    pairs = [(i, i + 1, 1.0 + i % 3) for i in range(8)] + [(0, 6, 5.0)]
+    m = np.full((n, n), 1 / n)
+    for i in range(9):
+        m[:, i] = 0
+    for a, b, v in pairs:
+        m[a, b] = m[b, a] = v
+    m[:, :9] /= m[:, :9].sum(0)
+    want = np.linalg.solve(np.eye(n) - 0.85 * m, np.full(n, 0.15 / n))
+    got = {x.node: x.rank for x in concepts.pagerank(spark.createDataFrame([(i,) for i in range(n)], "node int"), spark.createDataFrame(pairs, "a int, b int, weight double")).collect()}
+    assert max(abs(got[i] - want[i]) for i in range(n)) < 1e-10 and max(seen) < 60
