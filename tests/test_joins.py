@@ -207,3 +207,13 @@ def test_found_patterns_leave_a_worker_in_small_batches():
     got = list(dictionary._found(iter([batch]), True, ["k", "pattern", "start"]))
     assert max(b.num_rows for b in got) < dictionary.FOUND_ROWS + len(many) and sum(b.num_rows for b in got) == 49 * 900
     assert got[0].slice(1, 1).to_pylist() == [{"k": 0, "pattern": "word1", "start": 7}]
+
+
+def test_pairs_are_passed_on_as_they_are_made(spark):
+    """Before, one compiled loop held all pairs of two blocks, and the keys of the items were made for each use of them."""
+    kind = "pos long, country string, pillar_id int, indicator_id string, act_name string, urls array<string>"
+    side = lambda at: spark.range(at, at + 300).selectExpr("id AS pos", "'' AS country", "6 AS pillar_id", "'6.1' AS indicator_id", "'data act' AS act_name", "array('http://x.org/' || id) AS urls")
+    pairs = scoring.candidate_pairs(side(0).to(spark.createDataFrame([], kind).schema), side(1000).to(spark.createDataFrame([], kind).schema))
+    assert pairs.count() == pairs.distinct().count() == 300 * 300
+    plan = pairs._jdf.queryExecution().sparkPlan().toString()
+    assert re.search(r"Generate explode\(b\b.*\n.*Coalesce\b.*\n(?:.*Project.*\n)?.*Generate explode\(a\b", plan) and "data act" not in plan
